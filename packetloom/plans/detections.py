@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from packetloom.functions.scalar import add_mod32
-from packetloom.operators.aggregate import distinct_count, reduce_sum, threshold
+from packetloom.operators.aggregate import reduce_sum, threshold, threshold_crossing
 from packetloom.operators.basic import filter_cmp, map_cols, report
+from packetloom.operators.distinct import distinct_keys
 from packetloom.operators.joins import zip_diff
 from packetloom.operators.running import SEGMENT_ROWS, split_hot
 from packetloom.operators.sketch import (
@@ -35,12 +36,13 @@ def newconn(packets: DataFrame, n: int = 50, by: str = EPOCH) -> DataFrame:
     """Hosts that receive many new TCP connections."""
     ones = map_cols(syn_packets(packets), ["ipv4.dst_addr", "count"], {"count": 1})
     counts = reduce_sum(ones, ["ipv4.dst_addr"], "count", by)
-    return report(threshold(counts, "count", "ge", n), ["ipv4.dst_addr"], by)
+    return threshold(counts, "count", "ge", n).select(by, "dst_addr")
 
 
 def _many_distinct(packets: DataFrame, key: str, elem: str, n: int, by: str) -> DataFrame:
-    counts = distinct_count(packets, [key], [elem], "count", by)
-    return report(threshold(counts, "count", "ge", n), [key], by)
+    pairs = distinct_keys(packets, [key, elem], by)
+    counts = reduce_sum(map_cols(pairs, [key], {"count": 1}), [key], "count", by)
+    return threshold(counts, "count", "ge", n).select(by, key)
 
 
 def ddos(packets: DataFrame, n: int = 180, by: str = EPOCH) -> DataFrame:
@@ -129,7 +131,7 @@ def incomplete_flows(packets: DataFrame, n: int = 1, by: str = EPOCH) -> DataFra
     syn = syn_packets(packets).select(by, "dst_addr", F.lit(1).alias("syn"))
     fin = flag_counts(packets, "TCP_FLAG_FIN", "fin", by)
     diff = zip_diff(syn, fin, "ipv4.dst_addr", "ipv4.dst_addr", "syn", "fin", "diff", by)
-    return report(threshold(diff, "diff", "gt", n), ["ipv4.dst_addr"], by)
+    return threshold(diff, "diff", "gt", n).select(by, "dst_addr")
 
 
 def newconn_cm(packets: DataFrame, d: int, width: int, n: int = 50, by: str = EPOCH) -> DataFrame:
@@ -182,3 +184,9 @@ def synflood_fingerprint(packets: DataFrame, d: int, width: int, n: int = 12, by
         _mark_answered(hs), ["nkey"], _open_delta(), "cnt", by, segment="segment", exchange=False
     )
     return report(filter_cmp(counted, "cnt", "gt", n), ["nkey"], by)
+
+
+def alert_packets(packets: DataFrame, keys: list[str], n: int, by: str = EPOCH, order: str = ORDER) -> DataFrame:
+    """The whole packets that bring the count of their key to ``n``, once per epoch and key."""
+    ones = packets.withColumn("_one", F.lit(1))
+    return threshold_crossing(ones, keys, "_one", n, "_run", by, order).drop("_one", "_run")
