@@ -73,7 +73,7 @@ def big_endian(data: Operand, offset: Column | int, n: int) -> Column:
     """
     pos = (operand(offset) + 1).cast("int")
     piece = F.hex(F.substring(operand(data), pos, F.lit(n)))
-    return F.when(F.length(piece) > 0, F.conv(piece, 16, 10).cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.coalesce(F.conv(piece, 16, 10).cast("long"), F.lit(0).cast("long"))
 
 
 def ip_checksum(data: Operand, offset: Column | int, n_bytes: Column | int) -> Column:

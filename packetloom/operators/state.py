@@ -121,9 +121,13 @@ def stateful_fold(
     def whole(key, packets):
         return fn(key, packets.sort_values(order, ignore_index=True), initial)[0]
 
+    # A stated number of partitions: by size alone they would be merged, but the
+    # work here is Python per group.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordinary = (
         cut.where(F.col("_segment") == NO_SEGMENT)
         .select(*inputs)
+        .repartition(tasks, *group)
         .groupBy(*group)
         .applyInPandas(whole, out_schema)
     )

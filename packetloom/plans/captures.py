@@ -109,12 +109,12 @@ FROM raw"""
 
 DECODE_SQL = RAW + """
 SELECT pkt_no, status,
-       CASE WHEN ok THEN src_addr END AS src_addr, CASE WHEN ok THEN dst_addr END AS dst_addr,
-       CASE WHEN ok THEN sport END AS sport, CASE WHEN ok THEN dport END AS dport,
-       CASE WHEN ok THEN proto END AS proto, CASE WHEN ok THEN size END AS size,
-       CASE WHEN ok THEN tcp * tcp_seq END AS tcp_seq, CASE WHEN ok THEN tcp * tcp_ack END AS tcp_ack,
-       CASE WHEN ok THEN tcp * tcp_flags END AS tcp_flags, CASE WHEN ok THEN 20 END AS ip_hdr_size,
-       CASE WHEN ok THEN tcp * 20 END AS tcp_hdr_size
+       CASE WHEN ok THEN src_addr ELSE -1 END AS src_addr, CASE WHEN ok THEN dst_addr ELSE -1 END AS dst_addr,
+       CASE WHEN ok THEN sport ELSE -1 END AS sport, CASE WHEN ok THEN dport ELSE -1 END AS dport,
+       CASE WHEN ok THEN proto ELSE -1 END AS proto, CASE WHEN ok THEN size ELSE -1 END AS size,
+       CASE WHEN ok THEN tcp * tcp_seq ELSE -1 END AS tcp_seq, CASE WHEN ok THEN tcp * tcp_ack ELSE -1 END AS tcp_ack,
+       CASE WHEN ok THEN tcp * tcp_flags ELSE -1 END AS tcp_flags, CASE WHEN ok THEN 20 ELSE -1 END AS ip_hdr_size,
+       CASE WHEN ok THEN tcp * 20 ELSE -1 END AS tcp_hdr_size
 FROM (SELECT *, status = 'VALID' AS ok, CASE WHEN proto = 6 THEN 1 ELSE 0 END AS tcp FROM judged)"""
 
 VALID_SQL = RAW + """
@@ -127,7 +127,8 @@ _SUMS = """count(*) AS packets, CAST(sum(caplen) AS BIGINT) AS cap_bytes, CAST(s
 
 SUMMARY_SQL = RAW + f"""
 SELECT status, coalesce(packets, 0) AS packets, coalesce(cap_bytes, 0) AS cap_bytes,
-       coalesce(act_bytes, 0) AS act_bytes, start_us, end_us, end_us - start_us AS duration_us
+       coalesce(act_bytes, 0) AS act_bytes, coalesce(start_us, -1) AS start_us, coalesce(end_us, -1) AS end_us,
+       coalesce(end_us - start_us, -1) AS duration_us
 FROM (VALUES ('VALID'), ('IP_OPTION'), ('NON_IP'), ('IP_NOT_FULL'), ('IP_VER_FAIL'), ('IP_CHKSUM_FAIL'), ('IP_FRAG'),
              ('TCP_NOT_FULL'), ('UDP_NOT_FULL'), ('ICMP_NOT_FULL'), ('UNDEFINED'), ('NON_GTP'), ('NON_GPRS'),
              ('TOTAL')) s(status)

@@ -11,10 +11,11 @@ from packetloom.functions.hashing import explode_cells
 from packetloom.operators import accuracy, aggregate, basic, distinct, epochs, joins, sketch, state
 from packetloom.operators.accuracy import AccuracySpec
 from packetloom.plans import captures, detections, oracles as sql, tuning
-from packetloom.plans.fixtures import flows_from_lineitem, packets_from_events
+from packetloom.plans.fixtures import DAY_SECONDS, flows_from_lineitem, packet_stream, packets_from_events
 from packetloom.schema import EPOCH, ORDER
 from packetloom.sources import config as sketch_config, decode, flowtext, pcap, trace
 from packetloom.sources.shared import shared_dir
+from packetloom.streaming import detections as stream_detections, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -286,7 +287,8 @@ def a7(p):
 
 @register("a8_capture_summary", captures.SUMMARY_SQL)
 def a8(spark, sf_dir):
-    return decode.capture_summary(decode.decode_packets(captures.raw_packets(spark, sf_dir)))
+    summary = decode.capture_summary(decode.decode_packets(captures.raw_packets(spark, sf_dir)))
+    return summary.na.fill(-1)
 
 
 # A wire order that differs from time order: neighbours change places.
@@ -642,8 +644,8 @@ def sized_by_epoch(p):
     d = (F.col("n") % 5).cast("int")
     sizes = F.explode(
         F.array(
-            F.struct(F.lit("distinct").alias("table"), d.alias("d"), F.col("sources").cast("int").alias("w")),
-            F.struct(F.lit("count").alias("table"), F.lit(2).alias("d"), (F.col("hosts") % 50).cast("int").alias("w")),
+            F.struct(F.lit("distinct").alias("table"), d.alias("d"), (F.col("sources") % 20).cast("int").alias("w")),
+            F.struct(F.lit("count").alias("table"), F.lit(2).alias("d"), (F.col("hosts") % 25).cast("int").alias("w")),
         )
     )
     return per_epoch.select(F.col(EPOCH).alias("conf_id"), sizes.alias("s")).select("conf_id", "s.*")
@@ -651,19 +653,20 @@ def sized_by_epoch(p):
 
 SIZED = """
 sized AS (
-  SELECT epoch AS conf_id, CAST(count(*) % 5 AS BIGINT) AS d, count(DISTINCT src_addr) AS w FROM packets GROUP BY ALL
+  SELECT epoch AS conf_id, CAST(count(*) % 5 AS BIGINT) AS d, count(DISTINCT src_addr) % 20 AS w FROM packets GROUP BY ALL
   UNION ALL
-  SELECT epoch AS conf_id, CAST(2 AS BIGINT) AS d, count(DISTINCT dst_addr) % 50 AS w FROM packets GROUP BY ALL)"""
+  SELECT epoch AS conf_id, CAST(2 AS BIGINT) AS d, count(DISTINCT dst_addr) % 25 AS w FROM packets GROUP BY ALL)"""
 
 
 @on_packets(
     "e5_resource_score",
-    "SELECT conf_id, round(0.4 * sum(d) / (4 * count(*)) + 0.3 * (sum(d * w) + sum(d)) / (48 * count(*))"
-    " + 0.3 * avg(w) / 32, 6) AS score FROM sized GROUP BY conf_id",
+    "SELECT conf_id, round(1000 * (0.4 * sum(d) / (4 * count(*)) + 0.3 * (sum(d * w) + sum(d)) / (48 * count(*))"
+    " + 0.3 * avg(w) / 32), 6) AS milli_score FROM sized GROUP BY conf_id",
     SIZED,
 )
 def e5(p):
-    return tuning.resource_score(sized_by_epoch(p))
+    scored = tuning.resource_score(sized_by_epoch(p))
+    return scored.select("conf_id", (F.col("score") * 1000).alias("milli_score"))
 
 
 @on_packets(
@@ -676,9 +679,29 @@ def e6(p):
     return tuning.valid_conf(sized_by_epoch(p))
 
 
+@on_packets(
+    "u5_stateful_fold_handshakes",
+    f"""SELECT epoch, pkt_no, nkey, nextseq, CAST(sum({sql.DELTA}) OVER (PARTITION BY epoch, nkey {sql.RUNNING}) AS BIGINT)
+      AS cnt FROM (SELECT * REPLACE (CASE WHEN nextseq = tcp_ack THEN 2 ELSE cnt_flag END AS cnt_flag) FROM (
+      SELECT *, coalesce(last_value(CASE WHEN tcp_flags = 18 THEN tcp_seq + 1 END IGNORE NULLS)
+        OVER (PARTITION BY epoch, nkey {sql.RUNNING}), 0) AS nextseq FROM hs))""",
+    sql.HANDSHAKE,
+)
+def u5_handshakes(p):
+    hs = detections.handshake_packets(p)
+    return state.stateful_fold(
+        hs,
+        ["nkey"],
+        stream_detections.handshake_fold,
+        (0, 0),
+        stream_detections.HANDSHAKE_STATE,
+        stream_detections.HANDSHAKE_OUT,
+    )
+
+
 @on_packets("e8_tune_sketch")
 def e8(p):
-    return tuning.tune_sketch(p, DDOS, AccuracySpec(0.8, 0.8, 0.8), N_EPOCH, page_bytes=PAGE)
+    return tuning.tune_sketch(p, DDOS, AccuracySpec(0.8, 0.8, 0.8), N_EPOCH, page_bytes=128)
 
 
 # --- functions --------------------------------------------------------------------
@@ -726,10 +749,9 @@ def f5(p):
     return texts.select("pkt_no", scalar.ipv4_number("dotted").alias("addr"), "dotted")
 
 
-@on_packets("f6_nanoseconds", "SELECT pkt_no, CAST(us / 1e6 AS DOUBLE) * 1e9 // 1000000 AS ms FROM packets")
+@on_packets("f6_nanoseconds", "SELECT pkt_no, CAST(us / 1e6 * 1e9 AS BIGINT) AS ns FROM packets")
 def f6(p):
-    # Doubles of today's nanoseconds are exact to 256 ns only; compare whole milliseconds.
-    return p.select("pkt_no", F.floor(scalar.nanoseconds("pkt_ts") / 1000000).cast("double").alias("ms"))
+    return p.select("pkt_no", scalar.nanoseconds("pkt_ts").alias("ns"))
 
 
 @register("f7_big_endian", captures.BIG_ENDIAN_SQL)
@@ -810,7 +832,7 @@ def flat_with_status(df):
     return df.select(
         "pkt_no", "status", "src_addr", "dst_addr", "sport", "dport", "proto", "size", "tcp_seq", "tcp_ack",
         "tcp_flags", "ip_hdr_size", "tcp_hdr_size",
-    )
+    ).na.fill(-1)
 
 
 @register("s4_write_valid", captures.VALID_SQL)
@@ -885,13 +907,14 @@ WHERE cnt > 2"""
 
 on_packets("q5_synflood", SYNFLOOD.format(src="hs"), sql.HANDSHAKE)(lambda p: detections.synflood(p, 2))
 
-on_packets(
-    "q6_tcp_nonmonotonic",
+NONMONOTONIC = (
     "SELECT epoch, src_addr, dst_addr, sport, dport, CAST(sum(CASE WHEN tcp_seq <= seen THEN 1 ELSE 0 END) AS BIGINT)"
     " AS count FROM (SELECT *, coalesce(max(tcp_seq) OVER (PARTITION BY epoch, src_addr, dst_addr, sport, dport"
     " ORDER BY pkt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM packets WHERE proto = 6)"
-    " GROUP BY epoch, src_addr, dst_addr, sport, dport",
-)(detections.tcp_nonmonotonic)
+    " GROUP BY epoch, src_addr, dst_addr, sport, dport"
+)
+
+on_packets("q6_tcp_nonmonotonic", NONMONOTONIC)(detections.tcp_nonmonotonic)
 
 on_packets(
     "q7_incomplete_flows",
@@ -938,3 +961,90 @@ on_packets(
     sql.HANDSHAKE,
     fingerprint_ctes("hs", "nkey", 16),
 )(lambda p: detections.synflood_fingerprint(p, 2, 16, 2))
+
+
+# --- streams: the batch answer for every closed epoch -----------------------------
+
+
+def on_stream(name: str, body: str, *ctes: str):
+    """Register a streaming query; ``fn`` gets the packet stream and its first time."""
+
+    def keep(fn):
+        def run(spark, sf_dir):
+            stream, start_us = packet_stream(spark, sf_dir)
+            return windows.run_to_end(fn(stream, start_us), name)
+
+        closed = f"SELECT * FROM ({body}) WHERE epoch < (SELECT max(epoch) FROM packets)"
+        register(name, sql.with_packets(closed, *ctes))(run)
+        return fn
+
+    return keep
+
+
+@on_stream(
+    "w4_with_window_stream",
+    "SELECT epoch, dst_addr, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM packets GROUP BY ALL",
+)
+def w4(stream, start_us):
+    w = windows.with_window(stream, DAY_SECONDS, start_us=start_us)
+    sums = w.groupBy("window", "dst_addr").agg(F.count(F.lit(1)).alias("n"), F.sum("size").cast("long").alias("size"))
+    return sums.select(windows.window_epoch(DAY_SECONDS, start_us), "dst_addr", "n", "size")
+
+
+@on_stream(
+    "d1_distinct_first_stream",
+    "SELECT epoch, dst_addr, count(DISTINCT src_addr) AS n FROM packets GROUP BY ALL",
+)
+def d1_stream(stream, start_us):
+    w = windows.with_window(stream, DAY_SECONDS, start_us=start_us)
+    first = w.dropDuplicates(["window", "dst_addr", "src_addr"])
+    counts = first.groupBy("window", "dst_addr").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(windows.window_epoch(DAY_SECONDS, start_us), "dst_addr", "n")
+
+
+@on_stream(
+    "j1_zip_streams_stream",
+    "SELECT epoch, dst_addr, syn, fin FROM sums WHERE syn IS NOT NULL AND fin IS NOT NULL",
+    SYN_FIN,
+)
+def j1_stream(stream, start_us):
+    w = windows.with_window(stream, DAY_SECONDS, start_us=start_us)
+    syn = detections.syn_packets(w).select("window", "dst_addr", F.lit(1).alias("syn"))
+    fin = detections.flag_counts(w, "TCP_FLAG_FIN", "fin", "window")
+    both = joins.zip_streams(
+        aggregate.reduce_sum(syn, ["dst_addr"], "syn", "window"),
+        aggregate.reduce_sum(fin, ["dst_addr"], "fin", "window"),
+        "dst_addr",
+        "dst_addr",
+        by="window",
+    )
+    return both.select(windows.window_epoch(DAY_SECONDS, start_us), "dst_addr", "syn", "fin")
+
+
+on_stream("q1_newconn_stream", NEWCONN_SQL)(lambda s, t: stream_detections.newconn(s, 3, DAY_SECONDS, t))
+on_stream("q2_ddos_stream", f"SELECT * FROM {DDOS_EXACT}")(lambda s, t: stream_detections.ddos(s, 7, DAY_SECONDS, t))
+on_stream("q3_portscan_stream", f"SELECT * FROM {sql.exact_report('src_addr', 'dport', 5)}")(
+    lambda s, t: stream_detections.portscan(s, 5, DAY_SECONDS, t)
+)
+on_stream("q4_superspreader_stream", f"SELECT * FROM {sql.exact_report('src_addr', 'dst_addr', 5)}")(
+    lambda s, t: stream_detections.superspreader(s, 5, DAY_SECONDS, t)
+)
+on_stream(
+    "q7_incomplete_flows_stream",
+    "SELECT epoch, dst_addr FROM sums WHERE coalesce(syn, 0) - coalesce(fin, 0) > 1",
+    SYN_FIN,
+)(lambda s, t: stream_detections.incomplete_flows(s, 1, DAY_SECONDS, t))
+
+
+def synflood_stream(spark, sf_dir):
+    stream, start_us = packet_stream(spark, sf_dir)
+    alerts = windows.run_to_end(stream_detections.synflood_alerts(stream, 2, DAY_SECONDS, start_us), "q5_stream")
+    return alerts.select("epoch", "nkey").distinct()
+
+
+# Alerts come with the packets, so the open epoch has them as well.
+register("q5_synflood_stream", ORACLES["q5_synflood"])(synflood_stream)
+
+on_stream("q6_tcp_nonmonotonic_stream", NONMONOTONIC)(
+    lambda s, t: stream_detections.tcp_nonmonotonic(s, DAY_SECONDS, t)
+)

@@ -5,6 +5,8 @@ Each takes packets with an epoch column and returns the reported keys per epoch.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from packetloom.functions.scalar import add_mod32
@@ -60,7 +62,9 @@ def superspreader(packets: DataFrame, n: int = 200, by: str = EPOCH) -> DataFram
     return _many_distinct(packets, "src_addr", "dst_addr", n, by)
 
 
-def handshake_packets(packets: DataFrame, by: str = EPOCH, order: str = ORDER) -> DataFrame:
+def handshake_packets(
+    packets: DataFrame, by: str = EPOCH, order: str = ORDER, carry: Sequence[str] = ()
+) -> DataFrame:
     """TCP packets with ACK set, keyed by the server (``nkey``) of their handshake."""
     tcp = filter_cmp(packets, "ipv4.protocol", "eq", "IP_PROTOCOLS_TCP")
     acks = filter_cmp(tcp, "tcp.flags", "bit_and", "TCP_FLAG_ACK")
@@ -72,7 +76,7 @@ def handshake_packets(packets: DataFrame, by: str = EPOCH, order: str = ORDER) -
             "cnt_flag": F.when(syn_ack, F.lit(1)).otherwise(F.lit(0)),
         },
     )
-    return keyed.select(by, order, "nkey", "cnt_flag", "tcp_flags", "tcp_seq", "tcp_ack")
+    return keyed.select(by, order, *carry, "nkey", "cnt_flag", "tcp_flags", "tcp_seq", "tcp_ack")
 
 
 def _is_syn_ack():

@@ -53,3 +53,11 @@ def flows_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("long").alias("size"),
         F.col("l_returnflag").alias("flag"),
     )
+
+
+def packet_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The packets of the events as a stream, and the time of the first in microseconds."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    start_us = events.select(F.min(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return packet_columns(stream), start_us

@@ -18,6 +18,7 @@ from packetloom.operators.distinct import distinct_first, first_rows
 from packetloom.operators.running import SEGMENT_ROWS, running, running_sum
 from packetloom.operators.sketch import PAGE_BYTES, cells_per_row
 from packetloom.schema import EPOCH, ORDER, column_names
+from packetloom.sources.shared import ensure_checkpoint_dir
 
 # Memory layout of the target the sizes are chosen for.
 ALU_PER_STAGE = 4
@@ -58,20 +59,21 @@ class CountQuery:
     def tables(self) -> tuple[str, ...]:
         return ("distinct", "count") if self.distinct else ("count",)
 
-    def first_packets(self, packets: DataFrame) -> DataFrame:
-        """The packets that can change a table.
+    def first_packets(self, packets: DataFrame, n_epoch: int) -> DataFrame:
+        """The packets of the first epochs that can change a table.
 
         A repeat of a distinct key finds all its bits set whatever the sizes, so
         only the first packet of each key matters and all configurations share
         this exact pass.
         """
         cols = [EPOCH, ORDER, *dict.fromkeys([*self.distinct, self.key])]
-        kept = self.prepare(packets).select(*cols)
+        kept = self.prepare(packets.where(F.col(EPOCH) < n_epoch)).select(*cols)
         return distinct_first(kept, self.distinct) if self.distinct else kept
 
 
-def exact_report(packets: DataFrame, query: CountQuery) -> DataFrame:
-    counts = query.first_packets(packets).groupBy(EPOCH, query.key).agg(F.count(F.lit(1)).alias("_n"))
+def exact_report(first: DataFrame, query: CountQuery) -> DataFrame:
+    """(epoch, key) reported without sketches, from the query's first packets."""
+    counts = first.groupBy(EPOCH, query.key).agg(F.count(F.lit(1)).alias("_n"))
     return counts.where(F.col("_n") >= query.n).select(EPOCH, query.key)
 
 
@@ -89,18 +91,17 @@ def _cell_plan(configs: Sequence[Config], table: int, bits: int, page_bytes: int
 
 
 def sketch_reports(
-    packets: DataFrame,
+    first: DataFrame,
     query: CountQuery,
     configs: Sequence[Config],
     page_bytes: int = PAGE_BYTES,
     rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
-    """(conf_id, epoch, key) reported by the sketched query under each configuration."""
+    """(conf_id, epoch, key) reported under each configuration, from the query's first packets."""
     d_max = [max(c[t][0] for c in configs) for t in range(len(query.tables))]
     if max(d_max) > MAX_ROWS:
         raise ValueError(f"a sketch has at most {MAX_ROWS} rows")
     key = query.key
-    first = query.first_packets(packets)
     per_conf = F.explode(F.array(*[F.lit(i) for i in range(len(configs))]))
     if query.distinct:
         hashed = with_row_hashes(first, sorted(column_names(query.distinct)), d_max[0], "_h")
@@ -166,27 +167,39 @@ def valid_conf(conf_df: DataFrame, limits: Limits = Limits(), by: Sequence[str]
     return fits.where("_ok").select(*by)
 
 
-def evaluate_configs(
-    packets: DataFrame,
+def _judge(
+    first: DataFrame,
     query: CountQuery,
     configs: Sequence[Config],
     spec: AccuracySpec,
     n_epoch: int,
-    limits: Limits = Limits(),
-    page_bytes: int = PAGE_BYTES,
+    limits: Limits,
+    page_bytes: int,
     rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
-    """Success, precision, recall and cost of every configuration, in one job."""
-    spark = packets.sparkSession
-    packets = packets.where(F.col(EPOCH) < n_epoch)
     ids = range(len(configs))
-    est = sketch_reports(packets, query, configs, page_bytes, rows)
-    exact = exact_report(packets, query).select(
+    est = sketch_reports(first, query, configs, page_bytes, rows)
+    exact = exact_report(first, query).select(
         F.explode(F.array(*[F.lit(i) for i in ids])).alias("conf_id"), EPOCH, query.key
     )
     metrics = precision_recall(est, exact, [query.key], n_epoch, ids)
     gated = confidence_gate(metrics, spec, n_epoch, ["conf_id"])
-    return gated.join(resource_score(config_table(spark, configs, query), limits), "conf_id")
+    return gated.join(resource_score(config_table(first.sparkSession, configs, query), limits), "conf_id")
+
+
+def evaluate_configs(
+    packets: DataFrame,
+    query: CountQuery,
+    configs: Sequence[Config],
+    spec: AccuracySpec,
+    n_epoch: int,
+    limits: Limits = Limits(),
+    page_bytes: int = PAGE_BYTES,
+    rows: int | None = SEGMENT_ROWS,
+) -> DataFrame:
+    """Success, precision, recall and cost of every configuration, in one job."""
+    first = query.first_packets(packets, n_epoch)
+    return _judge(first, query, configs, spec, n_epoch, limits, page_bytes, rows)
 
 
 def accuracy_report(
@@ -251,11 +264,13 @@ def tune_sketch(
 ) -> DataFrame:
     """The cheapest configuration that meets the intent: (conf_id, table, d, w, score).
 
-    Candidates go through in waves, each one job of :func:`evaluate_configs`.
-    One at least as large as a passing one, or no larger than a failing one, is
+    Candidates go through in waves, each one job; the packets they all start
+    from are computed once and checkpointed. One at least as large as a passing one, or no larger than a failing one, is
     skipped. Only the verdicts come to the driver. Nothing passing is an error.
     """
     spark = packets.sparkSession
+    ensure_checkpoint_dir(spark)
+    first = query.first_packets(packets, n_epoch).checkpoint()
     passed: dict[Config, float] = {}
     failed: list[Config] = []
     waiting = seed_configs(len(query.tables), limits)
@@ -269,7 +284,7 @@ def tune_sketch(
         wave = [c for c in wave if open_question(c)]
         if not wave:
             continue
-        verdicts = evaluate_configs(packets, query, wave, spec, n_epoch, limits, page_bytes).select(
+        verdicts = _judge(first, query, wave, spec, n_epoch, limits, page_bytes).select(
             "conf_id", "success", "score"
         )
         for conf_id, success, score in sorted(verdicts.collect()):

@@ -55,13 +55,18 @@ def decode_packets(df: DataFrame, link_len: int = 0, check_ip: bool = False) ->
     ip_at, non_ip = _link(link_len)
     kept = [c for c in df.columns if c not in ("data",)]
     heads = df.select("*", ip_at.cast("int").alias("_ip"), non_ip.alias("_non_ip"))
-    first = big_endian("data", F.col("_ip"), 1)
+    parsed = F.struct(
+        big_endian("data", F.col("_ip"), 1).alias("_first"),
+        big_endian("data", F.col("_ip") + 9, 1).cast("int").alias("_proto"),
+    )
+    # A one-element inline keeps a filter on the status from being pushed below
+    # the parsing, which would repeat it inside every branch of the condition.
+    heads = heads.select("*", F.inline(F.array(parsed)))
     heads = heads.select(
         "*",
         (F.col("caplen") - F.col("_ip")).alias("_len"),
-        F.shiftright(first, 4).alias("_version"),
-        (first.bitwiseAND(15) * 4).cast("int").alias("_ihl"),
-        big_endian("data", F.col("_ip") + 9, 1).cast("int").alias("_proto"),
+        F.shiftright("_first", 4).alias("_version"),
+        (F.col("_first").bitwiseAND(15) * 4).cast("int").alias("_ihl"),
     )
     heads = heads.withColumn("_l4", F.col("_ip") + F.col("_ihl"))
     heads = heads.withColumn(
@@ -87,7 +92,7 @@ def decode_packets(df: DataFrame, link_len: int = 0, check_ip: bool = False) ->
         .when(~transport_full & (proto == _UDP), "UDP_NOT_FULL")
         .when(~transport_full & (proto == _ICMP), "ICMP_NOT_FULL")
         .otherwise(
-            F.coalesce(network.otherwise(None), F.when(proto.isin(_TCP, _UDP), "VALID").otherwise("UNDEFINED"))
+            F.coalesce(network, F.when(proto.isin(_TCP, _UDP), "VALID").otherwise("UNDEFINED"))
         )
     )
     heads = heads.withColumn("status", status)
@@ -118,13 +123,20 @@ def decode_packets(df: DataFrame, link_len: int = 0, check_ip: bool = False) ->
     )
 
 
-def write_valid(df: DataFrame, path: str, partition_by: str | None = "epoch", mode: str = "error") -> None:
-    """Persist the valid packets, by epoch when they have one."""
+def write_valid(
+    df: DataFrame, path: str, partition_by: str | None = "epoch", order: str = ORDER, mode: str = "error"
+) -> None:
+    """Persist the valid packets, by epoch when they have one.
+
+    Ranges of (epoch, packet number) keep a task to few folders and split a
+    crowded epoch over many tasks.
+    """
     valid = df.where(F.col("status") == "VALID").drop("status", "file", "caplen", "len")
-    writer = valid.write.mode(mode)
     if partition_by and partition_by in valid.columns:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+        placed = valid.repartitionByRange(partition_by, order)
+        placed.write.mode(mode).partitionBy(partition_by).parquet(path)
+    else:
+        valid.write.mode(mode).parquet(path)
 
 
 def capture_summary(df: DataFrame, order: str = ORDER) -> DataFrame:
