@@ -65,8 +65,13 @@ def by_query(df: DataFrame, predicates: Mapping[str, Column], name: str = "query
 
 
 def order_packets(df: DataFrame) -> DataFrame:
-    """Largest packets first, ties by addresses, ports and protocol, all descending."""
-    return df.orderBy(*[F.desc(c) for c in ("size", "src_addr", "dst_addr", "sport", "dport", "proto")])
+    """Largest packets first, ties by addresses, ports and protocol, all descending.
+
+    Packets alike in all of these follow packet order, which also lets a crowd of
+    them be split over several sort ranges.
+    """
+    fields = [F.desc(c) for c in ("size", "src_addr", "dst_addr", "sport", "dport", "proto")]
+    return df.orderBy(*fields, *[F.asc(ORDER) for _ in range(ORDER in df.columns)])
 
 
 def report(df: DataFrame, keys: Sequence[str], by: str = EPOCH) -> DataFrame:

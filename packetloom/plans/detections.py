@@ -95,15 +95,20 @@ def synflood_counts(
     packets: DataFrame, by: str = EPOCH, order: str = ORDER, rows: int | None = SEGMENT_ROWS
 ) -> DataFrame:
     """Handshake packets with ``cnt``, the half-open handshakes of their server so far."""
-    hs = split_hot(handshake_packets(packets, by, order), [by, "nkey"], rows, order)
-    hs = state_last(
-        hs, ["nkey"], _is_syn_ack(), add_mod32("tcp_seq", 1), "nextseq", by, order, "segment", rows
-    )
-    marked = _mark_answered(hs)
+    return _open_handshakes(handshake_packets(packets, by, order), by, order, rows)
+
+
+def _open_handshakes(hs: DataFrame, by: str, order: str = ORDER, rows: int | None = SEGMENT_ROWS) -> DataFrame:
+    """Both registers of a server run over the same groups, so over one exchange."""
+    columns = hs.columns
+    segment = None if rows is None else "segment"
+    if segment:
+        hs = split_hot(hs, [by, "nkey"], rows, order, segment)
+    hs = state_last(hs, ["nkey"], _is_syn_ack(), add_mod32("tcp_seq", 1), "nextseq", by, order, segment, rows)
     counted = state_add(
-        marked, ["nkey"], _open_delta(), "cnt", by, order, "segment", rows, exchange=False
+        _mark_answered(hs), ["nkey"], _open_delta(), "cnt", by, order, segment, rows, exchange=False
     )
-    return counted.drop("segment")
+    return counted.select(*columns, "nextseq", "cnt")
 
 
 def synflood(
@@ -182,12 +187,7 @@ def synflood_cells(
 def synflood_fingerprint(packets: DataFrame, d: int, width: int, n: int = 12, by: str = EPOCH) -> DataFrame:
     """SYN flood with exact registers for the servers that own a fingerprint cell."""
     tracked = state_fingerprint(handshake_packets(packets, by), ["nkey"], d, width, by)
-    hs = split_hot(tracked, [by, "nkey"])
-    hs = state_last(hs, ["nkey"], _is_syn_ack(), add_mod32("tcp_seq", 1), "nextseq", by, segment="segment")
-    counted = state_add(
-        _mark_answered(hs), ["nkey"], _open_delta(), "cnt", by, segment="segment", exchange=False
-    )
-    return report(filter_cmp(counted, "cnt", "gt", n), ["nkey"], by)
+    return report(filter_cmp(_open_handshakes(tracked, by), "cnt", "gt", n), ["nkey"], by)
 
 
 def alert_packets(packets: DataFrame, keys: list[str], n: int, by: str = EPOCH, order: str = ORDER) -> DataFrame:

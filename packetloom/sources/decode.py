@@ -146,14 +146,21 @@ def capture_summary(df: DataFrame, order: str = ORDER) -> DataFrame:
     with its first and last packet, not with its extreme timestamps.
     """
     ts = F.unix_micros("ts")
+    per_status = df.groupBy("status").agg(
+        F.count(F.lit(1)).alias("packets"),
+        F.sum("caplen").cast("long").alias("cap_bytes"),
+        F.sum("len").cast("long").alias("act_bytes"),
+        F.min(order).alias("_first"),
+        F.max(order).alias("_last"),
+        F.min_by(ts, F.col(order)).alias("start_us"),
+        F.max_by(ts, F.col(order)).alias("end_us"),
+    )
     counted = (
-        df.rollup("status")
+        per_status.rollup("status")
         .agg(
-            F.count(F.lit(1)).alias("packets"),
-            F.sum("caplen").cast("long").alias("cap_bytes"),
-            F.sum("len").cast("long").alias("act_bytes"),
-            F.min_by(ts, F.col(order)).alias("start_us"),
-            F.max_by(ts, F.col(order)).alias("end_us"),
+            *[F.sum(c).alias(c) for c in ("packets", "cap_bytes", "act_bytes")],
+            F.min_by("start_us", "_first").alias("start_us"),
+            F.max_by("end_us", "_last").alias("end_us"),
         )
         .withColumn("status", F.coalesce("status", F.lit("TOTAL")))
     )
