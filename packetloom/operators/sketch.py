@@ -10,11 +10,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from packetloom.functions.hashing import explode_cells, with_cells
+from packetloom.functions.hashing import cell_array, explode_cells, with_cells
+from packetloom.functions.scalar import floor_div
 from packetloom.operators.aggregate import reduce_sum
 from packetloom.operators.distinct import first_rows
 from packetloom.operators.joins import signed_union
-from packetloom.operators.running import SEGMENT_ROWS, Scan, running, running_last, running_sum
+from packetloom.operators.running import NO_SEGMENT, SEGMENT_ROWS, Scan, running, running_last, running_sum
 from packetloom.schema import EPOCH, ORDER, Operand, column_name, column_names, operand
 
 PAGE_BYTES = 16384
@@ -39,24 +40,82 @@ def bloom_distinct(
     return first.drop("row", "cell").dropDuplicates([by, order])
 
 
+def _hot_cells(cells: DataFrame, d: int, rows: int, by: str) -> DataFrame:
+    """Cells of all sketch rows that more than ``rows`` packets touch, in one aggregate."""
+    at = cells.select(by, F.inline(cell_array(d, "_cell")))
+    counted = at.groupBy(by, "row", "cell").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.where(F.col("_n") > rows).drop("_n")
+
+
 def _running_min(
     df: DataFrame, keys: Sequence[str], d: int, width: int, scan: Scan, empty: int, by: str, order: str,
-    rows: int | None, out: str,
+    rows: int | None, out: str, count_from: DataFrame | None = None,
 ) -> DataFrame:
     """Run ``scan`` in every sketch row and take the least value at each packet.
 
     The rows are scanned one after the other on whole packets, which needs no
-    join to bring the ``d`` values of a packet together again.
+    join to bring the ``d`` values of a packet together again. Hot cells and the
+    totals of their segments come from one aggregate each for all rows.
+    ``count_from`` names a cheaper frame with the same packets to count on.
     """
+    ks = column_names(keys)
     kept = [c for c in df.columns if c != out]
-    cells = with_cells(df, column_names(keys), d, width, "_cell")
-    at = cells
-    for i in range(d):
-        at = running(at, [by, f"_cell{i}"], {f"_v{i}": scan}, order, rows=rows, source=cells)
+    at = with_cells(df, ks, d, width, "_cell")
+    if rows is None:
+        for i in range(d):
+            at = running(at, [by, f"_cell{i}"], {f"_v{i}": scan}, order, rows=None)
+    else:
+        at = _segmented_rows(at, _counted_cells(at, count_from, ks, d, width), d, scan, by, order, rows)
     values = [F.coalesce(F.col(f"_v{i}"), F.lit(empty)).cast("long") for i in range(d)]
     return at.select(*kept, (F.least(*values) if d > 1 else values[0]).alias(out))
 
 
+def _counted_cells(
+    at: DataFrame, count_from: DataFrame | None, keys: Sequence[str], d: int, width: int
+) -> DataFrame:
+    return at if count_from is None else with_cells(count_from, keys, d, width, "_cell")
+
+
+def _segmented_rows(
+    at: DataFrame, counted: DataFrame, d: int, scan: Scan, by: str, order: str, rows: int
+) -> DataFrame:
+    hot = _hot_cells(counted, d, rows, by)
+    cut = floor_div(order, rows)
+    for i in range(d):
+        mine = hot.where(F.col("row") == i).select(by, F.col("cell").alias(f"_cell{i}"), F.lit(True).alias("_hot"))
+        segment = F.when(F.col("_hot"), cut).otherwise(F.lit(NO_SEGMENT)).cast("long")
+        # At most d * N / rows cells of N packets are hot, which bounds the broadcast.
+        at = at.join(F.broadcast(mine), [by, f"_cell{i}"], "left").withColumn(f"_seg{i}", segment).drop("_hot")
+
+    pieces = F.array(
+        *[
+            F.struct(F.lit(i).alias("row"), F.col(f"_cell{i}").alias("cell"), F.col(f"_seg{i}").alias("segment"))
+            for i in range(d)
+        ]
+    )
+    in_segment = F.filter(pieces, lambda p: p["segment"] != NO_SEGMENT)
+    totals = (
+        at.where(F.size(in_segment) > 0)
+        .select("*", F.inline(in_segment))
+        .groupBy(by, "row", "cell", "segment")
+        .agg(scan.total.alias("_total"))
+    )
+    earlier = Window.partitionBy(by, "row", "cell").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(by, "row", "cell", "segment", scan.prefix(F.col("_total"), earlier).alias("_carry"))
+    for i in range(d):
+        group = [by, f"_cell{i}", f"_seg{i}"]
+        mine = carry.where(F.col("row") == i).select(
+            by, F.col("cell").alias(f"_cell{i}"), F.col("segment").alias(f"_seg{i}"), "_carry"
+        )
+        local = at.repartition(*group).withColumn(f"_v{i}", scan.local(Window.partitionBy(*group).orderBy(order)))
+        at = (
+            local.join(mine, group, "left")
+            .withColumn(f"_v{i}", scan.merge(F.col("_carry"), F.col(f"_v{i}")))
+            .drop("_carry")
+        )
+    return at
+
+
 def reduce_cm(
     df: DataFrame,
     keys: Sequence[str],
@@ -106,8 +165,19 @@ def heavy_keys_cm(
     In ``running`` mode a key counts when the estimate at one of its own packets
     does; later packets of other keys in its cells do not report it.
     """
-    est = reduce_cm(df, keys, result, d, width, mode, "_est", by, order, rows)
-    return est.where(F.col("_est") >= n).select(by, *column_names(keys)).distinct()
+    ks = column_names(keys)
+    if mode == "final":
+        est = reduce_cm(df, ks, result, d, width, "final", "_est", by)
+        return est.where(F.col("_est") >= n).select(by, *ks)
+    if mode != "running":
+        raise ValueError("mode is 'running' or 'final'")
+    # Cells only grow, so the estimate reaches n at a packet of the key exactly
+    # when each of its cells does at some packet of the key.
+    at = explode_cells(df.select(by, order, *ks, result), ks, d, width)
+    summed = running(at, [by, "row", "cell"], {"_sum": running_sum(F.col(result))}, order, rows=rows)
+    most = summed.groupBy(by, *ks, "row").agg(F.max("_sum").alias("_most"))
+    reached = most.groupBy(by, *ks).agg(F.sum(F.when(F.col("_most") >= n, 1).otherwise(0)).alias("_rows"))
+    return reached.where(F.col("_rows") == d).select(by, *ks)
 
 
 def zip_diff_cm(
@@ -149,9 +219,10 @@ def cells_add(
     by: str = EPOCH,
     order: str = ORDER,
     rows: int | None = SEGMENT_ROWS,
+    count_from: DataFrame | None = None,
 ) -> DataFrame:
     """Register shared by the keys of a cell, changed by ``+= delta`` in every row."""
-    return _running_min(df, keys, d, width, running_sum(delta), 0, by, order, rows, out)
+    return _running_min(df, keys, d, width, running_sum(delta), 0, by, order, rows, out, count_from)
 
 
 def cells_assign(
@@ -165,10 +236,11 @@ def cells_assign(
     by: str = EPOCH,
     order: str = ORDER,
     rows: int | None = SEGMENT_ROWS,
+    count_from: DataFrame | None = None,
 ) -> DataFrame:
     """Register shared by the keys of a cell, assigned in every row where ``cond`` holds."""
     scan = running_last(F.when(cond, operand(value)), order)
-    return _running_min(df, keys, d, width, scan, 0, by, order, rows, out)
+    return _running_min(df, keys, d, width, scan, 0, by, order, rows, out, count_from)
 
 
 def state_shared_cells(
@@ -181,6 +253,7 @@ def state_shared_cells(
     by: str = EPOCH,
     order: str = ORDER,
     rows: int | None = SEGMENT_ROWS,
+    count_from: DataFrame | None = None,
 ) -> DataFrame:
     """Approximate register: ``("add", delta)`` or ``("assign", cond, value)``.
 
@@ -188,9 +261,9 @@ def state_shared_cells(
     """
     kind, *args = update
     if kind == "add":
-        return cells_add(df, keys, *args, out, d, width, by, order, rows)
+        return cells_add(df, keys, *args, out, d, width, by, order, rows, count_from)
     if kind == "assign":
-        return cells_assign(df, keys, *args, out, d, width, by, order, rows)
+        return cells_assign(df, keys, *args, out, d, width, by, order, rows, count_from)
     raise ValueError("an update is ('add', delta) or ('assign', cond, value)")
 
 

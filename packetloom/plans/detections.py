@@ -179,8 +179,8 @@ def synflood_cells(
 ) -> DataFrame:
     """SYN flood with both registers in shared cells."""
     hs = handshake_packets(packets, by)
-    hs = cells_assign(hs, ["nkey"], _is_syn_ack(), add_mod32("tcp_seq", 1), "nextseq", *nextseq, by=by)
-    counted = cells_add(_mark_answered(hs), ["nkey"], _open_delta(), "cnt", *cnt, by=by)
+    expected = cells_assign(hs, ["nkey"], _is_syn_ack(), add_mod32("tcp_seq", 1), "nextseq", *nextseq, by=by)
+    counted = cells_add(_mark_answered(expected), ["nkey"], _open_delta(), "cnt", *cnt, by=by, count_from=hs)
     return report(filter_cmp(counted, "cnt", "gt", n), ["nkey"], by)
 
 

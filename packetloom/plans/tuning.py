@@ -125,8 +125,14 @@ def sketch_reports(
     summed = running(
         at, ["conf_id", EPOCH, "row", "cell"], {"_est": running_sum(F.lit(1))}, ORDER, rows=rows
     )
-    estimates = summed.groupBy("conf_id", EPOCH, ORDER, key).agg(F.min("_est").alias("_est"))
-    return estimates.where(F.col("_est") >= query.n).select("conf_id", EPOCH, key).distinct()
+    # Cells only grow: a key is reported when each of its cells reaches n at one
+    # of its packets.
+    most = summed.groupBy("conf_id", EPOCH, key, "row").agg(F.max("_est").alias("_most"))
+    reached = most.groupBy("conf_id", EPOCH, key).agg(
+        F.sum(F.when(F.col("_most") >= query.n, 1).otherwise(0)).alias("_rows")
+    )
+    depth = F.get(F.array(*[F.lit(c[-1][0]) for c in configs]), F.col("conf_id"))
+    return reached.where(F.col("_rows") == depth).select("conf_id", EPOCH, key)
 
 
 def config_table(spark, configs: Sequence[Config], query: CountQuery) -> DataFrame:
