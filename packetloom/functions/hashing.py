@@ -23,23 +23,24 @@ def with_row_hashes(df: DataFrame, keys: Sequence[str], d: int, prefix: str) ->
     """
     if not 1 <= d <= MAX_ROWS:
         raise ValueError(f"a sketch has 1 to {MAX_ROWS} rows, not {d}")
+    kept = [f"`{c}`" for c in df.columns]
     names = [f"{prefix}{i}" for i in range(d)]
-    df = df.withColumns({n: F.lit(OFFSETS[i]).cast("long") for i, n in enumerate(names)})
+    df = df.selectExpr(*kept, *[f"CAST({OFFSETS[i]} AS BIGINT) AS {n}" for i, n in enumerate(names)])
     for key in column_names(keys):
-        df = df.withColumns(
-            {
-                n: ((F.col(n) + F.col(key)) % PRIME * MULTIPLIERS[i] + OFFSETS[i]) % PRIME
-                for i, n in enumerate(names)
-            }
-        )
-        df = df.withColumns({n: (F.col(n) * F.col(n) + MULTIPLIERS[i]) % PRIME for i, n in enumerate(names)})
+        mixed = [
+            f"(({n} + `{key}`) % {PRIME} * {a} + {b}) % {PRIME} AS {n}"
+            for n, a, b in zip(names, MULTIPLIERS, OFFSETS)
+        ]
+        squared = [f"({n} * {n} + {a}) % {PRIME} AS {n}" for n, a in zip(names, MULTIPLIERS)]
+        df = df.selectExpr(*kept, *mixed).selectExpr(*kept, *squared)
     return df
 
 
 def with_cells(df: DataFrame, keys: Sequence[str], d: int, width: int, prefix: str = "cell") -> DataFrame:
     """Add ``cell0`` .. ``cell{d-1}``: one cell number per sketch row, below ``width``."""
-    df = with_row_hashes(df, keys, d, prefix)
-    return df.withColumns({f"{prefix}{i}": F.col(f"{prefix}{i}") % width for i in range(d)})
+    kept = [f"`{c}`" for c in df.columns]
+    hashed = with_row_hashes(df, keys, d, prefix)
+    return hashed.selectExpr(*kept, *[f"{prefix}{i} % {width} AS {prefix}{i}" for i in range(d)])
 
 
 def cell_array(d: int, prefix: str = "cell") -> Column:
@@ -52,7 +53,4 @@ def cell_array(d: int, prefix: str = "cell") -> Column:
 def explode_cells(df: DataFrame, keys: Sequence[str], d: int, width: int) -> DataFrame:
     """One row per (input row, sketch row), with columns ``row`` and ``cell``."""
     kept = df.columns
-    cells = with_cells(df, keys, d, width, "_cell")
-    return cells.select(*kept, F.explode(cell_array(d, "_cell")).alias("_at")).select(
-        *kept, F.col("_at.row").alias("row"), F.col("_at.cell").alias("cell")
-    )
+    return with_cells(df, keys, d, width, "_cell").select(*kept, F.inline(cell_array(d, "_cell")))

@@ -6,7 +6,9 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from packetloom.functions.scalar import branch
 from packetloom.operators.running import (
@@ -94,6 +96,15 @@ def state_max_seen(
     return df.withColumn(out, F.coalesce(F.col("_reg"), F.lit(0))).drop("_reg")
 
 
+def _padded(table: pa.Table, prefix: str, is_state: bool, schema: pa.Schema) -> pa.Table:
+    """The table under prefixed names, with nulls for the columns of the other kind."""
+    n = table.num_rows
+    columns = {prefix + name: table.column(name) for name in table.column_names}
+    columns["is_state"] = pa.array([is_state] * n, pa.bool_())
+    arrays = [columns.get(f.name, pa.nulls(n, f.type)) for f in schema]
+    return pa.Table.from_arrays(arrays, schema=schema)
+
+
 def stateful_fold(
     df: DataFrame,
     keys: Sequence[str],
@@ -147,25 +158,37 @@ def stateful_fold(
     )
     packets = spark.read.parquet(folder)
     ensure_checkpoint_dir(spark)
-    state_cols = [f.name for f in state_schema.fields]
-    group_fields = [f for f in df.schema.fields if f.name in group]
-    state_type = T.StructType([*group_fields, *state_schema.fields])
-    both = T.StructType([T.StructField("out", out_schema), T.StructField("state", state_type)])
+    state_type = T.StructType([*[df.schema[g] for g in group], *state_schema.fields])
+    # One table of two kinds of rows: outputs, and the registers after the piece.
+    both = T.StructType(
+        [
+            *[T.StructField(f"out_{f.name}", f.dataType) for f in out_schema.fields],
+            *[T.StructField(f"reg_{f.name}", f.dataType) for f in state_type.fields],
+            T.StructField("is_state", T.BooleanType()),
+        ]
+    )
+    out_arrow, state_arrow, both_arrow = (to_arrow_schema(t) for t in (out_schema, state_type, both))
 
     def piece(key, rows_now, state):
-        before = tuple(state[state_cols].iloc[0]) if len(state) else initial
-        out, after = rows_now.iloc[:0], before
-        if len(rows_now):
-            out, after = fn(key, rows_now.sort_values(order, ignore_index=True), before)
-        records = [{"out": r, "state": None} for r in out.to_dict("records")] if len(rows_now) else []
-        records.append({"out": None, "state": dict(zip(group + state_cols, [*key, *after]))})
-        return pd.DataFrame(records, columns=["out", "state"])
+        key = tuple(k.as_py() for k in key)
+        before = initial
+        if state.num_rows:
+            before = tuple(state.column(f.name)[0].as_py() for f in state_schema.fields)
+        made, after = [], before
+        if rows_now.num_rows:
+            out, after = fn(key, rows_now.to_pandas().sort_values(order, ignore_index=True), before)
+            made.append(_padded(pa.Table.from_pandas(out, out_arrow, preserve_index=False), "out_", False, both_arrow))
+        registers = dict(zip(state_arrow.names, [*key, *after]))
+        made.append(_padded(pa.Table.from_pylist([registers], state_arrow), "reg_", True, both_arrow))
+        return pa.concat_tables(made)
 
     state = spark.createDataFrame([], state_type)
     done = [ordinary]
     for wave in range(waves):
         now = packets.where(F.col("_wave") == wave).select(*inputs)
-        step = now.groupBy(*group).cogroup(state.groupBy(*group)).applyInPandas(piece, both).checkpoint()
-        done.append(step.where(F.col("out").isNotNull()).select("out.*"))
-        state = step.where(F.col("state").isNotNull()).select("state.*")
+        step = now.groupBy(*group).cogroup(state.groupBy(*group)).applyInArrow(piece, both).checkpoint()
+        outputs = step.where(~F.col("is_state"))
+        done.append(outputs.select(*[F.col(f"out_{n}").alias(n) for n in out_schema.names]))
+        registers = step.where(F.col("is_state"))
+        state = registers.select(*[F.col(f"reg_{n}").alias(n) for n in state_type.names])
     return reduce(DataFrame.unionByName, done)

@@ -937,24 +937,61 @@ on_packets(
     f"SELECT * FROM {sql.sketch_report('src_addr', ['dst_addr', 'src_addr'], 5, [(2, 512), (2, 64)])}",
 )(lambda p: detections.superspreader_sketch(p, (2, 512), (2, 64), 5))
 
-NEXTSEQ_CELLS = f"""
-marked AS (
+
+
+def marked_cells(name: str, d: int, width: int) -> str:
+    """Handshake packets with ``cnt_flag`` as the shared ``nextseq`` cells make it."""
+    return f"""
+{name} AS (
   SELECT h.* REPLACE (CASE WHEN n.nextseq = h.tcp_ack THEN 2 ELSE h.cnt_flag END AS cnt_flag)
   FROM hs h JOIN (
     SELECT pkt_no, min(reg) AS nextseq FROM (
       SELECT pkt_no, coalesce(last_value(CASE WHEN tcp_flags = 18 THEN tcp_seq + 1 END IGNORE NULLS)
-        OVER (PARTITION BY epoch, row, cell {sql.RUNNING}), 0) AS reg FROM {sql.cells('hs', ['nkey'], 2, 32)})
+        OVER (PARTITION BY epoch, row, cell {sql.RUNNING}), 0) AS reg FROM {sql.cells('hs', ['nkey'], d, width)})
     GROUP BY pkt_no) n ON n.pkt_no = h.pkt_no)"""
 
+
+def flooded_cells(marked: str, d: int, width: int, n: int) -> str:
+    return f"""(SELECT DISTINCT epoch, nkey FROM (SELECT epoch, pkt_no, nkey, min(reg) AS cnt FROM (
+      SELECT epoch, pkt_no, nkey, sum({sql.DELTA}) OVER (PARTITION BY epoch, row, cell {sql.RUNNING}) AS reg
+      FROM {sql.cells(marked, ['nkey'], d, width)}) GROUP BY ALL) WHERE cnt > {n})"""
+
+
 on_packets(
     "q5c_synflood_cells",
-    f"""SELECT DISTINCT epoch, nkey FROM (SELECT epoch, pkt_no, nkey, min(reg) AS cnt FROM (
-      SELECT epoch, pkt_no, nkey, sum({sql.DELTA}) OVER (PARTITION BY epoch, row, cell {sql.RUNNING}) AS reg
-      FROM {sql.cells('marked', ['nkey'], 2, 64)}) GROUP BY ALL) WHERE cnt > 2""",
+    f"SELECT * FROM {flooded_cells('marked', 2, 64, 2)}",
     sql.HANDSHAKE,
-    NEXTSEQ_CELLS,
+    marked_cells("marked", 2, 32),
 )(lambda p: detections.synflood_cells(p, (2, 32), (2, 64), 2))
 
+FLOOD_CONFIGS = [((1, 8), (2, 16)), ((2, 16), (1, 32))]
+FLOOD_SPEC = AccuracySpec(0.5, 0.5, 0.8)
+
+
+def flood_configs_sql() -> str:
+    parts = []
+    for i, config in enumerate(FLOOD_CONFIGS):
+        d, width = sql.widths(config, [tuning.COUNTER_BITS] * 2, PAGE)[1]
+        est = flooded_cells(f"marked{i}", d, width, 2)
+        rank = accuracy.gate_rank(N_EPOCH, FLOOD_SPEC.confidence) + 1
+        gated = sql.gate(sql.metrics(est, f"({SYNFLOOD.format(src='hs')})", "nkey", N_EPOCH), rank, 0.5, 0.5, N_EPOCH)
+        parts.append(f"SELECT CAST({i} AS BIGINT) AS conf_id, *, round({score_sql(config)}, 6) AS score FROM ({gated})")
+    return " UNION ALL ".join(parts)
+
+
+@on_packets(
+    "e7_evaluate_register_configs",
+    flood_configs_sql(),
+    sql.HANDSHAKE,
+    *[
+        marked_cells(f"marked{i}", *sql.widths(c, [tuning.COUNTER_BITS] * 2, PAGE)[0])
+        for i, c in enumerate(FLOOD_CONFIGS)
+    ],
+)
+def e7_registers(p):
+    return tuning.evaluate_configs(p, tuning.SynFloodQuery(2), FLOOD_CONFIGS, FLOOD_SPEC, N_EPOCH, page_bytes=PAGE)
+
+
 on_packets(
     "q5f_synflood_fingerprint",
     SYNFLOOD.format(src="(SELECT h.* FROM hs h JOIN fp_owners o ON o.epoch = h.epoch AND o.nkey = h.nkey)"),

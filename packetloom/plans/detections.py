@@ -115,7 +115,14 @@ def synflood(
     packets: DataFrame, n: int = 12, by: str = EPOCH, order: str = ORDER, rows: int | None = SEGMENT_ROWS
 ) -> DataFrame:
     """Servers whose half-open handshakes ever exceed ``n``."""
-    return report(filter_cmp(synflood_counts(packets, by, order, rows), "cnt", "gt", n), ["nkey"], by)
+    return flooded_servers(handshake_packets(packets, by, order), n, by, order, rows)
+
+
+def flooded_servers(
+    hs: DataFrame, n: int, by: str = EPOCH, order: str = ORDER, rows: int | None = SEGMENT_ROWS
+) -> DataFrame:
+    """Servers of handshake packets with over ``n`` half-open at some packet."""
+    return report(filter_cmp(_open_handshakes(hs, by, order, rows), "cnt", "gt", n), ["nkey"], by)
 
 
 def tcp_nonmonotonic(
@@ -178,16 +185,31 @@ def synflood_cells(
     packets: DataFrame, nextseq: tuple[int, int], cnt: tuple[int, int], n: int = 12, by: str = EPOCH
 ) -> DataFrame:
     """SYN flood with both registers in shared cells."""
-    hs = handshake_packets(packets, by)
-    expected = cells_assign(hs, ["nkey"], _is_syn_ack(), add_mod32("tcp_seq", 1), "nextseq", *nextseq, by=by)
-    counted = cells_add(_mark_answered(expected), ["nkey"], _open_delta(), "cnt", *cnt, by=by, count_from=hs)
+    return flooded_servers_cells(handshake_packets(packets, by), nextseq, cnt, n, by)
+
+
+def flooded_servers_cells(
+    hs: DataFrame,
+    nextseq: tuple[int, int],
+    cnt: tuple[int, int],
+    n: int,
+    by: str = EPOCH,
+    rows: int | None = SEGMENT_ROWS,
+) -> DataFrame:
+    """``flooded_servers`` with both registers in shared cells."""
+    expected = cells_assign(
+        hs, ["nkey"], _is_syn_ack(), add_mod32("tcp_seq", 1), "nextseq", *nextseq, by=by, rows=rows
+    )
+    counted = cells_add(
+        _mark_answered(expected), ["nkey"], _open_delta(), "cnt", *cnt, by=by, rows=rows, count_from=hs
+    )
     return report(filter_cmp(counted, "cnt", "gt", n), ["nkey"], by)
 
 
 def synflood_fingerprint(packets: DataFrame, d: int, width: int, n: int = 12, by: str = EPOCH) -> DataFrame:
     """SYN flood with exact registers for the servers that own a fingerprint cell."""
     tracked = state_fingerprint(handshake_packets(packets, by), ["nkey"], d, width, by)
-    return report(filter_cmp(_open_handshakes(tracked, by), "cnt", "gt", n), ["nkey"], by)
+    return flooded_servers(tracked, n, by)
 
 
 def alert_packets(packets: DataFrame, keys: list[str], n: int, by: str = EPOCH, order: str = ORDER) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,6 +18,7 @@ from packetloom.operators.accuracy import AccuracySpec, confidence_gate, precisi
 from packetloom.operators.distinct import distinct_first, first_rows
 from packetloom.operators.running import SEGMENT_ROWS, running, running_sum
 from packetloom.operators.sketch import PAGE_BYTES, cells_per_row
+from packetloom.plans import detections
 from packetloom.schema import EPOCH, ORDER, column_names
 from packetloom.sources.shared import ensure_checkpoint_dir
 
@@ -71,10 +73,45 @@ class CountQuery:
         return distinct_first(kept, self.distinct) if self.distinct else kept
 
 
-def exact_report(first: DataFrame, query: CountQuery) -> DataFrame:
-    """(epoch, key) reported without sketches, from the query's first packets."""
-    counts = first.groupBy(EPOCH, query.key).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") >= query.n).select(EPOCH, query.key)
+    def exact(self, first: DataFrame) -> DataFrame:
+        """(epoch, key) reported without sketches, from the first packets."""
+        counts = first.groupBy(EPOCH, self.key).agg(F.count(F.lit(1)).alias("_n"))
+        return counts.where(F.col("_n") >= self.n).select(EPOCH, self.key)
+
+    def reports(
+        self, first: DataFrame, configs: Sequence[Config], page_bytes: int, rows: int | None
+    ) -> DataFrame:
+        return sketch_reports(first, self, configs, page_bytes, rows)
+
+
+@dataclass(frozen=True)
+class SynFloodQuery:
+    """Servers with over ``n`` half-open handshakes, from two registers in shared cells."""
+
+    n: int = 12
+    key: str = "nkey"
+    tables: tuple[str, ...] = ("nextseq", "cnt")
+
+    def first_packets(self, packets: DataFrame, n_epoch: int) -> DataFrame:
+        return detections.handshake_packets(packets.where(F.col(EPOCH) < n_epoch))
+
+    def exact(self, first: DataFrame) -> DataFrame:
+        return detections.flooded_servers(first, self.n)
+
+    def reports(
+        self, first: DataFrame, configs: Sequence[Config], page_bytes: int, rows: int | None
+    ) -> DataFrame:
+        """What the second register counts depends on the sizes of the first, so each
+        configuration is a branch of its own in the one job."""
+        found = []
+        for i, config in enumerate(configs):
+            sizes = [(d, cells_per_row(w, COUNTER_BITS, page_bytes)) for d, w in config]
+            servers = detections.flooded_servers_cells(first, *sizes, self.n, rows=rows)
+            found.append(servers.select(F.lit(i).alias("conf_id"), EPOCH, self.key))
+        return reduce(DataFrame.unionByName, found)
+
+
+SketchedQuery = CountQuery | SynFloodQuery
 
 
 def _cell_plan(configs: Sequence[Config], table: int, bits: int, page_bytes: int, hashes: str) -> Column:
@@ -135,7 +172,7 @@ def sketch_reports(
     return reached.where(F.col("_rows") == depth).select("conf_id", EPOCH, key)
 
 
-def config_table(spark, configs: Sequence[Config], query: CountQuery) -> DataFrame:
+def config_table(spark, configs: Sequence[Config], query: SketchedQuery) -> DataFrame:
     """(conf_id, table, d, w), one row per table of each configuration."""
     rows = [
         (i, name, d, w) for i, config in enumerate(configs) for name, (d, w) in zip(query.tables, config)
@@ -175,7 +212,7 @@ def valid_conf(conf_df: DataFrame, limits: Limits = Limits(), by: Sequence[str]
 
 def _judge(
     first: DataFrame,
-    query: CountQuery,
+    query: SketchedQuery,
     configs: Sequence[Config],
     spec: AccuracySpec,
     n_epoch: int,
@@ -184,8 +221,8 @@ def _judge(
     rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     ids = range(len(configs))
-    est = sketch_reports(first, query, configs, page_bytes, rows)
-    exact = exact_report(first, query).select(
+    est = query.reports(first, configs, page_bytes, rows)
+    exact = query.exact(first).select(
         F.explode(F.array(*[F.lit(i) for i in ids])).alias("conf_id"), EPOCH, query.key
     )
     metrics = precision_recall(est, exact, [query.key], n_epoch, ids)
@@ -195,7 +232,7 @@ def _judge(
 
 def evaluate_configs(
     packets: DataFrame,
-    query: CountQuery,
+    query: SketchedQuery,
     configs: Sequence[Config],
     spec: AccuracySpec,
     n_epoch: int,
@@ -210,7 +247,7 @@ def evaluate_configs(
 
 def accuracy_report(
     packets: DataFrame,
-    query: CountQuery,
+    query: SketchedQuery,
     config: Config,
     spec: AccuracySpec,
     n_epoch: int,
@@ -261,7 +298,7 @@ def _neighbours(config: Config, passed: bool, limits: Limits) -> list[Config]:
 
 def tune_sketch(
     packets: DataFrame,
-    query: CountQuery,
+    query: SketchedQuery,
     spec: AccuracySpec,
     n_epoch: int,
     limits: Limits = Limits(),

@@ -7,7 +7,7 @@ from packetloom.operators import accuracy, epochs
 from packetloom.operators.accuracy import AccuracySpec
 from packetloom.operators.distinct import distinct_first
 from packetloom.operators.sketch import bloom_distinct, cells_per_row, heavy_keys_cm
-from packetloom.plans import tuning
+from packetloom.plans import detections, tuning
 
 
 def sets(spark, pairs, columns="epoch long, k long"):
@@ -71,7 +71,7 @@ def test_many_configs_equal_one_by_one(packets, rows):
     configs = [((1, 1), (1, 1)), ((2, 2), (3, 2)), ((4, 1), (2, 4))]
     page = 4
     first = query.first_packets(packets, 3)
-    got = {tuple(r) for r in tuning.sketch_reports(first, query, configs, page, rows).collect()}
+    got = {tuple(r) for r in query.reports(first, configs, page, rows).collect()}
     want = set()
     for i, (b, c) in enumerate(configs):
         passed = bloom_distinct(packets, ["dst_addr", "src_addr"], b[0], cells_per_row(b[1], 1, page))
@@ -80,7 +80,7 @@ def test_many_configs_equal_one_by_one(packets, rows):
         want |= {(i, r["epoch"], r["dst_addr"]) for r in heavy.collect()}
     assert got == want
     exact = distinct_first(packets, ["dst_addr", "src_addr"]).groupBy("epoch", "dst_addr").count().where("count >= 3")
-    assert {tuple(r) for r in tuning.exact_report(first, query).collect()} == {
+    assert {tuple(r) for r in query.exact(first).collect()} == {
         (r["epoch"], r["dst_addr"]) for r in exact.collect()
     }
 
@@ -100,3 +100,15 @@ def test_search_without_answer(packets):
     query = tuning.CountQuery("dst_addr", 5, ("dst_addr", "src_addr"))
     with pytest.raises(ValueError, match="no configuration"):
         tuning.tune_sketch(packets, query, AccuracySpec(1.1, 1.1, 0.9), 3, tuning.Limits(alu_max=1, page_max=1), 32)
+
+
+def test_register_query_in_many_sizes(packets):
+    query = tuning.SynFloodQuery(2)
+    configs = [((1, 1), (1, 2)), ((2, 2), (2, 2))]
+    first = query.first_packets(packets, 3)
+    got = {tuple(r) for r in query.reports(first, configs, 16, 25).collect()}
+    want = set()
+    for i, (a, b) in enumerate(configs):
+        sizes = [(d, cells_per_row(w, 32, 16)) for d, w in (a, b)]
+        want |= {(i, *r) for r in map(tuple, detections.synflood_cells(packets, *sizes, 2).collect())}
+    assert got == want and want
