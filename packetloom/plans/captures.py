@@ -18,8 +18,12 @@ def _be(value: Column, n: int) -> Column:
 
 
 def raw_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IP packets in bytes, one per event; one in fifty of each kind is damaged."""
-    p = packet_columns(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    """Capture rows of the events."""
+    return as_captured(packet_columns(spark.read.parquet(f"{sf_dir}/events.parquet")))
+
+
+def as_captured(p: DataFrame) -> DataFrame:
+    """IP packets in bytes, one per packet; one in fifty of each kind is damaged."""
     kind = F.col("pkt_no") % 50
     proto = F.when(kind.isin(4, 9), 1).when(kind == 5, 47).otherwise(F.col("proto"))
     first = F.when(kind == 1, "65").when(kind == 2, "46").otherwise("45")

@@ -1085,3 +1085,26 @@ register("q5_synflood_stream", ORACLES["q5_synflood"])(synflood_stream)
 on_stream("q6_tcp_nonmonotonic_stream", NONMONOTONIC)(
     lambda s, t: stream_detections.tcp_nonmonotonic(s, DAY_SECONDS, t)
 )
+
+
+# Alerts come with the packets, so the open epoch has them as well.
+@register(
+    "s7_alert_packets_stream",
+    sql.with_packets(
+        f"SELECT epoch, {TRACE_COLUMNS} FROM (SELECT * FROM packets WHERE proto = 6 AND tcp_flags = 2"
+        " QUALIFY row_number() OVER (PARTITION BY epoch, dst_addr ORDER BY pkt_no) = 3)"
+    ),
+)
+def s7_stream(spark, sf_dir):
+    stream, start_us = packet_stream(spark, sf_dir)
+    syn = detections.syn_packets(stream)
+    alerts = stream_detections.alert_packets(syn, ["ipv4.dst_addr"], 3, DAY_SECONDS, start_us)
+    found = windows.run_to_end(alerts, "s7_stream")
+    return flat(found.withColumn("_epoch", F.col("epoch"))).withColumnRenamed("_epoch", "epoch")
+
+
+@register("a8_capture_summary_stream", captures.SUMMARY_SQL)
+def a8_stream(spark, sf_dir):
+    stream, _ = packet_stream(spark, sf_dir)
+    counts = decode.status_counts(decode.decode_packets(captures.as_captured(stream)))
+    return decode.summary_of_counts(windows.run_to_end_complete(counts, "a8_stream")).na.fill(-1)

@@ -139,14 +139,10 @@ def write_valid(
         valid.write.mode(mode).parquet(path)
 
 
-def capture_summary(df: DataFrame, order: str = ORDER) -> DataFrame:
-    """Packets, captured and actual bytes and trace span, per status and in all (``TOTAL``).
-
-    Statuses that did not occur have a row of zeros. The trace starts and ends
-    with its first and last packet, not with its extreme timestamps.
-    """
+def status_counts(df: DataFrame, order: str = ORDER) -> DataFrame:
+    """Packets, bytes and time span per status; also for a stream in complete mode."""
     ts = F.unix_micros("ts")
-    per_status = df.groupBy("status").agg(
+    return df.groupBy("status").agg(
         F.count(F.lit(1)).alias("packets"),
         F.sum("caplen").cast("long").alias("cap_bytes"),
         F.sum("len").cast("long").alias("act_bytes"),
@@ -155,6 +151,19 @@ def capture_summary(df: DataFrame, order: str = ORDER) -> DataFrame:
         F.min_by(ts, F.col(order)).alias("start_us"),
         F.max_by(ts, F.col(order)).alias("end_us"),
     )
+
+
+def capture_summary(df: DataFrame, order: str = ORDER) -> DataFrame:
+    """Packets, captured and actual bytes and trace span, per status and in all (``TOTAL``).
+
+    Statuses that did not occur have a row of zeros. The trace starts and ends
+    with its first and last packet, not with its extreme timestamps.
+    """
+    return summary_of_counts(status_counts(df, order))
+
+
+def summary_of_counts(per_status: DataFrame) -> DataFrame:
+    """The summary of the at most thirteen rows of :func:`status_counts`."""
     counted = (
         per_status.rollup("status")
         .agg(
@@ -165,7 +174,7 @@ def capture_summary(df: DataFrame, order: str = ORDER) -> DataFrame:
         .withColumn("status", F.coalesce("status", F.lit("TOTAL")))
     )
     names = F.array(*[F.lit(s) for s in (*STATUSES, "TOTAL")])
-    every = df.sparkSession.range(1).select(F.explode(names).alias("status"))
+    every = per_status.sparkSession.range(1).select(F.explode(names).alias("status"))
     return (
         every.join(counted, "status", "left")
         .na.fill(0, ["packets", "cap_bytes", "act_bytes"])

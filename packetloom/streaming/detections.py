@@ -98,6 +98,28 @@ def synflood_alerts(
     return synflood_counts(packets, interval, start_us, watermark).where(F.col("cnt") > n)
 
 
+ALERT_STATE = T.StructType([T.StructField("seen", _LONG)])
+
+
+def alert_packets(
+    packets: DataFrame,
+    keys: list[str],
+    n: int,
+    interval: float = 0.5,
+    start_us: int = 0,
+    watermark: str = "0 seconds",
+) -> DataFrame:
+    """The whole packets that bring the count of their key in the epoch to ``n``."""
+    numbered = numbered_epoch(packets, interval, watermark, start_us)
+
+    def nth(key: tuple, rows: pd.DataFrame, before: tuple) -> tuple[pd.DataFrame, tuple]:
+        seen = before[0]
+        at = n - seen - 1
+        return rows.iloc[at : at + 1] if at >= 0 else rows.iloc[:0], (seen + len(rows),)
+
+    return stateful_fold_stream(numbered, keys, nth, (0,), ALERT_STATE, numbered.schema, interval, start_us)
+
+
 def tcp_nonmonotonic(
     packets: DataFrame, interval: float = 0.5, start_us: int = 0, watermark: str = "0 seconds"
 ) -> DataFrame:

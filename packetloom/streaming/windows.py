@@ -58,5 +58,24 @@ def run_to_end(stream: DataFrame, purpose: str = "stream") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_to_end_complete(stream: DataFrame, purpose: str = "stream") -> DataFrame:
+    """Process all that is available of an aggregate; its latest state replaces a shared table."""
+    spark = stream.sparkSession
+    out = shared_dir(spark, purpose)
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    query = (
+        stream.writeStream.outputMode("complete")
+        .option("checkpointLocation", shared_dir(spark, f"{purpose}-progress"))
+        .trigger(availableNow=True)
+        .foreachBatch(replace)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

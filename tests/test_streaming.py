@@ -53,3 +53,11 @@ def test_results_at_the_end_of_an_epoch(spark, split_events):
     last = batch.agg(F.max("epoch")).first()[0]
     got = windows.run_to_end(S.tcp_nonmonotonic(stream(), DAY_SECONDS, start_us))
     assert {tuple(r) for r in got.collect()} == closed(detections.tcp_nonmonotonic(batch), last)
+
+
+def test_alerts(spark, split_events):
+    stream, start_us = split_events
+    syn = detections.syn_packets(stream())
+    got = windows.run_to_end(S.alert_packets(syn, ["dst_addr"], 2, DAY_SECONDS, start_us))
+    want = detections.alert_packets(detections.syn_packets(packets_from_events(spark, SF)), ["dst_addr"], 2)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.select(got.columns).collect()}
