@@ -33,5 +33,9 @@ def test_every_oracle_has_a_query():
 
 @pytest.mark.parametrize("name", [n for n in spark_entry.queries() if n not in SLOW])
 def test_query(spark, con, name):
-    verdict = compare(spark, con, SF, name)
+    df = spark_entry.queries()[name](spark, SF)
+    verdict = compare(df, con, name)
     assert verdict.startswith(("ok", "rows-only")), verdict
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    assert "NestedLoopJoin" not in plan
