@@ -156,6 +156,8 @@ class TraceWriter(DataSourceArrowWriter):
         return PartFile(staged, f"{self.path}/{name}.trace")
 
     def commit(self, messages: list[PartFile | None]) -> None:
+        system, where = resolve(self.path)
+        system.create_dir(where, recursive=True)  # no task may have written anything
         for path, _ in list_files(self.path):
             system, where = resolve(path)
             system.delete_file(where)

@@ -42,6 +42,18 @@ def test_trace_of_broken_length_is_refused(spark, tmp_path):
         trace.read_trace(spark, str(tmp_path)).count()
 
 
+def test_trace_folder_is_replaced_or_refused(spark, tmp_path):
+    packets = packets_from_events(spark, SF).drop("epoch")
+    path = str(tmp_path / "trace")
+    trace.write_trace(packets.where("pkt_no < 50"), path)
+    with pytest.raises(Exception, match="FileExists"):
+        trace.write_trace(packets.where("pkt_no < 30"), path)
+    trace.write_trace(packets.where("pkt_no < 30"), path, mode="overwrite")
+    assert trace.read_trace(spark, path).count() == 30
+    trace.write_trace(packets.where("pkt_no < 0"), str(tmp_path / "none"))
+    assert trace.read_trace(spark, str(tmp_path / "none")).count() == 0
+
+
 def capture(path, order, magic, ticks, n, seed):
     rng = random.Random(seed)
     want = []
