@@ -21,15 +21,21 @@ from packetloom.llm.common import row_key, slices, stored
 VOCABULARIES = ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 
-WIDTH = 3.0
-"""A band reaches this many times the distance from the median to the outer quantile beyond it."""
+WIDTH = 5.0
+"""A band reaches this many times as far from the median as the quartile on that side."""
 
-OUTER = 0.05
 MIN_GROUP = 200
 """Documents that a language or script needs for a band of its own."""
 
-STEP = {"chars_per_token": 0.01, "byte_share": 0.002, "entropy": 0.01}
-"""Grid on which the corpus is counted; also the least half width of a band, times 5."""
+STEP = {"chars_per_token": 0.002, "byte_share": 0.001, "entropy": 0.005}
+"""Grid on which the corpus is counted."""
+
+LEAST = {"chars_per_token": 0.02, "byte_share": 0.01, "entropy": 0.05}
+"""A quartile nearer to the median than this counts as so far."""
+
+SHORT = (8.0, 80.0)
+"""Short texts scatter more, and one odd word weighs more in them: bands are
+``1 + SHORT[0] / sqrt(words) + SHORT[1] / words`` times as wide."""
 
 CACHE = 200_000
 """Words whose tokens a Python worker remembers."""
@@ -120,8 +126,7 @@ class Measure:
             share = np.sort(ids)
             counts = np.diff(np.flatnonzero(np.concatenate(([True], share[1:] != share[:-1], [True]))))
             entropy = float(np.log2(len(ids)) - (counts * np.log2(counts)).sum() / len(ids))
-            most = float(np.log2(len(ids))) or 1.0
-            out.append((sum(map(len, own)) / len(ids), sum(p[1] for p in pieces) / len(ids), entropy / most))
+            out.append((sum(map(len, own)) / len(ids), sum(p[1] for p in pieces) / len(ids), entropy))
         return out
 
 
@@ -141,8 +146,8 @@ def measures(
     """Base counts, script and the measures of each vocabulary (``m0_chars_per_token``, ...) per row.
 
     Words are runs of other characters than ASCII white space, over whole texts. Null texts
-    have none; without words all measures are 0. ``entropy`` is divided by the logarithm of
-    the number of tokens, so that long and short texts compare.
+    have none; without words all measures are 0. ``entropy`` is that of the document's token
+    counts, in bits.
     """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +177,7 @@ def measures(
 
 
 def bands(measured: DataFrame, width: float = WIDTH, min_group: int = MIN_GROUP) -> DataFrame:
-    """``level, name, measure, low, high`` from all measured documents that pass the base rules.
+    """``level, name, measure, low, middle, high`` from all measured documents that pass the base rules.
 
     Counts on a fixed grid are combined in the map tasks; the quantiles are exact on it, so
     they depend on neither order nor partitioning. ``level`` 0: all, 1: script, 2: language.
@@ -200,13 +205,19 @@ def bands(measured: DataFrame, width: float = WIDTH, min_group: int = MIN_GROUP)
         return F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("cell")))
 
     q = ranked.groupBy("level", "name", "measure").agg(
-        F.max("total").alias("total"), quantile(OUTER).alias("a"), quantile(0.5).alias("m"), quantile(1 - OUTER).alias("b")
+        F.max("total").alias("total"), quantile(0.25).alias("a"), quantile(0.5).alias("m"), quantile(0.75).alias("b")
     )
     q = q.where((F.col("level") == 0) | (F.col("total") >= min_group))
-    step = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(STEP[c.split("_", 1)[1]]))])[F.col("measure")]
-    low = (F.col("m") - width * F.greatest(F.col("m") - F.col("a"), F.lit(5))) * step
-    high = (F.col("m") + width * F.greatest(F.col("b") - F.col("m"), F.lit(5))) * step
-    return q.select("level", "name", "measure", low.alias("low"), high.alias("high"))
+
+    def of(table: dict[str, float]) -> Column:
+        return F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(table[c.split("_", 1)[1]]))])[F.col("measure")]
+
+    def side(cells: Column) -> Column:
+        return width * F.greatest(cells * of(STEP), of(LEAST))
+
+    low = F.col("m") * of(STEP) - side(F.col("m") - F.col("a"))
+    high = F.col("m") * of(STEP) + side(F.col("b") - F.col("m"))
+    return q.select("level", "name", "measure", low.alias("low"), (F.col("m") * of(STEP)).alias("middle"), high.alias("high"))
 
 
 def _base_failed() -> Column:
@@ -228,26 +239,26 @@ def verdicts(
 
     A row is kept if it passes the base rules and every measure lies in the band of its
     language, or of its script if the language has none (or is null), or of the corpus.
-    Short texts scatter more: bands widen by ``1 + 8 / sqrt(n_words)``. In an empty table
+    Bands widen for short texts (``SHORT``). In an empty table
     there is nothing to judge; where no document passes the base rules there are no bands.
     """
     measured = stored(spark, measures(docs, vocabularies, folder, doc_id, text, lang), "fertility")
     columns = [c for c in measured.columns if re.match(r"m\d+_", c)]
-    limits: dict[tuple[int, str], dict[str, tuple[float, float]]] = {}
+    limits: dict[tuple[int, str], dict[str, tuple[float, float, float]]] = {}
     for r in bands(measured, width, min_group).collect():  # a language in it has min_group documents
-        limits.setdefault((r["level"], r["name"]), {})[r["measure"]] = (r["low"], r["high"])
+        limits.setdefault((r["level"], r["name"]), {})[r["measure"]] = (r["low"], r["middle"], r["high"])
 
     def table(level: int) -> Column:
         rows = [x for (at, name), own in sorted(limits.items()) if at == level for x in (F.lit(name), F.array(*[F.lit(v) for c in columns for v in own[c]]))]
         return F.create_map(*rows) if rows else F.lit(None).cast("map<string, array<double>>")
 
-    spread = 1 + 8 / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
+    n = F.greatest(F.col("n_words"), F.lit(1))
+    spread = 1 + SHORT[0] / F.sqrt(n) + SHORT[1] / n
     band = F.coalesce(F.try_element_at(table(2), F.coalesce("lang", F.lit(""))), F.try_element_at(table(1), F.col("script")), F.try_element_at(table(0), F.lit("")))
     inside = F.lit(True)
     for i, c in enumerate(columns):
-        low, high = F.col("_band")[2 * i], F.col("_band")[2 * i + 1]
-        middle, half = (low + high) / 2, (high - low) / 2
-        inside = inside & (F.abs(F.col(c) - middle) <= half * spread)
+        low, middle, high = (F.col("_band")[3 * i + k] for k in range(3))
+        inside = inside & F.col(c).between(middle - (middle - low) * spread, middle + (high - middle) * spread)
     failed = _base_failed()
     judged = measured.withColumn("_band", band).withColumn("base_failed", failed)
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("_band")

@@ -9,11 +9,14 @@ logistic span classifier, which decides over the candidates in all texts.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.llm.common import stored
+
 # Every pattern is linear in the text: a start that must fail is not tried again inside the
 # same run, and possessive groups neither back off nor recurse. The matches are those of the
 # plain forms beside them.
@@ -53,6 +56,11 @@ IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 BLOCK = 256
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _scan(values: Column, start: Column) -> Column:
     """``start`` and the running sums after it."""
     return F.aggregate(values, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
@@ -62,30 +70,39 @@ def running_sums(values: Column) -> Column:
     """0 and the running sums of a non-empty array of numbers, block by block: growing one
     array for all of a long text would copy it once per element."""
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, BLOCK))
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))
-    before = F.slice(_scan(totals, F.lit(0)), 1, F.size(totals))
-    joined = F.flatten(F.zip_with(blocks, before, lambda b, at: F.slice(_scan(b, at), 2, F.size(b))))
-    return F.concat(F.array(F.lit(0)), joined)
+
+    def whole(own: Column) -> Column:
+        totals = F.transform(own, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))
+        joined = F.flatten(F.zip_with(own, F.slice(_scan(totals, F.lit(0)), 1, F.size(own)), lambda b, at: F.slice(_scan(b, at), 2, F.size(b))))
+        return F.concat(F.array(F.lit(0)), joined)
+
+    return let(blocks, whole)
 
 
 def find(text: Column, pattern: str) -> Column:
     """All matches, in order: ``start``, ``end`` (code points), ``hit``, ``left`` and ``right`` (text beside it)."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    sizes = F.flatten(F.zip_with(F.slice(between, 1, F.size(hits)), hits, lambda a, b: F.array(F.length(a), F.length(b))))
-    at = running_sums(sizes)
-    spans = F.transform(
-        hits,
-        lambda h, i: F.struct(
-            F.get(at, 2 * i + 1).alias("start"),
-            F.get(at, 2 * i + 2).alias("end"),
-            h.alias("hit"),
-            F.substring(F.get(between, i), -CONTEXT, CONTEXT).alias("left"),
-            F.substring(F.get(between, i + 1), 1, 2).alias("right"),
-        ),
-    )
     none = F.array().cast("array<struct<start: int, end: int, hit: string, left: string, right: string>>")
-    return F.when(F.size(hits) > 0, spans).otherwise(none)
+
+    def placed(hits: Column, between: Column) -> Column:
+        sizes = F.flatten(F.zip_with(F.slice(between, 1, F.size(hits)), hits, lambda a, b: F.array(F.length(a), F.length(b))))
+        return let(
+            running_sums(sizes),
+            lambda at: F.transform(
+                hits,
+                lambda h, i: F.struct(
+                    F.get(at, 2 * i + 1).alias("start"),
+                    F.get(at, 2 * i + 2).alias("end"),
+                    h.alias("hit"),
+                    F.substring(F.get(between, i), -CONTEXT, CONTEXT).alias("left"),
+                    F.substring(F.get(between, i + 1), 1, 2).alias("right"),
+                ),
+            ),
+        )
+
+    return let(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda hits: F.when(F.size(hits) > 0, let(F.split(text, pattern, -1), lambda between: placed(hits, between))).otherwise(none),
+    )
 
 
 def digits(text: Column) -> Column:
@@ -229,11 +246,15 @@ def find_spans(docs: DataFrame, threshold: float = 0.5, doc_id: str = "doc_id",
         return F.transform(good, lambda s: F.struct(s["start"], F.lit(rank).alias("rank"), s["end"], F.lit(kind).alias("kind")))
 
     has = {"email": F.col("text").contains("@"), "phone": F.col("text").contains("+")}
+    number = F.col("text").rlike("[0-9]")
     none = F.array().cast("array<struct<start: int, rank: int, end: int, kind: string>>")
-    base = F.array_sort(
-        F.flatten(F.array(*[F.when(has.get(k, F.lit(True)), kind_of(i, k, find(F.col("text"), p))).otherwise(none) for i, (k, p) in enumerate(PATTERNS.items())]))
+    nothing = F.array().cast("array<struct<start: int, end: int, hit: string, left: string, right: string>>")
+    kinds = [F.when(has.get(k, number), kind_of(i, k, find(F.col("text"), p))).otherwise(none) for i, (k, p) in enumerate(PATTERNS.items())]
+    found = narrow.select(
+        "doc_id", F.array_sort(F.flatten(F.array(*kinds))).alias("base"), F.when(number, find(F.col("text"), CANDIDATE)).otherwise(nothing).alias("found")
     )
-    found = narrow.withColumn("base", base).withColumn("found", find(F.col("text"), CANDIDATE)).drop("text")
+    # Each text is searched once: what follows reads spans only.
+    found = stored(docs.sparkSession, found, "spans")
     free = F.filter("found", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     found = found.select("doc_id", "base", free.alias("found"))
 
