@@ -21,7 +21,7 @@ from packetloom.llm.common import row_key, slices, stored
 VOCABULARIES = ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 
-WIDTH = 5.0
+WIDTH = 4.0
 """A band reaches this many times as far from the median as the quartile on that side."""
 
 MIN_GROUP = 200
