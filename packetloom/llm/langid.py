@@ -61,13 +61,14 @@ def buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         h = np.full(len(views[0]), n, np.uint32)
         for k, v in enumerate(views):
             h = (h ^ v * _MULTIPLY[k]) * np.uint32(0x01000193)
-        keep = np.ones(len(h), bool)
-        for v in views if n == 1 else views[1:-1] if n > 2 else []:
-            keep &= v != 0
-        if n > 1:
-            keep &= (views[0] != 0) | (views[-1] != 0)
+        if n == 1:
+            keep = views[0] != 0
+        elif n == 2:
+            keep = (views[0] != 0) | (views[1] != 0)
+        else:
+            keep = np.all([v != 0 for v in views[1:-1]], axis=0)
         found.append(((h ^ (h >> np.uint32(15))) % BUCKETS)[keep].astype(np.int64))
-        whose.append(owner[n - 1 :][keep])
+        whose.append(owner[: len(h)][keep])  # the mark before a text is its own, the one after it is not
     return np.concatenate(found), np.concatenate(whose)
 
 
