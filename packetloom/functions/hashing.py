@@ -12,7 +12,14 @@ from packetloom.schema import column_names
 PRIME = 2147483647
 MULTIPLIERS = (1103515245, 1812433253, 1566083941, 2034173521)
 OFFSETS = (12345, 97531, 424243, 777767)
-MAX_ROWS = len(OFFSETS)
+_NEXT = (69621, 48271)
+
+
+def row_pair(i: int) -> tuple[int, int]:
+    """Multiplier and offset of sketch row ``i``: the fixed pairs, then powers of them by a step."""
+    turn, base = divmod(i, len(OFFSETS))
+    a, b = (pow(step, turn, PRIME) for step in _NEXT)
+    return MULTIPLIERS[base] * a % PRIME, OFFSETS[base] * b % PRIME
 
 
 def with_row_hashes(df: DataFrame, keys: Sequence[str], d: int, prefix: str) -> DataFrame:
@@ -21,17 +28,18 @@ def with_row_hashes(df: DataFrame, keys: Sequence[str], d: int, prefix: str) ->
     One projection per key column: the squaring step would otherwise double the
     expression with every key, and the optimizer keeps such projections apart.
     """
-    if not 1 <= d <= MAX_ROWS:
-        raise ValueError(f"a sketch has 1 to {MAX_ROWS} rows, not {d}")
+    if d < 1:
+        raise ValueError(f"a sketch has at least one row, not {d}")
+    pairs = [row_pair(i) for i in range(d)]
     kept = [f"`{c}`" for c in df.columns]
     names = [f"{prefix}{i}" for i in range(d)]
-    df = df.selectExpr(*kept, *[f"CAST({OFFSETS[i]} AS BIGINT) AS {n}" for i, n in enumerate(names)])
+    df = df.selectExpr(*kept, *[f"CAST({b} AS BIGINT) AS {n}" for n, (_, b) in zip(names, pairs)])
     for key in column_names(keys):
         mixed = [
             f"(({n} + `{key}`) % {PRIME} * {a} + {b}) % {PRIME} AS {n}"
-            for n, a, b in zip(names, MULTIPLIERS, OFFSETS)
+            for n, (a, b) in zip(names, pairs)
         ]
-        squared = [f"({n} * {n} + {a}) % {PRIME} AS {n}" for n, a in zip(names, MULTIPLIERS)]
+        squared = [f"({n} * {n} + {a}) % {PRIME} AS {n}" for n, (a, _) in zip(names, pairs)]
         df = df.selectExpr(*kept, *mixed).selectExpr(*kept, *squared)
     return df
 

@@ -75,15 +75,17 @@ def relative_error(
     conf_ids: Sequence[int] | None = None,
     epoch: str = EPOCH,
 ) -> DataFrame:
-    """Mean of |estimate - true| / true over the exact keys; a missed key costs 1."""
+    """Mean of |estimate - true| / |true| over the exact keys.
+
+    A missed key costs 1, and so does an estimate of a true 0 that is not 0.
+    """
     by = [epoch] if conf_ids is None else ["conf_id", epoch]
     on = [*by, *column_names(keys)]
     paired = exact.select(*on, F.col(value).alias("_true")).join(
         est.select(*on, F.col(value).alias("_est")), on, "left"
     )
-    error = F.when(F.col("_est").isNull(), 1.0).otherwise(
-        F.abs(F.col("_est") - F.col("_true")) / F.col("_true")
-    )
+    off, size = F.abs(F.col("_est") - F.col("_true")), F.abs("_true")
+    error = F.when(F.col("_est").isNull(), 1.0).when(size == 0, F.when(off == 0, 0.0).otherwise(1.0)).otherwise(off / size)
     per_epoch = paired.groupBy(*by).agg(F.avg(error).alias("are"))
     grid = epoch_grid(exact.sparkSession, n_epoch, conf_ids, epoch)
     return grid.join(per_epoch, by, "left").na.fill(0.0, ["are"])

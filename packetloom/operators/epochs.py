@@ -46,19 +46,21 @@ def clamp_epoch(df: DataFrame, epoch: str = EPOCH, order: str = ORDER, rows: int
     return late.withColumn(epoch, F.greatest(F.col("_seen"), F.lit(0).cast("long"))).drop("_seen")
 
 
+def enough_epochs(df: DataFrame, n_epoch: int, epoch: str = EPOCH) -> Column:
+    """True; fails when the trace ends before ``n_epoch`` epochs are complete."""
+    last = F.coalesce(df.select(F.max(epoch)).scalar(), F.lit(-1))
+    message = F.format_string("the trace ends in epoch %d of %d", last, F.lit(n_epoch))
+    return F.when(last < F.lit(n_epoch), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+
+
 def complete_epochs(df: DataFrame, n_epoch: int | None = None, epoch: str = EPOCH) -> DataFrame:
     """Keep the first ``n_epoch`` epochs, never the last, unfinished one.
 
     Fails when the trace ends before ``n_epoch`` epochs are complete.
     """
-    last = df.select(F.max(epoch)).scalar()
     if n_epoch is None:
-        return df.where(F.col(epoch) < last)
-    short = last < F.lit(n_epoch)
-    checked = F.when(
-        short, F.raise_error(F.format_string("the trace ends in epoch %d of %d", last, F.lit(n_epoch))).cast("long")
-    ).otherwise(F.lit(n_epoch).cast("long"))
-    return df.where(F.col(epoch) < checked)
+        return df.where(F.col(epoch) < df.select(F.max(epoch)).scalar())
+    return df.where((F.col(epoch) < n_epoch) & enough_epochs(df, n_epoch, epoch))
 
 
 def fill_epochs(

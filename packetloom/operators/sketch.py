@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from packetloom.functions.hashing import cell_array, explode_cells, with_cells
 from packetloom.functions.scalar import floor_div
-from packetloom.operators.aggregate import reduce_sum
 from packetloom.operators.distinct import first_rows
 from packetloom.operators.joins import signed_union
 from packetloom.operators.running import NO_SEGMENT, SEGMENT_ROWS, Scan, running, running_last, running_sum
@@ -35,9 +34,33 @@ def bloom_distinct(
     packets are the first touchers of the cells. Keys whose bits were all set by
     others are lost.
     """
-    touched = explode_cells(df, keys, d, width)
+    # Narrow rows decide; whole packets meet them again by number.
+    touched = explode_cells(df.select(by, order, *column_names(keys)), keys, d, width)
     first = first_rows(touched, [by, "row", "cell"], order)
-    return first.drop("row", "cell").dropDuplicates([by, order])
+    return df.join(first.select(by, order).distinct(), [by, order], "left_semi")
+
+
+def non_negative(value: Column) -> Column:
+    """``value``; fails on a negative one, for tables whose cells must only grow."""
+    message = F.format_string("a Count-Min adds only non-negative values, not %s", value.cast("string"))
+    return F.when(value < 0, F.raise_error(message).cast("long")).otherwise(value)
+
+
+def _with_totals(sums: DataFrame, keys: Sequence[str], values: Sequence[str], d: int, width: int, by: str) -> DataFrame:
+    """``sums`` (one row per key) with the cell totals ``{value}{i}`` of every sketch row.
+
+    Cell totals are at most ``width`` rows per epoch and sketch row, so one row per key
+    meets each of them by a join of its own and never leaves its place.
+    """
+    at = with_cells(sums, keys, d, width, "_cell")
+    for i in range(d):
+        totals = at.groupBy(by, f"_cell{i}").agg(*[F.sum(v).alias(f"{v}{i}") for v in values])
+        at = at.join(totals, [by, f"_cell{i}"])
+    return at
+
+
+def _least(names: Sequence[str]) -> Column:
+    return F.least(*names) if len(names) > 1 else F.col(names[0])
 
 
 def _hot_cells(cells: DataFrame, d: int, rows: int, by: str) -> DataFrame:
@@ -134,18 +157,14 @@ def reduce_cm(
     gives one row per key with its estimate at the end of the epoch.
     """
     if mode == "running":
-        return _running_min(df, keys, d, width, running_sum(F.col(result)), 0, by, order, rows, out)
+        return _running_min(df, keys, d, width, running_sum(non_negative(F.col(result))), 0, by, order, rows, out)
     if mode != "final":
         raise ValueError("mode is 'running' or 'final'")
     ks = column_names(keys)
     # Cells are sums of key sums, so the packets shrink to one row per key first.
-    at = explode_cells(reduce_sum(df, ks, result, by), ks, d, width)
-    totals = at.groupBy(by, "row", "cell").agg(F.sum(result).alias("_total"))
-    return (
-        at.join(totals, [by, "row", "cell"])
-        .groupBy(by, *ks)
-        .agg(F.min("_total").cast("long").alias(out))
-    )
+    sums = df.groupBy(by, *ks).agg(F.sum(non_negative(F.col(result))).cast("long").alias("_total"))
+    at = _with_totals(sums, ks, ["_total"], d, width, by)
+    return at.select(by, *ks, _least([f"_total{i}" for i in range(d)]).cast("long").alias(out))
 
 
 def heavy_keys_cm(
@@ -174,7 +193,7 @@ def heavy_keys_cm(
     # Cells only grow, so the estimate reaches n at a packet of the key exactly
     # when each of its cells does at some packet of the key.
     at = explode_cells(df.select(by, order, *ks, result), ks, d, width)
-    summed = running(at, [by, "row", "cell"], {"_sum": running_sum(F.col(result))}, order, rows=rows)
+    summed = running(at, [by, "row", "cell"], {"_sum": running_sum(non_negative(F.col(result)))}, order, rows=rows)
     most = summed.groupBy(by, *ks, "row").agg(F.max("_sum").alias("_most"))
     reached = most.groupBy(by, *ks).agg(F.sum(F.when(F.col("_most") >= n, 1).otherwise(0)).alias("_rows"))
     return reached.where(F.col("_rows") == d).select(by, *ks)
@@ -200,13 +219,9 @@ def zip_diff_cm(
     signed = signed_union(left, right, left_key, right_key, a, b, "_v", by)
     plus, minus = F.greatest(F.col("_v"), F.lit(0)), F.greatest(-F.col("_v"), F.lit(0))
     sums = signed.groupBy(by, key).agg(F.sum(plus).alias("_plus"), F.sum(minus).alias("_minus"))
-    at = explode_cells(sums, [key], d, width)
-    totals = at.groupBy(by, "row", "cell").agg(F.sum("_plus").alias("_p"), F.sum("_minus").alias("_m"))
-    return (
-        at.join(totals, [by, "row", "cell"])
-        .groupBy(by, key)
-        .agg((F.min("_p") - F.min("_m")).cast("long").alias(out))
-    )
+    at = _with_totals(sums, [key], ["_plus", "_minus"], d, width, by)
+    plus, minus = (_least([f"{v}{i}" for i in range(d)]) for v in ("_plus", "_minus"))
+    return at.select(by, key, (plus - minus).cast("long").alias(out))
 
 
 def cells_add(
@@ -280,9 +295,10 @@ def fingerprint_owners(
     left = with_cells(firsts, ks, d, width, "_cell").withColumn("row", F.lit(None).cast("int"))
     for i in range(d):
         free = F.when(F.col("row").isNull(), F.col("_first"))
-        w = Window.partitionBy(by, f"_cell{i}")
+        # Combined in the map tasks: a cell has one earliest key however many ask for it.
+        owners = left.groupBy(by, f"_cell{i}").agg(F.min(free).alias("_owner"))
         left = (
-            left.withColumn("_owner", F.min(free).over(w))
+            left.join(owners, [by, f"_cell{i}"])
             .withColumn("row", F.when(free == F.col("_owner"), F.lit(i)).otherwise(F.col("row")))
             .drop("_owner")
         )

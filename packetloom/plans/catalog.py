@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -194,6 +195,14 @@ def d2(p):
 BLOOM = sql.bloom("packets", ["dst_addr", "src_addr"], 2, 256)
 
 
+@on_packets(
+    "d3_bloom_distinct_5_rows",
+    f"SELECT epoch, pkt_no FROM {sql.bloom('packets', ['dst_addr', 'src_addr'], 5, 512)}",
+)
+def d3_5(p):
+    return sketch.bloom_distinct(p, ["dst_addr", "src_addr"], 5, 512).select("epoch", "pkt_no")
+
+
 @on_packets("d3_bloom_distinct", f"SELECT epoch, pkt_no, src_addr, dst_addr FROM {BLOOM}")
 def d3(p):
     return sketch.bloom_distinct(p, ["dst_addr", "src_addr"], 2, 256).select(
@@ -258,6 +267,14 @@ def a5_final(p):
     return sketch.reduce_cm(p, ["dst_addr"], "size", 2, 16, "final")
 
 
+@on_packets(
+    "a5_reduce_cm_5_rows",
+    f"SELECT epoch, dst_addr, estimate FROM {sql.cm_final('packets', ['dst_addr'], 'size', 5, 32)}",
+)
+def a5_5(p):
+    return sketch.reduce_cm(p, ["dst_addr"], "size", 5, 32, "final")
+
+
 @register(
     "a5_reduce_cm_flows",
     f"WITH {sql.FLOWS} SELECT epoch, src_addr, dst_addr, estimate FROM "
@@ -363,7 +380,7 @@ def j3(p):
 DDOS_SIZES = [(2, 256), (2, 16)]
 DDOS_EST = sql.sketch_report("dst_addr", ["dst_addr", "src_addr"], 7, DDOS_SIZES)
 DDOS_EXACT = sql.exact_report("dst_addr", "src_addr", 7)
-N_EPOCH = 25
+N_EPOCH = 29  # all complete days of the tables
 
 
 def ddos_sets(p):
@@ -557,7 +574,7 @@ METRICS = sql.metrics(DDOS_EST, DDOS_EXACT, "dst_addr", N_EPOCH)
 
 
 def within(df):
-    return df.where(F.col(EPOCH) < N_EPOCH)
+    return epochs.complete_epochs(df, N_EPOCH)
 
 
 @on_packets(
@@ -587,6 +604,30 @@ def e2(p):
     return accuracy.relative_error(est.where("size >= 8000"), exact, ["dst_addr"], "size", N_EPOCH)
 
 
+DIFF_EXACT = "(SELECT epoch, dst_addr, coalesce(syn, 0) - coalesce(fin, 0) AS value FROM sums)"
+DIFF_EST = """(SELECT epoch, dst_addr, min(p) - min(m) AS value FROM (
+  SELECT epoch, dst_addr, sum(p) OVER (PARTITION BY epoch, row, cell) AS p, sum(m) OVER (PARTITION BY epoch, row, cell) AS m
+  FROM {}) GROUP BY ALL)""".format(
+    sql.cells(
+        "(SELECT epoch, dst_addr, v AS p, 0 AS m FROM syn UNION ALL SELECT epoch, dst_addr, 0 AS p, v AS m FROM fin)",
+        ["dst_addr"], 2, 64,
+    )
+)
+
+
+@on_packets(
+    "e2_relative_error_diff",
+    f"SELECT epoch, round(are, 6) AS are FROM {sql.relative_errors(DIFF_EST, DIFF_EXACT, 'dst_addr', N_EPOCH)}",
+    SYN_FIN,
+)
+def e2_diff(p):
+    """Differences hold zeros and negative values."""
+    syn, fin = syn_fin(within(p))
+    exact = joins.zip_diff(syn, fin, "ipv4.dst_addr", "ipv4.dst_addr", "syn", "fin", "value")
+    est = sketch.zip_diff_cm(syn, fin, "ipv4.dst_addr", "ipv4.dst_addr", "syn", "fin", 2, 64, "value")
+    return accuracy.relative_error(est, exact, ["dst_addr"], "value", N_EPOCH)
+
+
 GATE = sql.gate(METRICS, RANK, SPEC.precision_min, SPEC.recall_min, N_EPOCH)
 
 
@@ -634,6 +675,100 @@ def e7(p):
     return tuning.evaluate_configs(p, DDOS, CONFIGS, SPEC, N_EPOCH, page_bytes=PAGE)
 
 
+ARE_SPEC = AccuracySpec(0.3, 0.9, 0.8, are_max=0.5)
+BYTES = tuning.CountQuery("ipv4.dst_addr", 1500, value="size")
+PAIRS = tuning.CountQuery(("src_addr", "dst_addr"), 900, value="size")
+
+
+def valued_sql(keys: str, n: int, config) -> str:
+    """Gate with relative error of a Count-Min over sizes; ``config`` is its (rows, pages)."""
+    (d, width), = sql.widths([config], [tuning.COUNTER_BITS], PAGE)
+    est = sql.value_report(keys, "size", n, d, width)
+    exact = f"(SELECT epoch, {keys}, sum(size) AS value FROM packets GROUP BY ALL HAVING sum(size) >= {n})"
+    spec = ARE_SPEC
+    return sql.gate_are(
+        sql.metrics(est, exact, keys, N_EPOCH), sql.relative_errors(est, exact, keys, N_EPOCH), RANK,
+        spec.precision_min, spec.recall_min, spec.are_max, N_EPOCH,
+    )
+
+
+def valued_configs_sql(keys: str, n: int, sizes) -> str:
+    return " UNION ALL ".join(
+        f"SELECT CAST({i} AS BIGINT) AS conf_id, *, round({score_sql([c])}, 6) AS score FROM ({valued_sql(keys, n, c)})"
+        for i, c in enumerate(sizes)
+    )
+
+
+VALUED_SIZES = [(2, 4), (1, 32), (5, 16)]
+
+
+@on_packets("e4_accuracy_report_are", valued_sql("dst_addr", 1500, (2, 16)))
+def e4_are(p):
+    return tuning.accuracy_report(p, BYTES, ((2, 16),), ARE_SPEC, N_EPOCH, PAGE)
+
+
+@on_packets("e7_evaluate_configs_are", valued_configs_sql("dst_addr", 1500, VALUED_SIZES))
+def e7_are(p):
+    return tuning.evaluate_configs(p, BYTES, [(c,) for c in VALUED_SIZES], ARE_SPEC, N_EPOCH, page_bytes=PAGE)
+
+
+@on_packets("e7_evaluate_configs_two_keys", valued_configs_sql("src_addr, dst_addr", 900, VALUED_SIZES))
+def e7_pairs(p):
+    return tuning.evaluate_configs(p, PAIRS, [(c,) for c in VALUED_SIZES], ARE_SPEC, N_EPOCH, page_bytes=PAGE)
+
+
+# The published sizes as (rows, pages) of 16 KiB, in the order of the tables.
+PUBLISHED = {
+    "newconn": ((2, 4),),
+    "ddos": ((2, 8), (2, 8)),
+    "portscan": ((1, 32), (2, 16)),
+    "superspreader": ((2, 4), (2, 8)),
+    "synflood": ((1, 1), (2, 1)),
+}
+INTENT = AccuracySpec(0.9, 0.9, 0.9)
+INTENT_RANK = accuracy.gate_rank(N_EPOCH, INTENT.confidence) + 1
+SYN = "(SELECT * FROM packets WHERE proto = 6 AND tcp_flags = 2)"
+COUNTED = {
+    # The key, the element counted once, the threshold on the test tables, the packets.
+    "newconn": ("dst_addr", None, 3, SYN, tuning.CountQuery("dst_addr", 3, prepare=detections.syn_packets)),
+    "ddos": ("dst_addr", "src_addr", 7, "packets", DDOS),
+    "portscan": ("src_addr", "dport", 5, "packets", tuning.CountQuery("src_addr", 5, ("src_addr", "dport"))),
+    "superspreader": ("src_addr", "dst_addr", 5, "packets", tuning.CountQuery("src_addr", 5, ("src_addr", "dst_addr"))),
+}
+
+
+def published_sql() -> str:
+    parts = []
+    for name, (key, elem, n, src, _) in COUNTED.items():
+        bits = [tuning.BLOOM_BITS, tuning.COUNTER_BITS] if elem else [tuning.COUNTER_BITS]
+        est = sql.sketch_report(key, [key, elem] if elem else [], n, sql.widths(PUBLISHED[name], bits, sketch.PAGE_BYTES), src)
+        counted = f"count(DISTINCT {elem})" if elem else "count(*)"
+        exact = f"(SELECT epoch, {key} FROM {src} GROUP BY epoch, {key} HAVING {counted} >= {n})"
+        gated = sql.gate(sql.metrics(est, exact, key, N_EPOCH), INTENT_RANK, 0.9, 0.9, N_EPOCH)
+        parts.append(f"SELECT '{name}' AS app, * FROM ({gated})")
+    return " UNION ALL ".join(parts)
+
+
+@on_packets("e4_published_sizes", published_sql())
+def e4_published(p):
+    reports = [
+        tuning.accuracy_report(p, query, PUBLISHED[name], INTENT, N_EPOCH).select(F.lit(name).alias("app"), "*")
+        for name, (*_, query) in COUNTED.items()
+    ]
+    return reduce(DataFrame.unionByName, reports)
+
+
+@register(
+    "a5_published_flows",
+    f"WITH {sql.FLOWS} SELECT epoch, dst_addr, estimate FROM " + sql.cm_final("flows", ["dst_addr"], "size", 2, 16384),
+)
+def a5_published(spark, sf_dir):
+    """The published Count-Min of the new-connection query over the larger flow table."""
+    (d, pages), = PUBLISHED["newconn"]
+    width = sketch.cells_per_row(pages, tuning.COUNTER_BITS)
+    return sketch.reduce_cm(flows_from_lineitem(spark, sf_dir), ["dst_addr"], "size", d, width, "final")
+
+
 # Sizes taken from the data: rows by the packets of an epoch, pages by its distinct keys.
 def sized_by_epoch(p):
     per_epoch = p.groupBy(EPOCH).agg(
@@ -699,9 +834,68 @@ def u5_handshakes(p):
     )
 
 
-@on_packets("e8_tune_sketch")
+TUNED = tuning.Limits(alu_max=2, page_max=4)
+TUNE_SPEC = AccuracySpec(0.8, 0.8, 0.8)
+
+
+def tuned_sql(where: str, n_epoch: int) -> str:
+    """Every size within the limits, judged; the cheapest that passes, as one row."""
+    rank = accuracy.gate_rank(n_epoch, TUNE_SPEC.confidence) + 1
+    pairs = [(d, w) for d in (1, 2) for w in (1, 2, 4)]
+    exact = f"(SELECT epoch, dst_addr FROM {where} GROUP BY epoch, dst_addr HAVING count(DISTINCT src_addr) >= 7)"
+    parts = []
+    for first in pairs:
+        for second in pairs:
+            sizes = sql.widths((first, second), [tuning.BLOOM_BITS, tuning.COUNTER_BITS], 128)
+            est = sql.sketch_report("dst_addr", ["dst_addr", "src_addr"], 7, sizes, where)
+            gated = sql.gate(sql.metrics(est, exact, "dst_addr", n_epoch), rank, 0.8, 0.8, n_epoch)
+            parts.append(
+                f"SELECT {first[0]} AS d0, {first[1]} AS w0, {second[0]} AS d1, {second[1]} AS w1,"
+                f" {score_sql((first, second))} AS score, success FROM ({gated})"
+            )
+    return f"(SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE success ORDER BY score, d0, w0, d1, w1 LIMIT 1)"
+
+
+@on_packets(
+    "e8_tune_sketch",
+    "SELECT CAST(0 AS BIGINT) AS conf_id, t.name AS \"table\", CAST(CASE t.name WHEN 'distinct' THEN d0 ELSE d1 END AS BIGINT) AS d,"
+    " CAST(CASE t.name WHEN 'distinct' THEN w0 ELSE w1 END AS BIGINT) AS w, round(score, 6) AS score"
+    f" FROM {tuned_sql('packets', N_EPOCH)}, (VALUES ('distinct'), ('count')) t(name)",
+)
 def e8(p):
-    return tuning.tune_sketch(p, DDOS, AccuracySpec(0.8, 0.8, 0.8), N_EPOCH, page_bytes=128)
+    return tuning.tune_sketch(p, DDOS, TUNE_SPEC, N_EPOCH, TUNED, page_bytes=128)
+
+
+def days(p, odd: int):
+    return p.where(F.col(EPOCH) % 2 == odd).withColumn(EPOCH, F.floor(F.col(EPOCH) / 2))
+
+
+def days_sql(odd: int) -> str:
+    return f"(SELECT * REPLACE (epoch // 2 AS epoch) FROM packets WHERE epoch % 2 = {odd})"
+
+
+def held_out_sql(n_epoch: int) -> str:
+    """For every size: is it the tuned one, and what does it do on the odd days."""
+    rank = accuracy.gate_rank(n_epoch, TUNE_SPEC.confidence) + 1
+    odd = days_sql(1)
+    exact = f"(SELECT epoch, dst_addr FROM {odd} GROUP BY epoch, dst_addr HAVING count(DISTINCT src_addr) >= 7)"
+    pairs = [(d, w) for d in (1, 2) for w in (1, 2, 4)]
+    parts = []
+    for first in pairs:
+        for second in pairs:
+            sizes = sql.widths((first, second), [tuning.BLOOM_BITS, tuning.COUNTER_BITS], 128)
+            est = sql.sketch_report("dst_addr", ["dst_addr", "src_addr"], 7, sizes, odd)
+            gated = sql.gate(sql.metrics(est, exact, "dst_addr", n_epoch), rank, 0.8, 0.8, n_epoch)
+            text = f"distinct:{first[0]}x{first[1]},count:{second[0]}x{second[1]}"
+            parts.append(f"SELECT *, '{text}' AS config FROM ({gated})")
+    tuned = f"(SELECT 'distinct:' || d0 || 'x' || w0 || ',count:' || d1 || 'x' || w1 AS best FROM {tuned_sql(days_sql(0), n_epoch)})"
+    return f"SELECT r.* FROM ({' UNION ALL '.join(parts)}) r JOIN {tuned} ON config = best"
+
+
+@on_packets("e8_verify_held_out", held_out_sql(14))
+def e8_held_out(p):
+    """Sizes tuned on the even days, reported on the odd ones."""
+    return tuning.verify_held_out(days(p, 0), days(p, 1), DDOS, TUNE_SPEC, 14, 14, TUNED, page_bytes=128)
 
 
 # --- functions --------------------------------------------------------------------
@@ -847,7 +1041,7 @@ def s4(spark, sf_dir):
 def s5(p):
     path = shared_dir(p.sparkSession, "flowtext")
     flowtext.format_flow_text(p).write.text(path)
-    return flowtext.parse_flow_text(p.sparkSession.read.text(path))
+    return flowtext.parse_flow_text(p.sparkSession.read.text(path)).drop("raw")
 
 
 @on_packets("s6_report", "SELECT DISTINCT epoch, dst_addr FROM packets WHERE tcp_flags = 2")
@@ -1003,6 +1197,9 @@ on_packets(
 # --- streams: the batch answer for every closed epoch -----------------------------
 
 
+NO_DELAY = "0 seconds"  # the events come in order
+
+
 def on_stream(name: str, body: str, *ctes: str):
     """Register a streaming query; ``fn`` gets the packet stream and its first time."""
 
@@ -1023,7 +1220,7 @@ def on_stream(name: str, body: str, *ctes: str):
     "SELECT epoch, dst_addr, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM packets GROUP BY ALL",
 )
 def w4(stream, start_us):
-    w = windows.with_window(stream, DAY_SECONDS, start_us=start_us)
+    w = windows.with_window(stream, DAY_SECONDS, NO_DELAY, start_us=start_us)
     sums = w.groupBy("window", "dst_addr").agg(F.count(F.lit(1)).alias("n"), F.sum("size").cast("long").alias("size"))
     return sums.select(windows.window_epoch(DAY_SECONDS, start_us), "dst_addr", "n", "size")
 
@@ -1033,7 +1230,7 @@ def w4(stream, start_us):
     "SELECT epoch, dst_addr, count(DISTINCT src_addr) AS n FROM packets GROUP BY ALL",
 )
 def d1_stream(stream, start_us):
-    w = windows.with_window(stream, DAY_SECONDS, start_us=start_us)
+    w = windows.with_window(stream, DAY_SECONDS, NO_DELAY, start_us=start_us)
     first = w.dropDuplicates(["window", "dst_addr", "src_addr"])
     counts = first.groupBy("window", "dst_addr").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(windows.window_epoch(DAY_SECONDS, start_us), "dst_addr", "n")
@@ -1045,7 +1242,7 @@ def d1_stream(stream, start_us):
     SYN_FIN,
 )
 def j1_stream(stream, start_us):
-    w = windows.with_window(stream, DAY_SECONDS, start_us=start_us)
+    w = windows.with_window(stream, DAY_SECONDS, NO_DELAY, start_us=start_us)
     syn = detections.syn_packets(w).select("window", "dst_addr", F.lit(1).alias("syn"))
     fin = detections.flag_counts(w, "TCP_FLAG_FIN", "fin", "window")
     both = joins.zip_streams(
@@ -1058,24 +1255,24 @@ def j1_stream(stream, start_us):
     return both.select(windows.window_epoch(DAY_SECONDS, start_us), "dst_addr", "syn", "fin")
 
 
-on_stream("q1_newconn_stream", NEWCONN_SQL)(lambda s, t: stream_detections.newconn(s, 3, DAY_SECONDS, t))
-on_stream("q2_ddos_stream", f"SELECT * FROM {DDOS_EXACT}")(lambda s, t: stream_detections.ddos(s, 7, DAY_SECONDS, t))
+on_stream("q1_newconn_stream", NEWCONN_SQL)(lambda s, t: stream_detections.newconn(s, 3, DAY_SECONDS, t, watermark=NO_DELAY))
+on_stream("q2_ddos_stream", f"SELECT * FROM {DDOS_EXACT}")(lambda s, t: stream_detections.ddos(s, 7, DAY_SECONDS, t, watermark=NO_DELAY))
 on_stream("q3_portscan_stream", f"SELECT * FROM {sql.exact_report('src_addr', 'dport', 5)}")(
-    lambda s, t: stream_detections.portscan(s, 5, DAY_SECONDS, t)
+    lambda s, t: stream_detections.portscan(s, 5, DAY_SECONDS, t, watermark=NO_DELAY)
 )
 on_stream("q4_superspreader_stream", f"SELECT * FROM {sql.exact_report('src_addr', 'dst_addr', 5)}")(
-    lambda s, t: stream_detections.superspreader(s, 5, DAY_SECONDS, t)
+    lambda s, t: stream_detections.superspreader(s, 5, DAY_SECONDS, t, watermark=NO_DELAY)
 )
 on_stream(
     "q7_incomplete_flows_stream",
     "SELECT epoch, dst_addr FROM sums WHERE coalesce(syn, 0) - coalesce(fin, 0) > 1",
     SYN_FIN,
-)(lambda s, t: stream_detections.incomplete_flows(s, 1, DAY_SECONDS, t))
+)(lambda s, t: stream_detections.incomplete_flows(s, 1, DAY_SECONDS, t, watermark=NO_DELAY))
 
 
 def synflood_stream(spark, sf_dir):
     stream, start_us = packet_stream(spark, sf_dir)
-    alerts = windows.run_to_end(stream_detections.synflood_alerts(stream, 2, DAY_SECONDS, start_us), "q5_stream")
+    alerts = windows.run_to_end(stream_detections.synflood_alerts(stream, 2, DAY_SECONDS, start_us, watermark=NO_DELAY), "q5_stream")
     return alerts.select("epoch", "nkey").distinct()
 
 
@@ -1083,7 +1280,7 @@ def synflood_stream(spark, sf_dir):
 register("q5_synflood_stream", ORACLES["q5_synflood"])(synflood_stream)
 
 on_stream("q6_tcp_nonmonotonic_stream", NONMONOTONIC)(
-    lambda s, t: stream_detections.tcp_nonmonotonic(s, DAY_SECONDS, t)
+    lambda s, t: stream_detections.tcp_nonmonotonic(s, DAY_SECONDS, t, watermark=NO_DELAY)
 )
 
 
@@ -1098,7 +1295,7 @@ on_stream("q6_tcp_nonmonotonic_stream", NONMONOTONIC)(
 def s7_stream(spark, sf_dir):
     stream, start_us = packet_stream(spark, sf_dir)
     syn = detections.syn_packets(stream)
-    alerts = stream_detections.alert_packets(syn, ["ipv4.dst_addr"], 3, DAY_SECONDS, start_us)
+    alerts = stream_detections.alert_packets(syn, ["ipv4.dst_addr"], 3, DAY_SECONDS, start_us, watermark=NO_DELAY)
     found = windows.run_to_end(alerts, "s7_stream")
     return flat(found.withColumn("_epoch", F.col("epoch"))).withColumnRenamed("_epoch", "epoch")
 

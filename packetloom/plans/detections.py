@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from packetloom.functions.scalar import add_mod32
-from packetloom.operators.aggregate import reduce_sum, threshold, threshold_crossing
+from packetloom.operators.aggregate import reduce_sum, threshold
 from packetloom.operators.basic import filter_cmp, map_cols, report
 from packetloom.operators.distinct import distinct_keys
 from packetloom.operators.joins import zip_diff
@@ -23,7 +23,7 @@ from packetloom.operators.sketch import (
     state_fingerprint,
 )
 from packetloom.operators.state import map_udf, state_add, state_last, state_max_seen
-from packetloom.schema import CONSTANTS, EPOCH, ORDER
+from packetloom.schema import CONSTANTS, EPOCH, ORDER, column_names
 
 FLOW = ["src_addr", "dst_addr", "sport", "dport"]
 
@@ -214,5 +214,7 @@ def synflood_fingerprint(packets: DataFrame, d: int, width: int, n: int = 12, by
 
 def alert_packets(packets: DataFrame, keys: list[str], n: int, by: str = EPOCH, order: str = ORDER) -> DataFrame:
     """The whole packets that bring the count of their key to ``n``, once per epoch and key."""
-    ones = packets.withColumn("_one", F.lit(1))
-    return threshold_crossing(ones, keys, "_one", n, "_run", by, order).drop("_one", "_run")
+    w = Window.partitionBy(by, *column_names(keys)).orderBy(order)
+    # A rank limit: a map task keeps the first n packets of a key and shuffles no others.
+    ranked = packets.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= n)
+    return ranked.where(F.col("_nth") == n).drop("_nth")

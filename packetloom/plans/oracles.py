@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from packetloom.functions.hashing import MULTIPLIERS, OFFSETS, PRIME
+from packetloom.functions.hashing import PRIME, row_pair
 from packetloom.operators.sketch import cells_per_row
 
 PACKETS = """
@@ -49,7 +49,7 @@ def with_packets(body: str, *ctes: str) -> str:
 def cells(src: str, keys: list[str], d: int, width: int) -> str:
     """Rows of ``src`` times ``d`` sketch rows, with columns ``row`` and ``cell``."""
     rows = ", ".join(
-        f"(CAST({i} AS BIGINT), CAST({MULTIPLIERS[i]} AS BIGINT), CAST({OFFSETS[i]} AS BIGINT))" for i in range(d)
+        f"(CAST({i} AS BIGINT), CAST({a} AS BIGINT), CAST({b} AS BIGINT))" for i, (a, b) in enumerate(map(row_pair, range(d)))
     )
     q = f"(SELECT s.*, r.row, r.a AS _a, r.b AS _b, r.b AS _x FROM {src} s, (VALUES {rows}) r(row, a, b))"
     for k in keys:
@@ -103,6 +103,7 @@ def exact_report(key: str, elem: str, n: int) -> str:
 
 def metrics(est: str, exact: str, key: str, n_epoch: int) -> str:
     """Per-epoch counts, precision and recall of two report sets."""
+    same = " AND ".join(f"a.{k} = b.{k}" for k in key.split(", "))
     return f"""
   (SELECT epoch, n_est, n_exact, n_correct,
           CASE WHEN n_est > 0 THEN n_correct / n_est ELSE 1.0 END AS "precision",
@@ -114,8 +115,8 @@ def metrics(est: str, exact: str, key: str, n_epoch: int) -> str:
             CAST(coalesce(sum(CASE WHEN e AND x THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_correct
      FROM (SELECT unnest(range({n_epoch})) AS epoch) r
      LEFT JOIN (
-       SELECT coalesce(a.epoch, b.epoch) AS epoch, a.{key} IS NOT NULL AS e, b.{key} IS NOT NULL AS x
-       FROM {est} a FULL JOIN {exact} b ON a.epoch = b.epoch AND a.{key} = b.{key}) m
+       SELECT coalesce(a.epoch, b.epoch) AS epoch, a.epoch IS NOT NULL AS e, b.epoch IS NOT NULL AS x
+       FROM {est} a FULL JOIN {exact} b ON a.epoch = b.epoch AND {same}) m
      ON m.epoch = r.epoch GROUP BY r.epoch))"""
 
 
@@ -132,3 +133,26 @@ def gate(metric_sql: str, rank: int, p_min: float, r_min: float, n_epoch: int) -
 
 def widths(config, tables_bits: list[int], page_bytes: int) -> list[tuple[int, int]]:
     return [(d, cells_per_row(w, bits, page_bytes)) for (d, w), bits in zip(config, tables_bits)]
+
+
+def value_report(keys: str, value: str, n: int, d: int, width: int, src: str = "packets") -> str:
+    """(epoch, keys, value) of the keys whose Count-Min estimate reaches ``n``: the estimate at their last packet."""
+    est = cm_running(f"(SELECT pkt_no, epoch, {keys}{'' if value == '1' else ', ' + value} FROM {src})", keys.split(", "), value, d, width)
+    return f"(SELECT epoch, {keys}, max(estimate) AS value FROM {est} GROUP BY ALL HAVING max(estimate) >= {n})"
+
+
+def relative_errors(est: str, exact: str, keys: str, n_epoch: int) -> str:
+    """Mean relative error per epoch of valued reports."""
+    same = " AND ".join(f"e.{k} = x.{k}" for k in ["epoch", *keys.split(", ")])
+    return f"""
+  (SELECT r.epoch, coalesce(are, 0) AS are FROM (SELECT unnest(range({n_epoch})) AS epoch) r LEFT JOIN (
+     SELECT x.epoch, avg(CASE WHEN e.value IS NULL THEN 1.0 WHEN x.value = 0 THEN CASE WHEN e.value = 0 THEN 0.0 ELSE 1.0 END
+       ELSE abs(e.value - x.value) / abs(x.value) END) AS are
+     FROM {exact} x LEFT JOIN {est} e ON {same} GROUP BY x.epoch) a ON a.epoch = r.epoch)"""
+
+
+def gate_are(metric_sql: str, are_sql: str, rank: int, p_min: float, r_min: float, are_max: float, n_epoch: int) -> str:
+    return f"""
+  SELECT g.* REPLACE (success AND a.are <= {are_max} AS success), round(a.are, 6) AS are
+  FROM ({gate(metric_sql, rank, p_min, r_min, n_epoch)}) g,
+       (SELECT max(CASE WHEN n = {rank} THEN are END) AS are FROM (SELECT are, row_number() OVER (ORDER BY are) AS n FROM {are_sql})) a"""

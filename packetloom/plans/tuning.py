@@ -13,11 +13,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from packetloom.functions.hashing import MAX_ROWS, with_row_hashes
-from packetloom.operators.accuracy import AccuracySpec, confidence_gate, precision_recall
+from packetloom.functions.hashing import with_row_hashes
+from packetloom.operators.accuracy import AccuracySpec, confidence_gate, precision_recall, relative_error
 from packetloom.operators.distinct import distinct_first, first_rows
+from packetloom.operators.epochs import complete_epochs, enough_epochs
 from packetloom.operators.running import SEGMENT_ROWS, running, running_sum
-from packetloom.operators.sketch import PAGE_BYTES, cells_per_row
+from packetloom.operators.sketch import PAGE_BYTES, cells_per_row, non_negative
 from packetloom.plans import detections
 from packetloom.schema import EPOCH, ORDER, column_names
 from packetloom.sources.shared import ensure_checkpoint_dir
@@ -29,6 +30,8 @@ MAX_PAGE_FOR_ONE_ALU = 32
 BLOOM_BITS = 1
 COUNTER_BITS = 32
 
+VALUE = "value"
+
 # One (rows, pages) pair per sketch table of the query, in pipeline order.
 Config = tuple[tuple[int, int], ...]
 
@@ -46,16 +49,27 @@ class Limits:
 
 @dataclass(frozen=True)
 class CountQuery:
-    """[prepare ->] [distinct ->] count per ``key`` -> at least ``n`` -> keys.
+    """[prepare ->] [distinct ->] sum per ``key`` -> at least ``n`` -> keys and their values.
 
-    With ``distinct`` the tables are a Bloom filter and a Count-Min, else one
-    Count-Min.
+    ``key`` is a column or several. What is summed is the non-negative column ``value``,
+    or 1 per packet. With ``distinct`` the tables are a Bloom filter and a Count-Min,
+    else one Count-Min. ``prepare`` holds any steps before, in columns the sizes do not
+    change.
     """
 
-    key: str
+    key: str | tuple[str, ...]
     n: int
     distinct: tuple[str, ...] = ()
     prepare: Callable[[DataFrame], DataFrame] = field(default=lambda df: df)
+    value: str | None = None
+
+    @property
+    def keys(self) -> list[str]:
+        return column_names([self.key] if isinstance(self.key, str) else self.key)
+
+    @property
+    def step(self) -> Column:
+        return non_negative(F.col(self.value)) if self.value else F.lit(1)
 
     @property
     def tables(self) -> tuple[str, ...]:
@@ -68,15 +82,14 @@ class CountQuery:
         only the first packet of each key matters and all configurations share
         this exact pass.
         """
-        cols = [EPOCH, ORDER, *dict.fromkeys([*self.distinct, self.key])]
-        kept = self.prepare(packets.where(F.col(EPOCH) < n_epoch)).select(*cols)
+        own = dict.fromkeys([*column_names(self.distinct), *self.keys, *([self.value] if self.value else [])])
+        kept = self.prepare(complete_epochs(packets, n_epoch)).select(EPOCH, ORDER, *own)
         return distinct_first(kept, self.distinct) if self.distinct else kept
 
-
     def exact(self, first: DataFrame) -> DataFrame:
-        """(epoch, key) reported without sketches, from the first packets."""
-        counts = first.groupBy(EPOCH, self.key).agg(F.count(F.lit(1)).alias("_n"))
-        return counts.where(F.col("_n") >= self.n).select(EPOCH, self.key)
+        """(epoch, key, value) reported without sketches, from the first packets."""
+        sums = first.groupBy(EPOCH, *self.keys).agg(F.sum(self.step).alias(VALUE))
+        return sums.where(F.col(VALUE) >= self.n)
 
     def reports(
         self, first: DataFrame, configs: Sequence[Config], page_bytes: int, rows: int | None
@@ -92,8 +105,12 @@ class SynFloodQuery:
     key: str = "nkey"
     tables: tuple[str, ...] = ("nextseq", "cnt")
 
+    @property
+    def keys(self) -> list[str]:
+        return [self.key]
+
     def first_packets(self, packets: DataFrame, n_epoch: int) -> DataFrame:
-        return detections.handshake_packets(packets.where(F.col(EPOCH) < n_epoch))
+        return detections.handshake_packets(complete_epochs(packets, n_epoch))
 
     def exact(self, first: DataFrame) -> DataFrame:
         return detections.flooded_servers(first, self.n)
@@ -134,42 +151,40 @@ def sketch_reports(
     page_bytes: int = PAGE_BYTES,
     rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
-    """(conf_id, epoch, key) reported under each configuration, from the query's first packets."""
+    """(conf_id, epoch, key, value) reported under each configuration, from the query's first
+    packets; the value is the estimate at the key's last packet."""
     d_max = [max(c[t][0] for c in configs) for t in range(len(query.tables))]
-    if max(d_max) > MAX_ROWS:
-        raise ValueError(f"a sketch has at most {MAX_ROWS} rows")
-    key = query.key
+    keys = query.keys
+    step = [query.value] if query.value else []
+    kept = list(dict.fromkeys([*keys, *step]))
     per_conf = F.explode(F.array(*[F.lit(i) for i in range(len(configs))]))
     if query.distinct:
         hashed = with_row_hashes(first, sorted(column_names(query.distinct)), d_max[0], "_h")
         plan = _cell_plan(configs, 0, BLOOM_BITS, page_bytes, "_h")
         touched = (
-            hashed.select(EPOCH, ORDER, key, F.posexplode(plan).alias("conf_id", "_cells"))
-            .select("conf_id", EPOCH, ORDER, key, F.explode("_cells").alias("_at"))
-            .select("conf_id", EPOCH, ORDER, key, "_at.row", "_at.cell")
+            hashed.select(EPOCH, ORDER, *kept, F.posexplode(plan).alias("conf_id", "_cells"))
+            .select("conf_id", EPOCH, ORDER, *kept, F.explode("_cells").alias("_at"))
+            .select("conf_id", EPOCH, ORDER, *kept, "_at.row", "_at.cell")
         )
         setters = first_rows(touched, ["conf_id", EPOCH, "row", "cell"], ORDER)
-        counted = setters.select("conf_id", EPOCH, ORDER, key).distinct()
+        counted = setters.select("conf_id", EPOCH, ORDER, *kept).distinct()
     else:
-        counted = first.select(per_conf.alias("conf_id"), EPOCH, ORDER, key)
+        counted = first.select(per_conf.alias("conf_id"), EPOCH, ORDER, *kept)
 
-    hashed = with_row_hashes(counted, [key], d_max[-1], "_h")
+    hashed = with_row_hashes(counted, keys, d_max[-1], "_h")
     plan = _cell_plan(configs, len(query.tables) - 1, COUNTER_BITS, page_bytes, "_h")
     at = (
-        hashed.select("conf_id", EPOCH, ORDER, key, F.explode(F.get(plan, F.col("conf_id"))).alias("_at"))
-        .select("conf_id", EPOCH, ORDER, key, "_at.row", "_at.cell")
+        hashed.select("conf_id", EPOCH, ORDER, *kept, F.explode(F.get(plan, F.col("conf_id"))).alias("_at"))
+        .select("conf_id", EPOCH, ORDER, *kept, "_at.row", "_at.cell")
     )
     summed = running(
-        at, ["conf_id", EPOCH, "row", "cell"], {"_est": running_sum(F.lit(1))}, ORDER, rows=rows
-    )
-    # Cells only grow: a key is reported when each of its cells reaches n at one
-    # of its packets.
-    most = summed.groupBy("conf_id", EPOCH, key, "row").agg(F.max("_est").alias("_most"))
-    reached = most.groupBy("conf_id", EPOCH, key).agg(
-        F.sum(F.when(F.col("_most") >= query.n, 1).otherwise(0)).alias("_rows")
+        at, ["conf_id", EPOCH, "row", "cell"], {"_est": running_sum(query.step)}, ORDER, rows=rows
     )
-    depth = F.get(F.array(*[F.lit(c[-1][0]) for c in configs]), F.col("conf_id"))
-    return reached.where(F.col("_rows") == depth).select("conf_id", EPOCH, key)
+    # Cells only grow: the largest sum at a key's packets is that at its last one, and the
+    # least over its rows is its estimate.
+    most = summed.groupBy("conf_id", EPOCH, *keys, "row").agg(F.max("_est").alias("_most"))
+    reached = most.groupBy("conf_id", EPOCH, *keys).agg(F.min("_most").alias(VALUE))
+    return reached.where(F.col(VALUE) >= query.n)
 
 
 def config_table(spark, configs: Sequence[Config], query: SketchedQuery) -> DataFrame:
@@ -218,15 +233,19 @@ def _judge(
     n_epoch: int,
     limits: Limits,
     page_bytes: int,
-    rows: int | None = SEGMENT_ROWS,
+    rows: int | None,
+    enough: Column,
 ) -> DataFrame:
     ids = range(len(configs))
+    if spec.are_max is not None and not isinstance(query, CountQuery):
+        raise ValueError("only a query that reports values has a relative error")
     est = query.reports(first, configs, page_bytes, rows)
-    exact = query.exact(first).select(
-        F.explode(F.array(*[F.lit(i) for i in ids])).alias("conf_id"), EPOCH, query.key
-    )
-    metrics = precision_recall(est, exact, [query.key], n_epoch, ids)
-    gated = confidence_gate(metrics, spec, n_epoch, ["conf_id"])
+    exact = query.exact(first).select(F.explode(F.array(*[F.lit(i) for i in ids])).alias("conf_id"), "*")
+    metrics = precision_recall(est, exact, query.keys, n_epoch, ids)
+    if spec.are_max is not None:
+        metrics = metrics.join(relative_error(est, exact, query.keys, VALUE, n_epoch, ids), ["conf_id", EPOCH])
+    # A trace that is too short would leave epochs without packets, which count as perfect.
+    gated = confidence_gate(metrics, spec, n_epoch, ["conf_id"]).where(enough)
     return gated.join(resource_score(config_table(first.sparkSession, configs, query), limits), "conf_id")
 
 
@@ -240,9 +259,12 @@ def evaluate_configs(
     page_bytes: int = PAGE_BYTES,
     rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
-    """Success, precision, recall and cost of every configuration, in one job."""
+    """Success, precision, recall (and relative error) and cost of every configuration, in one job.
+
+    The first ``n_epoch`` epochs count; a trace without so many complete ones fails.
+    """
     first = query.first_packets(packets, n_epoch)
-    return _judge(first, query, configs, spec, n_epoch, limits, page_bytes, rows)
+    return _judge(first, query, configs, spec, n_epoch, limits, page_bytes, rows, enough_epochs(packets, n_epoch))
 
 
 def accuracy_report(
@@ -263,7 +285,7 @@ def _fits(pair: tuple[int, int], limits: Limits) -> bool:
     stages = limits.max_stage_per_op
     return (
         0 < d <= min(ALU_PER_STAGE * stages, limits.alu_max)
-        and 0 < w <= PAGE_PER_STAGE
+        and 0 < w <= min(PAGE_PER_STAGE, limits.page_max)
         and -(-d // stages) * (w + 1) <= PAGE_PER_STAGE
     )
 
@@ -313,6 +335,7 @@ def tune_sketch(
     """
     spark = packets.sparkSession
     ensure_checkpoint_dir(spark)
+    enough = enough_epochs(packets, n_epoch)
     first = query.first_packets(packets, n_epoch).checkpoint()
     passed: dict[Config, float] = {}
     failed: list[Config] = []
@@ -327,7 +350,7 @@ def tune_sketch(
         wave = [c for c in wave if open_question(c)]
         if not wave:
             continue
-        verdicts = _judge(first, query, wave, spec, n_epoch, limits, page_bytes).select(
+        verdicts = _judge(first, query, wave, spec, n_epoch, limits, page_bytes, SEGMENT_ROWS, enough).select(
             "conf_id", "success", "score"
         )
         for conf_id, success, score in sorted(verdicts.collect()):
@@ -345,3 +368,22 @@ def tune_sketch(
         raise ValueError("no configuration meets the accuracy intent")
     best, score = min(passed.items(), key=lambda item: (item[1], item[0]))
     return config_table(spark, [best], query).withColumn("score", F.lit(score))
+
+
+def verify_held_out(
+    search: DataFrame,
+    held_out: DataFrame,
+    query: SketchedQuery,
+    spec: AccuracySpec,
+    n_epoch: int,
+    n_held_out: int,
+    limits: Limits = Limits(),
+    page_bytes: int = PAGE_BYTES,
+) -> DataFrame:
+    """Sizes tuned on one trace, reported on another: the report's one row and the sizes, in ``config``."""
+    best = tune_sketch(search, query, spec, n_epoch, limits, page_bytes)
+    sizes = {r["table"]: (r["d"], r["w"]) for r in best.collect()}  # one row per table
+    config = tuple(sizes[t] for t in query.tables)
+    text = ",".join(f"{t}:{d}x{w}" for t, (d, w) in zip(query.tables, config))
+    report = accuracy_report(held_out, query, config, spec, n_held_out, page_bytes)
+    return report.select("*", F.lit(text).alias("config"))

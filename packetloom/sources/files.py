@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from fnmatch import fnmatch
+
 from pyarrow import fs
 
 
@@ -15,10 +18,13 @@ def resolve(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def list_files(uri: str) -> list[tuple[str, int]]:
-    """(path, size) of a file or of the files of a folder, in name order.
+    """(path, size) of a file, of the files under a folder or of those a glob names, in name order.
 
-    Names starting with ``_`` or ``.`` are skipped, as Spark does.
+    Names starting with ``_`` or ``.`` are skipped, folders too, as Spark does.
     """
+    if any(c in uri for c in "*?["):
+        fixed = re.match(r"[^*?\[]*/", uri)[0].rstrip("/")
+        return [f for f in list_files(fixed) if fnmatch(f[0], uri)]
     system, path = resolve(uri)
     info = system.get_file_info(path)
     if info.type == fs.FileType.File:
@@ -26,6 +32,7 @@ def list_files(uri: str) -> list[tuple[str, int]]:
     if info.type != fs.FileType.Directory:
         raise FileNotFoundError(uri)
     base = uri.rstrip("/")
-    found = system.get_file_info(fs.FileSelector(path))
-    files = [f for f in found if f.type == fs.FileType.File and f.base_name[0] not in "_."]
-    return [(f"{base}/{f.base_name}", f.size) for f in sorted(files, key=lambda f: f.base_name)]
+    found = system.get_file_info(fs.FileSelector(path, recursive=True))
+    inside = {f.path[len(path.rstrip("/")) + 1 :]: f.size for f in found if f.type == fs.FileType.File}
+    shown = sorted(name for name in inside if all(part[0] not in "_." for part in name.split("/")))
+    return [(f"{base}/{name}", inside[name]) for name in shown]

@@ -19,13 +19,18 @@ def format_flow_text(df: DataFrame, out: str = "value") -> DataFrame:
 
 
 def parse_flow_text(df: DataFrame, value: str = "value") -> DataFrame:
-    """Flow columns of text lines; lines of another shape are dropped."""
-    part = [F.regexp_extract(value, FLOW_LINE, i) for i in range(1, 7)]
-    return df.where(F.col(value).rlike(FLOW_LINE)).select(
+    """Flow columns of text lines, and the line itself as ``raw`` where it has another shape.
+
+    Every line gives a row; the flow columns of an odd one are null.
+    """
+    ok = F.col(value).rlike(FLOW_LINE)
+    part = [F.when(ok, F.regexp_extract(value, FLOW_LINE, i)) for i in range(1, 7)]
+    return df.select(
         ipv4_number(part[0]).alias("src_addr"),
-        part[1].cast("int").alias("sport"),
+        part[1].try_cast("int").alias("sport"),
         ipv4_number(part[2]).alias("dst_addr"),
-        part[3].cast("int").alias("dport"),
-        part[4].cast("int").alias("proto"),
-        part[5].cast("int").alias("size"),
+        part[3].try_cast("int").alias("dport"),
+        part[4].try_cast("int").alias("proto"),
+        part[5].try_cast("int").alias("size"),
+        F.when(~F.coalesce(ok, F.lit(False)), F.col(value)).alias("raw"),
     )

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from packetloom.sources.files import list_files, resolve
 
-# The capture format (public), and the captured bytes kept per packet.
+# The capture format (public).
 FILE_HEADER = 24
 RECORD_HEADER = 16
 MAGICS = {
@@ -27,7 +27,6 @@ MAGICS = {
     b"\x4d\x3c\xb2\xa1": ("<", 1000),
     b"\xa1\xb2\x3c\x4d": (">", 1000),
 }
-MAX_CAPLEN = 1500
 MAX_RECORD = 1 << 18  # no capture tool stores more of one packet
 
 PIECE_BYTES = 128 << 20
@@ -75,12 +74,15 @@ class Capture:
     def record(self, pos: int) -> tuple[int, int, int, int] | None:
         """(seconds, fraction, captured, actual) at a position, None at the end of the file.
 
-        A record cut off by the end of the file is not one.
+        A record cut off by the end of the file is not one; a length that no record
+        can have means damage and fails, so that nothing after it is lost in silence.
         """
         head = self.bytes_at(pos, RECORD_HEADER) if pos + RECORD_HEADER <= self.size else b""
         if len(head) < RECORD_HEADER:
             return None
         fields = self.header.unpack(head)
+        if fields[2] > MAX_RECORD:
+            raise ValueError(f"{self.path}: damaged record at byte {pos}")
         return fields if pos + RECORD_HEADER + fields[2] <= self.size else None
 
     def _plausible(self, pos: int) -> int | None:
@@ -119,7 +121,13 @@ def _index_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for r in batch.to_pylist():
             capture = Capture(r["path"])
             start = r["start"] if r["known"] else capture.guess(r["start"], r["stop"])
-            end, packets = (None, None) if start is None else capture.walk(start, r["stop"])
+            end, packets = (None, None)
+            if start is not None:
+                try:
+                    end, packets = capture.walk(start, r["stop"])
+                except ValueError:
+                    if r["known"]:
+                        raise  # damage; after a guess it may only have been wrong
             rows.append((r["piece"], r["path"], start, r["stop"], end, packets))
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*rows), _index_types())],
@@ -166,7 +174,7 @@ def index_captures(
             start, piece_end, packets = index[i]
             if end >= stop:  # a record covers the whole piece
                 index[i] = (end, end, 0)
-            elif start != end:
+            elif start != end or piece_end is None:
                 wrong.append((i, path, end, stop, True))
                 end = None
                 continue
@@ -183,18 +191,18 @@ def index_captures(
     return out
 
 
-def _read_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_pieces(batches: Iterator[pa.RecordBatch], max_caplen: int | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
-            yield from _read_piece(r["path"], r["start"], r["end"], r["first_no"])
+            yield from _read_piece(r["path"], r["start"], r["end"], r["first_no"], max_caplen)
 
 
-def _read_piece(path: str, start: int, end: int, number: int) -> Iterator[pa.RecordBatch]:
+def _read_piece(path: str, start: int, end: int, number: int, max_caplen: int | None) -> Iterator[pa.RecordBatch]:
     capture = Capture(path)
     rows, pos = [], start
     while pos < end and (rec := capture.record(pos)):
         seconds, fraction, captured, actual = rec
-        caplen = min(captured, MAX_CAPLEN)
+        caplen = captured if max_caplen is None else min(captured, max_caplen)
         micros = seconds * 1_000_000 + fraction // capture.ticks
         data = capture.bytes_at(pos + RECORD_HEADER, captured)[:caplen]
         rows.append((path, number, micros, caplen, actual, data))
@@ -213,15 +221,18 @@ def _raw_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_RAW_ARROW)
 
 
-def read_pcap(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """Raw packets of a capture file or a folder of them, numbered in file order.
+def read_pcap(
+    spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES, max_caplen: int | None = None
+) -> DataFrame:
+    """Raw packets of a capture file, a folder of them or a glob, numbered in file order.
 
-    Columns (file, pkt_no, ts, caplen, len, data); at most 1500 bytes of a packet
-    are kept. One task per piece of ``piece_bytes``.
+    Columns (file, pkt_no, ts, caplen, len, data); ``max_caplen`` cuts the kept bytes of a
+    packet, and ``caplen`` with them. One task per piece of ``piece_bytes``. A damaged
+    record fails with its file and place.
     """
     pieces = index_captures(spark, list_files(path), piece_bytes)
     schema = "path string, start long, end long, first_no long"
     if not pieces:
         return spark.createDataFrame([], RAW_SCHEMA)
     rdd = spark.sparkContext.parallelize(pieces, len(pieces))
-    return spark.createDataFrame(rdd, schema).mapInArrow(_read_pieces, RAW_SCHEMA)
+    return spark.createDataFrame(rdd, schema).mapInArrow(lambda batches: _read_pieces(batches, max_caplen), RAW_SCHEMA)

@@ -61,28 +61,28 @@ def windowed(detection, packets: DataFrame, n: int, interval: float, start_us: i
     return found.select(window_epoch(interval, start_us), *keys)
 
 
-def newconn(packets, n=50, interval=0.5, start_us=0, watermark="0 seconds"):
+def newconn(packets, n=50, interval=0.5, start_us=0, *, watermark):
     return windowed(detections.newconn, packets, n, interval, start_us, watermark)
 
 
-def ddos(packets, n=180, interval=0.5, start_us=0, watermark="0 seconds"):
+def ddos(packets, n=180, interval=0.5, start_us=0, *, watermark):
     return windowed(detections.ddos, packets, n, interval, start_us, watermark)
 
 
-def portscan(packets, n=35, interval=0.5, start_us=0, watermark="0 seconds"):
+def portscan(packets, n=35, interval=0.5, start_us=0, *, watermark):
     return windowed(detections.portscan, packets, n, interval, start_us, watermark)
 
 
-def superspreader(packets, n=200, interval=0.5, start_us=0, watermark="0 seconds"):
+def superspreader(packets, n=200, interval=0.5, start_us=0, *, watermark):
     return windowed(detections.superspreader, packets, n, interval, start_us, watermark)
 
 
-def incomplete_flows(packets, n=1, interval=0.5, start_us=0, watermark="0 seconds"):
+def incomplete_flows(packets, n=1, interval=0.5, start_us=0, *, watermark):
     return windowed(detections.incomplete_flows, packets, n, interval, start_us, watermark)
 
 
 def synflood_counts(
-    packets: DataFrame, interval: float = 0.5, start_us: int = 0, watermark: str = "0 seconds"
+    packets: DataFrame, interval: float = 0.5, start_us: int = 0, *, watermark: str
 ) -> DataFrame:
     """Half-open handshakes after each packet, as the packets come in."""
     hs = detections.handshake_packets(numbered_epoch(packets, interval, watermark, start_us), EPOCH, ORDER, ["ts"])
@@ -92,10 +92,10 @@ def synflood_counts(
 
 
 def synflood_alerts(
-    packets: DataFrame, n: int = 12, interval: float = 0.5, start_us: int = 0, watermark: str = "0 seconds"
+    packets: DataFrame, n: int = 12, interval: float = 0.5, start_us: int = 0, *, watermark: str
 ) -> DataFrame:
     """Each packet after which its server has over ``n`` half-open handshakes."""
-    return synflood_counts(packets, interval, start_us, watermark).where(F.col("cnt") > n)
+    return synflood_counts(packets, interval, start_us, watermark=watermark).where(F.col("cnt") > n)
 
 
 ALERT_STATE = T.StructType([T.StructField("seen", _LONG)])
@@ -107,7 +107,8 @@ def alert_packets(
     n: int,
     interval: float = 0.5,
     start_us: int = 0,
-    watermark: str = "0 seconds",
+    *,
+    watermark: str,
 ) -> DataFrame:
     """The whole packets that bring the count of their key in the epoch to ``n``."""
     numbered = numbered_epoch(packets, interval, watermark, start_us)
@@ -121,7 +122,7 @@ def alert_packets(
 
 
 def tcp_nonmonotonic(
-    packets: DataFrame, interval: float = 0.5, start_us: int = 0, watermark: str = "0 seconds"
+    packets: DataFrame, interval: float = 0.5, start_us: int = 0, *, watermark: str
 ) -> DataFrame:
     """Per TCP flow and closed epoch, the packets with a non-increasing sequence number."""
     tcp = filter_cmp(packets, "ipv4.protocol", "eq", "IP_PROTOCOLS_TCP")

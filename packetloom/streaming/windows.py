@@ -15,13 +15,13 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def with_window(
-    df: DataFrame, interval: float, watermark: str = "0 seconds", start_us: int = 0, ts: str = "ts"
+    df: DataFrame, interval: float, watermark: str, start_us: int = 0, ts: str = "ts"
 ) -> DataFrame:
     """Add the tumbling ``window`` of each packet, and the watermark that closes it.
 
     A stream has no known first packet, so the caller gives the anchor. Unlike a
     batch epoch, a window never takes in packets later than the watermark: they
-    are dropped. The last window stays open and gives no result.
+    are dropped, so the caller states the delay to wait for. The last window stays open and gives no result.
     """
     step = round(interval * 1_000_000)
     window = F.window(ts, f"{step} microseconds", startTime=f"{start_us % step} microseconds")
@@ -35,7 +35,7 @@ def window_epoch(interval: float, start_us: int) -> Column:
 
 
 def numbered_epoch(
-    df: DataFrame, interval: float, watermark: str = "0 seconds", start_us: int = 0, ts: str = "ts"
+    df: DataFrame, interval: float, watermark: str, start_us: int = 0, ts: str = "ts"
 ) -> DataFrame:
     """Epoch numbers on a stream, for stateful operators that keep their own state."""
     step = round(interval * 1_000_000)

@@ -10,7 +10,7 @@ import __spark_entry__ as spark_entry
 from conftest import SF
 from tools.check_oracles import compare
 
-SLOW = {"e8_tune_sketch"}
+SLOW: set[str] = set()
 
 
 @pytest.fixture(scope="module")
