@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -42,20 +43,32 @@ def map_cols(
     return df.select(*position, *listed, *[v.alias(k) for k, v in new.items()])
 
 
+MASK_BITS = 62
+
+
 def tag_queries(df: DataFrame, predicates: Mapping[str, Column], mask: str = "query_mask") -> DataFrame:
     """Serve many queries with one scan: bit i of ``mask`` is set for the i-th query.
 
-    Packets that no query wants are dropped.
+    Beyond ``MASK_BITS`` queries there are more masks, named ``mask`` and a number. Packets
+    that no query wants are dropped.
     """
-    if not 0 < len(predicates) <= 62:
-        raise ValueError("a mask holds 1 to 62 queries")
-    bits = [F.when(p, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, p in enumerate(predicates.values())]
-    return df.withColumn(mask, sum(bits[1:], bits[0])).where(F.col(mask) != 0)
+    if not predicates:
+        raise ValueError("no queries to tag")
+    wanted = list(predicates.values())
+    masks = {}
+    for i in range(0, len(wanted), MASK_BITS):
+        bits = [F.when(p, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, p in enumerate(wanted[i : i + MASK_BITS])]
+        masks[_mask(mask, i)] = sum(bits[1:], bits[0])
+    return df.withColumns(masks).where(reduce(lambda a, b: a | b, [F.col(m) != 0 for m in masks]))
+
+
+def _mask(mask: str, index: int) -> str:
+    return mask if index < MASK_BITS else f"{mask}{index // MASK_BITS}"
 
 
 def tagged(df: DataFrame, index: int, mask: str = "query_mask") -> DataFrame:
     """The packets of the ``index``-th query of :func:`tag_queries`."""
-    return df.where(F.col(mask).bitwiseAND(F.lit(1 << index).cast("long")) != 0)
+    return df.where(F.col(_mask(mask, index)).bitwiseAND(F.lit(1 << index % MASK_BITS).cast("long")) != 0)
 
 
 def by_query(df: DataFrame, predicates: Mapping[str, Column], name: str = "query") -> DataFrame:

@@ -63,10 +63,10 @@ def _least(names: Sequence[str]) -> Column:
     return F.least(*names) if len(names) > 1 else F.col(names[0])
 
 
-def _hot_cells(cells: DataFrame, d: int, rows: int, by: str) -> DataFrame:
+def _hot_cells(cells: DataFrame, d: int, rows: int, by: Sequence[str]) -> DataFrame:
     """Cells of all sketch rows that more than ``rows`` packets touch, in one aggregate."""
-    at = cells.select(by, F.inline(cell_array(d, "_cell")))
-    counted = at.groupBy(by, "row", "cell").agg(F.count(F.lit(1)).alias("_n"))
+    at = cells.select(*by, F.inline(cell_array(d, "_cell")))
+    counted = at.groupBy(*by, "row", "cell").agg(F.count(F.lit(1)).alias("_n"))
     return counted.where(F.col("_n") > rows).drop("_n")
 
 
@@ -76,39 +76,51 @@ def _running_min(
 ) -> DataFrame:
     """Run ``scan`` in every sketch row and take the least value at each packet.
 
-    The rows are scanned one after the other on whole packets, which needs no
-    join to bring the ``d`` values of a packet together again. Hot cells and the
-    totals of their segments come from one aggregate each for all rows.
     ``count_from`` names a cheaper frame with the same packets to count on.
     """
     ks = column_names(keys)
-    kept = [c for c in df.columns if c != out]
     at = with_cells(df, ks, d, width, "_cell")
+    counted = at if count_from is None else with_cells(count_from, ks, d, width, "_cell")
+    return running_cells(at, d, scan, empty, [by], order, rows, out, counted).select(*[c for c in df.columns if c != out], out)
+
+
+def running_cells(
+    at: DataFrame,
+    d: int,
+    scan: Scan,
+    empty: int,
+    by: Sequence[str],
+    order: str,
+    rows: int | None,
+    out: str,
+    counted: DataFrame | None = None,
+) -> DataFrame:
+    """The least of ``scan`` over the groups ``_cell0`` .. of each packet, within ``by``.
+
+    The rows are scanned one after the other on whole packets, which needs no
+    join to bring the ``d`` values of a packet together again. Hot cells and the
+    totals of their segments come from one aggregate each for all rows.
+    """
+    kept = [c for c in at.columns if c != out]
     if rows is None:
         for i in range(d):
-            at = running(at, [by, f"_cell{i}"], {f"_v{i}": scan}, order, rows=None)
+            at = running(at, [*by, f"_cell{i}"], {f"_v{i}": scan}, order, rows=None)
     else:
-        at = _segmented_rows(at, _counted_cells(at, count_from, ks, d, width), d, scan, by, order, rows)
+        at = _segmented_rows(at, at if counted is None else counted, d, scan, by, order, rows)
     values = [F.coalesce(F.col(f"_v{i}"), F.lit(empty)).cast("long") for i in range(d)]
     return at.select(*kept, (F.least(*values) if d > 1 else values[0]).alias(out))
 
 
-def _counted_cells(
-    at: DataFrame, count_from: DataFrame | None, keys: Sequence[str], d: int, width: int
-) -> DataFrame:
-    return at if count_from is None else with_cells(count_from, keys, d, width, "_cell")
-
-
 def _segmented_rows(
-    at: DataFrame, counted: DataFrame, d: int, scan: Scan, by: str, order: str, rows: int
+    at: DataFrame, counted: DataFrame, d: int, scan: Scan, by: Sequence[str], order: str, rows: int
 ) -> DataFrame:
     hot = _hot_cells(counted, d, rows, by)
     cut = floor_div(order, rows)
     for i in range(d):
-        mine = hot.where(F.col("row") == i).select(by, F.col("cell").alias(f"_cell{i}"), F.lit(True).alias("_hot"))
+        mine = hot.where(F.col("row") == i).select(*by, F.col("cell").alias(f"_cell{i}"), F.lit(True).alias("_hot"))
         segment = F.when(F.col("_hot"), cut).otherwise(F.lit(NO_SEGMENT)).cast("long")
-        # At most d * N / rows cells of N packets are hot, which bounds the broadcast.
-        at = at.join(F.broadcast(mine), [by, f"_cell{i}"], "left").withColumn(f"_seg{i}", segment).drop("_hot")
+        # At most d * N / rows cells of N packets are hot; Spark checks what that comes to.
+        at = at.join(mine, [*by, f"_cell{i}"], "left").withColumn(f"_seg{i}", segment).drop("_hot")
 
     pieces = F.array(
         *[
@@ -120,15 +132,15 @@ def _segmented_rows(
     totals = (
         at.where(F.size(in_segment) > 0)
         .select("*", F.inline(in_segment))
-        .groupBy(by, "row", "cell", "segment")
+        .groupBy(*by, "row", "cell", "segment")
         .agg(scan.total.alias("_total"))
     )
-    earlier = Window.partitionBy(by, "row", "cell").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(by, "row", "cell", "segment", scan.prefix(F.col("_total"), earlier).alias("_carry"))
+    earlier = Window.partitionBy(*by, "row", "cell").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*by, "row", "cell", "segment", scan.prefix(F.col("_total"), earlier).alias("_carry"))
     for i in range(d):
-        group = [by, f"_cell{i}", f"_seg{i}"]
+        group = [*by, f"_cell{i}", f"_seg{i}"]
         mine = carry.where(F.col("row") == i).select(
-            by, F.col("cell").alias(f"_cell{i}"), F.col("segment").alias(f"_seg{i}"), "_carry"
+            *by, F.col("cell").alias(f"_cell{i}"), F.col("segment").alias(f"_seg{i}"), "_carry"
         )
         local = at.repartition(*group).withColumn(f"_v{i}", scan.local(Window.partitionBy(*group).orderBy(order)))
         at = (

@@ -7,10 +7,10 @@ from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from packetloom.functions.scalar import branch
+from packetloom.functions.scalar import branch, floor_div
 from packetloom.operators.running import (
     NO_SEGMENT,
     SEGMENT_ROWS,
@@ -21,7 +21,7 @@ from packetloom.operators.running import (
     split_hot,
 )
 from packetloom.schema import EPOCH, ORDER, Operand, column_names, operand
-from packetloom.sources.shared import ensure_checkpoint_dir, shared_dir
+from packetloom.sources.shared import ensure_checkpoint_dir, remove_folder, shared_dir
 
 # fn(key, packets in order, state) -> (output rows, new state)
 Fold = Callable[[tuple, pd.DataFrame, tuple], tuple[pd.DataFrame, tuple]]
@@ -115,14 +115,17 @@ def stateful_fold(
     by: str = EPOCH,
     order: str = ORDER,
     rows: int = FOLD_ROWS,
+    on_close: Callable[[tuple, tuple], pd.DataFrame] | None = None,
 ) -> DataFrame:
     """Run any register function over the ordered packets of each epoch and key.
 
-    ``fn`` may be called several times per group, with the state it returned last.
-    No call sees more than ``rows`` packets: a larger group is cut by packet
-    number, and its pieces run one after the other with the state carried in a
-    checkpointed table. Pieces of the same rank run together for all groups, so
-    epochs still work side by side. This costs one action when such groups exist.
+    ``fn`` may be called several times per group, with the state it returned last, so its
+    outputs must not depend on where the calls part; what is said once per group belongs
+    into ``on_close``, which gets the last state and replaces the outputs of ``fn``.
+    No call sees more than ``rows`` packets: a larger group is cut by its own packets in
+    order, and its pieces run one after the other with the state carried in a checkpointed
+    table. Pieces of the same rank run together for all groups. This costs a few actions
+    when such groups exist.
     """
     spark = df.sparkSession
     group = [by, *column_names(keys)]
@@ -130,7 +133,8 @@ def stateful_fold(
     inputs = df.columns
 
     def whole(key, packets):
-        return fn(key, packets.sort_values(order, ignore_index=True), initial)[0]
+        out, state = fn(key, packets.sort_values(order, ignore_index=True), initial)
+        return out if on_close is None else on_close(key, state)
 
     # A stated number of partitions: by size alone they would be merged, but the
     # work here is Python per group.
@@ -142,21 +146,16 @@ def stateful_fold(
         .groupBy(*group)
         .applyInPandas(whole, out_schema)
     )
-    hot = cut.where(F.col("_segment") != NO_SEGMENT)
-    spans = hot.groupBy(*group).agg(F.min("_segment").alias("_first"), F.max("_segment").alias("_last"))
-    waves = spans.agg(F.max(F.col("_last") - F.col("_first") + 1)).first()[0]
-    if waves is None:
-        return ordinary
 
     folder = shared_dir(spark, "fold")
-    (
-        hot.join(F.broadcast(spans), group)
-        .withColumn("_wave", F.col("_segment") - F.col("_first"))
-        .select(*inputs, "_wave")
-        .write.partitionBy("_wave")
-        .parquet(folder)
-    )
-    packets = spark.read.parquet(folder)
+    hot = cut.where(F.col("_segment") != NO_SEGMENT).select(*inputs)
+    hot.write.parquet(f"{folder}/hot")
+    hot = spark.read.schema(hot.schema).parquet(f"{folder}/hot")
+    waves = _write_waves(hot, group, order, rows, f"{folder}/waves")
+    if not waves:
+        remove_folder(folder)
+        return ordinary
+    packets = spark.read.parquet(f"{folder}/waves")
     ensure_checkpoint_dir(spark)
     state_type = T.StructType([*[df.schema[g] for g in group], *state_schema.fields])
     # One table of two kinds of rows: outputs, and the registers after the piece.
@@ -177,7 +176,8 @@ def stateful_fold(
         made, after = [], before
         if rows_now.num_rows:
             out, after = fn(key, rows_now.to_pandas().sort_values(order, ignore_index=True), before)
-            made.append(_padded(pa.Table.from_pandas(out, out_arrow, preserve_index=False), "out_", False, both_arrow))
+            if on_close is None:
+                made.append(_padded(pa.Table.from_pandas(out, out_arrow, preserve_index=False), "out_", False, both_arrow))
         registers = dict(zip(state_arrow.names, [*key, *after]))
         made.append(_padded(pa.Table.from_pylist([registers], state_arrow), "reg_", True, both_arrow))
         return pa.concat_tables(made)
@@ -191,4 +191,29 @@ def stateful_fold(
         done.append(outputs.select(*[F.col(f"out_{n}").alias(n) for n in out_schema.names]))
         registers = step.where(F.col("is_state"))
         state = registers.select(*[F.col(f"reg_{n}").alias(n) for n in state_type.names])
+    remove_folder(folder)
+    if on_close is not None:
+
+        def close(key, registers):
+            return on_close(key, tuple(registers[f.name].iloc[0] for f in state_schema.fields))
+
+        done = [ordinary, state.groupBy(*group).applyInPandas(close, out_schema)]
     return reduce(DataFrame.unionByName, done)
+
+
+def _write_waves(hot: DataFrame, group: Sequence[str], order: str, rows: int, path: str) -> int:
+    """Write the packets of the large groups by wave; the number of waves.
+
+    A group is counted in short runs of packet numbers, and neighbouring runs are packed
+    into one wave as long as they hold at most ``rows`` packets: the number of waves
+    follows the size of the largest group, not the span of its packet numbers.
+    """
+    step = max(1, rows // 8)
+    runs = hot.withColumn("_run", floor_div(order, step))
+    before = Window.partitionBy(*group).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = runs.groupBy(*group, "_run").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    waves = sizes.select(*group, "_run", F.floor(earlier / max(1, rows - step)).alias("_wave"))
+    runs.join(waves, [*group, "_run"]).drop("_run").write.partitionBy("_wave").parquet(path)
+    last = waves.agg(F.max("_wave")).first()[0]
+    return 0 if last is None else last + 1

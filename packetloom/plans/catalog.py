@@ -63,6 +63,9 @@ def on_packets(name: str, body: str | None = None, *ctes: str):
     return keep
 
 
+NO_DELAY = "0 seconds"  # the events come in order
+
+
 # --- projections, filters, tags -------------------------------------------------
 
 
@@ -1037,6 +1040,16 @@ def s4(spark, sf_dir):
     return spark.read.parquet(path).select("pkt_no", F.col("epoch").cast("long").alias("epoch"), "dst_addr", "tcp_flags")
 
 
+@register("s4_write_valid_stream", captures.VALID_SQL)
+def s4_stream(spark, sf_dir):
+    stream, start_us = packet_stream(spark, sf_dir)
+    path = shared_dir(spark, "valid")
+    decoded = decode.decode_packets(captures.as_captured(stream))
+    numbered = windows.numbered_epoch(decoded, DAY_SECONDS, NO_DELAY, start_us)
+    decode.write_valid_stream(numbered, path, shared_dir(spark, "valid-progress"), available_now=True).awaitTermination()
+    return spark.read.parquet(path).select("pkt_no", F.col("epoch").cast("long").alias("epoch"), "dst_addr", "tcp_flags")
+
+
 @on_packets("s5_flow_text", "SELECT src_addr, sport, dst_addr, dport, proto, size FROM packets")
 def s5(p):
     path = shared_dir(p.sparkSession, "flowtext")
@@ -1110,6 +1123,24 @@ NONMONOTONIC = (
 
 on_packets("q6_tcp_nonmonotonic", NONMONOTONIC)(detections.tcp_nonmonotonic)
 
+
+@on_packets("u5_stateful_fold_on_close", NONMONOTONIC)
+def u5_on_close(p):
+    """Non-monotonic TCP through the general fold, one row per flow when its epoch is over."""
+    tcp = basic.filter_cmp(p, "ipv4.protocol", "eq", "IP_PROTOCOLS_TCP")
+    flows = tcp.select(EPOCH, ORDER, *[F.col(k).cast("long").alias(k) for k in detections.FLOW], "tcp_seq")
+    return state.stateful_fold(
+        flows,
+        detections.FLOW,
+        stream_detections.flow_fold,
+        (0, 0),
+        stream_detections.FLOW_STATE,
+        stream_detections.FLOW_OUT,
+        rows=2,
+        on_close=stream_detections.flow_count,
+    )
+
+
 on_packets(
     "q7_incomplete_flows",
     "SELECT epoch, dst_addr FROM sums WHERE coalesce(syn, 0) - coalesce(fin, 0) > 1",
@@ -1197,9 +1228,6 @@ on_packets(
 # --- streams: the batch answer for every closed epoch -----------------------------
 
 
-NO_DELAY = "0 seconds"  # the events come in order
-
-
 def on_stream(name: str, body: str, *ctes: str):
     """Register a streaming query; ``fn`` gets the packet stream and its first time."""
 

@@ -9,16 +9,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from packetloom.functions.hashing import with_row_hashes
 from packetloom.functions.scalar import add_mod32
 from packetloom.operators.aggregate import reduce_sum, threshold
 from packetloom.operators.basic import filter_cmp, map_cols, report
 from packetloom.operators.distinct import distinct_keys
 from packetloom.operators.joins import zip_diff
-from packetloom.operators.running import SEGMENT_ROWS, split_hot
+from packetloom.operators.running import SEGMENT_ROWS, running_last, running_sum, split_hot
 from packetloom.operators.sketch import (
     bloom_distinct,
     cells_add,
     cells_assign,
+    running_cells,
     heavy_keys_cm,
     state_fingerprint,
 )
@@ -206,6 +208,34 @@ def flooded_servers_cells(
     return report(filter_cmp(counted, "cnt", "gt", n), ["nkey"], by)
 
 
+def flooded_servers_sizes(
+    hs: DataFrame, sizes: Sequence[tuple[tuple[int, int], tuple[int, int]]], n: int, rows: int | None = SEGMENT_ROWS
+) -> DataFrame:
+    """(conf_id, epoch, nkey) of ``flooded_servers_cells`` for many sizes of both registers in one plan.
+
+    The number of a configuration is part of every group, so the plan has as many steps for
+    one as for many. A configuration with fewer rows than the largest repeats its first
+    row, which changes no minimum.
+    """
+    by = ["conf_id", EPOCH]
+    at = hs.select(F.explode(F.array(*[F.lit(i) for i in range(len(sizes))])).alias("conf_id"), "*")
+
+    def placed(df: DataFrame, register: int) -> tuple[DataFrame, int]:
+        own = [s[register] for s in sizes]
+        deepest = max(d for d, _ in own)
+        depth, width = (F.get(F.array(*[F.lit(s[k]) for s in own]), F.col("conf_id")) for k in (0, 1))
+        hashed = with_row_hashes(df, ["nkey"], deepest, "_h")
+        cells = {f"_cell{i}": F.when(i < depth, F.col(f"_h{i}")).otherwise(F.col("_h0")) % width for i in range(deepest)}
+        return hashed.withColumns(cells).drop(*[f"_h{i}" for i in range(deepest)]), deepest
+
+    first, d = placed(at, 0)
+    scan = running_last(F.when(_is_syn_ack(), add_mod32("tcp_seq", 1)), ORDER)
+    expected = running_cells(first, d, scan, 0, by, ORDER, rows, "nextseq").drop(*[f"_cell{i}" for i in range(d)])
+    second, d = placed(_mark_answered(expected), 1)
+    counted = running_cells(second, d, running_sum(_open_delta()), 0, by, ORDER, rows, "cnt", placed(at, 1)[0])
+    return counted.where(F.col("cnt") > n).select(*by, "nkey").distinct()
+
+
 def synflood_fingerprint(packets: DataFrame, d: int, width: int, n: int = 12, by: str = EPOCH) -> DataFrame:
     """SYN flood with exact registers for the servers that own a fingerprint cell."""
     tracked = state_fingerprint(handshake_packets(packets, by), ["nkey"], d, width, by)

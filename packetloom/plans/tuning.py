@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -118,14 +117,8 @@ class SynFloodQuery:
     def reports(
         self, first: DataFrame, configs: Sequence[Config], page_bytes: int, rows: int | None
     ) -> DataFrame:
-        """What the second register counts depends on the sizes of the first, so each
-        configuration is a branch of its own in the one job."""
-        found = []
-        for i, config in enumerate(configs):
-            sizes = [(d, cells_per_row(w, COUNTER_BITS, page_bytes)) for d, w in config]
-            servers = detections.flooded_servers_cells(first, *sizes, self.n, rows=rows)
-            found.append(servers.select(F.lit(i).alias("conf_id"), EPOCH, self.key))
-        return reduce(DataFrame.unionByName, found)
+        sizes = [tuple((d, cells_per_row(w, COUNTER_BITS, page_bytes)) for d, w in config) for config in configs]
+        return detections.flooded_servers_sizes(first, sizes, self.n, rows)
 
 
 SketchedQuery = CountQuery | SynFloodQuery

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from packetloom.functions.scalar import big_endian, ip_checksum
 from packetloom.operators.running import SEGMENT_ROWS, previous, running_over_all
@@ -139,6 +140,22 @@ def write_valid(
         valid.write.mode(mode).parquet(path)
 
 
+def write_valid_stream(
+    df: DataFrame, path: str, progress: str, partition_by: str | None = "epoch", available_now: bool = False
+) -> StreamingQuery:
+    """Streaming form of ``write_valid``: appends the valid packets of each micro-batch.
+
+    ``progress`` is the shared folder that makes the sink exactly-once after a restart.
+    """
+    valid = df.where(F.col("status") == "VALID").drop("status", "file", "caplen", "len")
+    writer = valid.writeStream.format("parquet").outputMode("append").option("checkpointLocation", progress)
+    if partition_by and partition_by in valid.columns:
+        writer = writer.partitionBy(partition_by)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start(path)
+
+
 def status_counts(df: DataFrame, order: str = ORDER) -> DataFrame:
     """Packets, bytes and time span per status; also for a stream in complete mode."""
     ts = F.unix_micros("ts")

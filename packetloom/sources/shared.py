@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
+from packetloom.sources.files import resolve
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder name in the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only a session without that setting (a local test) falls back to a folder of
-    this machine, which then also serves checkpoints.
-    """
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A new folder name in the shared folder that ``spark.checkpoint.dir`` names."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="packetloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -27,3 +22,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make reliable checkpoints possible, in the session's own shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
+
+
+def remove_folder(uri: str) -> None:
+    """Delete a folder that ``shared_dir`` named, if it was written."""
+    system, path = resolve(uri)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)

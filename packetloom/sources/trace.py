@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -138,9 +139,12 @@ class TraceWriter(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path = path.rstrip("/")
         self.staging = f"{self.path}/_staging-{uuid.uuid4().hex}"
+        self.overwrite = overwrite
         system, where = resolve(self.path)
-        if system.get_file_info(where).type != fs.FileType.NotFound and not overwrite and list_files(self.path):
-            raise FileExistsError(self.path)
+        present = system.get_file_info(where).type != fs.FileType.NotFound
+        # Name order is packet order, so what is appended comes after all that is there.
+        self.old = [path for path, _ in list_files(self.path)] if present else []
+        self.batch = 1 + max((int(m[1]) for p in self.old if (m := re.search(r"/part-(\d{6})-\d{6}\.trace$", p))), default=-1)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> PartFile:
         from pyspark import TaskContext
@@ -153,18 +157,19 @@ class TraceWriter(DataSourceArrowWriter):
         with system.open_output_stream(where) as f:
             for batch in iterator:
                 f.write(batch_to_records(batch).tobytes())
-        return PartFile(staged, f"{self.path}/{name}.trace")
+        return PartFile(staged, f"{self.path}/part-{self.batch:06d}-{task.partitionId():06d}.trace")
 
     def commit(self, messages: list[PartFile | None]) -> None:
         system, where = resolve(self.path)
         system.create_dir(where, recursive=True)  # no task may have written anything
-        for path, _ in list_files(self.path):
-            system, where = resolve(path)
-            system.delete_file(where)
         for message in messages:
             if message is not None:
                 system, staged = resolve(message.staged)
                 system.move(staged, resolve(message.final)[1])
+        # The old files go last: until then a failure loses nothing.
+        for path in self.old if self.overwrite else []:
+            system, where = resolve(path)
+            system.delete_file(where)
         self._drop_staging()
 
     def abort(self, messages: list[PartFile | None]) -> None:
@@ -202,7 +207,10 @@ def read_trace(spark: SparkSession, path: str, partition_records: int = PARTITIO
 
 
 def write_trace(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Write packets as a folder of trace files whose name order is packet order."""
+    """Write packets as a folder of trace files whose name order is packet order.
+
+    ``append`` adds files after those that are there, so their packets are numbered on.
+    """
     df.sparkSession.dataSource.register(TraceSource)
     columns = df.select(*[f.name for f in PACKET_SCHEMA.fields])
     ordered = columns.repartitionByRange(ORDER).sortWithinPartitions(ORDER)

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from packetloom.operators.state import Fold
 from packetloom.schema import EPOCH, ORDER, column_names
-from packetloom.streaming.windows import use_rocksdb
+from packetloom.streaming.windows import require_rocksdb
 
 
 class FoldProcessor(StatefulProcessor):
@@ -79,7 +79,7 @@ def stateful_fold_stream(
     fold's own rows are dropped and one result per key is emitted when its epoch
     is over.
     """
-    use_rocksdb(df.sparkSession)
+    require_rocksdb(df.sparkSession)
     processor = FoldProcessor(
         fn, initial, state_schema, order, start_us, round(interval * 1_000_000), on_close
     )

@@ -77,5 +77,8 @@ def run_to_end_complete(stream: DataFrame, purpose: str = "stream") -> DataFrame
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def require_rocksdb(spark: SparkSession) -> None:
+    """Fail early where the session has another state store."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(key, None) != ROCKSDB:
+        raise ValueError(f"set {key} to {ROCKSDB}: timers and large state need it")

@@ -2,7 +2,7 @@ import os
 import sys
 
 import pytest
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
@@ -19,6 +19,10 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .getOrCreate()
     )
@@ -48,4 +52,4 @@ def packets(spark):
             )
         )
     columns = "pkt_no long, epoch long, dst_addr long, src_addr long, size long, tcp_flags int, tcp_seq long, tcp_ack long"
-    return spark.createDataFrame(rows, columns).withColumn("proto", __import__("pyspark").sql.functions.lit(6))
+    return spark.createDataFrame(rows, columns).withColumn("proto", F.lit(6))
