@@ -37,7 +37,7 @@ def bloom_distinct(
     # Narrow rows decide; whole packets meet them again by number.
     touched = explode_cells(df.select(by, order, *column_names(keys)), keys, d, width)
     first = first_rows(touched, [by, "row", "cell"], order)
-    return df.join(first.select(by, order).distinct(), [by, order], "left_semi")
+    return df.join(first.select(by, order).distinct(), [by, order], "left_semi").select(*df.columns)
 
 
 def non_negative(value: Column) -> Column:

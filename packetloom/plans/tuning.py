@@ -278,7 +278,7 @@ def _fits(pair: tuple[int, int], limits: Limits) -> bool:
     stages = limits.max_stage_per_op
     return (
         0 < d <= min(ALU_PER_STAGE * stages, limits.alu_max)
-        and 0 < w <= min(PAGE_PER_STAGE, limits.page_max)
+        and 0 < w <= PAGE_PER_STAGE
         and -(-d // stages) * (w + 1) <= PAGE_PER_STAGE
     )
 
@@ -306,7 +306,7 @@ def _neighbours(config: Config, passed: bool, limits: Limits) -> list[Config]:
     out = []
     for i, (d, w) in enumerate(config):
         for pair in ((d - 1, w), (d, w // 2)) if passed else ((d + 1, w), (d, w * 2)):
-            if _fits(pair, limits):
+            if _fits(pair, limits) and pair[1] <= limits.page_max:
                 out.append((*config[:i], pair, *config[i + 1 :]))
     return out
 

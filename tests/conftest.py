@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession, functions as F
@@ -10,6 +11,11 @@ sys.path.insert(0, ROOT)
 SF = "/root/testdata/sf0.001"
 
 
+def scratch(name):
+    """A new folder of this test run."""
+    return os.path.join(tempfile.mkdtemp(prefix="run-"), name)
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (

@@ -65,13 +65,43 @@ def test_score_and_limits(spark):
     assert valid == {i for i, c in enumerate(configs) if all(tuning._fits(p, limits) for p in c)}
 
 
+def test_sizing_fails_on_a_short_trace(packets):
+    query, spec = tuning.CountQuery("dst_addr", 5), AccuracySpec(0.0, 0.0, 0.5)
+    for n in (3, 300):
+        with pytest.raises(Exception, match="the trace ends in epoch 2"):
+            tuning.evaluate_configs(packets, query, [((1, 1),)], spec, n).collect()
+        with pytest.raises(Exception, match="the trace ends in epoch 2"):
+            tuning.accuracy_report(packets, query, ((1, 1),), spec, n).collect()
+        with pytest.raises(Exception, match="the trace ends in epoch 2"):
+            tuning.tune_sketch(packets, query, spec, n)
+    with pytest.raises(Exception, match="the trace ends in epoch -1"):
+        tuning.accuracy_report(packets.limit(0), query, ((1, 1),), spec, 2).collect()
+
+
+def test_error_of_zeros_and_negative_values(spark):
+    est = sets(spark, [(0, 1, 0), (0, 2, 3), (0, 3, 2)], "epoch long, k long, v long")
+    exact = sets(spark, [(0, 1, 0), (0, 2, 0), (0, 3, -4)], "epoch long, k long, v long")
+    assert accuracy.relative_error(est, exact, ["k"], "v", 1).first()["are"] == pytest.approx((0 + 1 + 1.5) / 3)
+
+
+def test_relative_error_bounds_a_size(packets):
+    query = tuning.CountQuery("dst_addr", 20, value="size")
+    for are_max, width in ((0.0, 64), (100.0, 1)):
+        spec = AccuracySpec(0.0, 0.0, 0.9, are_max=are_max)
+        row = tuning.accuracy_report(packets, query, ((2, width),), spec, 2, page_bytes=32).first()
+        assert row["success"] and (row["are"] > 0) == (width == 1)
+    with pytest.raises(ValueError, match="relative error"):
+        tuning.accuracy_report(packets, tuning.SynFloodQuery(2), ((1, 1), (1, 1)), AccuracySpec(are_max=1.0), 2)
+
+
 @pytest.mark.parametrize("rows", [None, 10])
 def test_many_configs_equal_one_by_one(packets, rows):
     query = tuning.CountQuery("dst_addr", 3, ("dst_addr", "src_addr"))
     configs = [((1, 1), (1, 1)), ((2, 2), (3, 2)), ((4, 1), (2, 4))]
     page = 4
-    first = query.first_packets(packets, 3)
-    got = {tuple(r) for r in query.reports(first, configs, page, rows).collect()}
+    first = query.first_packets(packets, 2)
+    packets = packets.where("epoch < 2")
+    got = {tuple(r)[:3] for r in query.reports(first, configs, page, rows).collect()}
     want = set()
     for i, (b, c) in enumerate(configs):
         passed = bloom_distinct(packets, ["dst_addr", "src_addr"], b[0], cells_per_row(b[1], 1, page))
@@ -81,11 +111,12 @@ def test_many_configs_equal_one_by_one(packets, rows):
     assert got == want
     exact = distinct_first(packets, ["dst_addr", "src_addr"]).groupBy("epoch", "dst_addr").count().where("count >= 3")
     assert {tuple(r) for r in query.exact(first).collect()} == {
-        (r["epoch"], r["dst_addr"]) for r in exact.collect()
+        (r["epoch"], r["dst_addr"], r["count"]) for r in exact.collect()
     }
 
 
 def test_search_finds_a_passing_size(packets):
+    packets = packets.withColumn("epoch", F.floor(F.col("pkt_no") / 150))
     query = tuning.CountQuery("dst_addr", 5, ("dst_addr", "src_addr"))
     spec = AccuracySpec(0.9, 0.9, 0.9)
     best = tuning.tune_sketch(packets, query, spec, 3, page_bytes=32).collect()
@@ -99,13 +130,14 @@ def test_search_finds_a_passing_size(packets):
 def test_search_without_answer(packets):
     query = tuning.CountQuery("dst_addr", 5, ("dst_addr", "src_addr"))
     with pytest.raises(ValueError, match="no configuration"):
-        tuning.tune_sketch(packets, query, AccuracySpec(1.1, 1.1, 0.9), 3, tuning.Limits(alu_max=1, page_max=1), 32)
+        tuning.tune_sketch(packets, query, AccuracySpec(1.1, 1.1, 0.9), 2, tuning.Limits(alu_max=1, page_max=1), 32)
 
 
 def test_register_query_in_many_sizes(packets):
     query = tuning.SynFloodQuery(2)
-    configs = [((1, 1), (1, 2)), ((2, 2), (2, 2))]
-    first = query.first_packets(packets, 3)
+    configs = [((1, 1), (1, 2)), ((2, 2), (2, 2)), ((2, 1), (1, 4))]
+    first = query.first_packets(packets, 2)
+    packets = packets.where("epoch < 2")
     got = {tuple(r) for r in query.reports(first, configs, 16, 25).collect()}
     want = set()
     for i, (a, b) in enumerate(configs):

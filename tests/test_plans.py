@@ -2,7 +2,8 @@
 
 from conftest import SF
 from packetloom.operators import distinct, joins, sketch
-from packetloom.plans import detections
+from packetloom.operators.accuracy import AccuracySpec
+from packetloom.plans import detections, tuning
 from packetloom.plans.fixtures import flows_from_lineitem, packets_from_events
 
 def plan(df):
@@ -17,6 +18,30 @@ def test_first_packets_are_limited_before_the_shuffle(spark):
         assert text.index("Exchange") < text.rindex("WindowGroupLimit")
 
 
+def test_alerts_are_limited_before_the_shuffle(spark):
+    text = plan(detections.alert_packets(packets_from_events(spark, SF), ["dst_addr"], 3))
+    assert text.index("Exchange") < text.rindex("WindowGroupLimit")
+
+
+def test_register_sizes_share_one_plan(spark):
+    """The steps of the plan do not grow with the number of sizes, only with their rows."""
+    spec, packets = AccuracySpec(), packets_from_events(spark, SF)
+    sizes = [((2, w), (2, v)) for w in (1, 2, 4, 8) for v in (1, 2, 4, 8)]
+    two, all_sizes = (
+        plan(tuning.evaluate_configs(packets, tuning.SynFloodQuery(2), s, spec, 29)).count("Exchange hashpartitioning")
+        for s in (sizes[:2], sizes)
+    )
+    assert two == all_sizes
+
+
+def test_owners_and_cell_totals_are_combined_before_the_shuffle(spark):
+    p = packets_from_events(spark, SF)
+    owners = plan(sketch.fingerprint_owners(p, ["dst_addr"], 2, 64))
+    assert "partial_min" in owners and "Window" not in owners
+    totals = plan(sketch.reduce_cm(p, ["dst_addr"], "size", 2, 64, "final"))
+    assert "Generate" not in totals and "partial_sum" in totals
+
+
 def test_only_needed_columns_are_read(spark):
     text = plan(detections.superspreader(packets_from_events(spark, SF), 5))
     anchor, scan = [part.split(">")[0] for part in text.split("ReadSchema: struct<")[1:3]]

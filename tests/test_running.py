@@ -3,7 +3,7 @@
 from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from packetloom.operators import aggregate, running as R, state
 from packetloom.plans import detections
@@ -106,3 +106,31 @@ def test_fold_in_pieces(spark, packets, rows):
         hs, ["nkey"], S.handshake_fold, (0, 0), S.HANDSHAKE_STATE, S.HANDSHAKE_OUT, rows=rows
     )
     assert collect(folded, "nkey", "cnt") == flood_by_hand(packets)
+
+
+def test_waves_follow_the_size_of_a_group(spark):
+    """A key spread over many packet numbers takes as few waves as one in a row."""
+    from packetloom.operators.state import _write_waves
+
+    hot = spark.range(120).selectExpr("id * 50 AS pkt_no", "0L AS epoch", "1L AS k")
+    from conftest import scratch
+
+    assert _write_waves(hot, ["epoch", "k"], "pkt_no", 100, scratch("waves")) == 2
+    assert _write_waves(hot.limit(0), ["epoch", "k"], "pkt_no", 100, scratch("none")) == 0
+
+
+def test_fold_says_its_last_word_once(packets):
+    import pandas as pd
+
+    def total(key, rows, before):
+        return rows.iloc[:0], (before[0] + int(rows["size"].sum()),)
+
+    one = T.StructType([T.StructField("total", T.LongType())])
+    out = T.StructType([T.StructField(c, T.LongType()) for c in ("epoch", "dst_addr", "total")])
+    for rows in (9, 1000):
+        got = state.stateful_fold(
+            packets, ["dst_addr"], total, (0,), one, out, rows=rows,
+            on_close=lambda key, reg: pd.DataFrame([[*key, reg[0]]], columns=out.names),
+        )
+        want = packets.groupBy("epoch", "dst_addr").agg(F.sum("size"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

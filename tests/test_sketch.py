@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from packetloom.functions.hashing import MULTIPLIERS, OFFSETS, PRIME, explode_cells
+from packetloom.functions.hashing import MULTIPLIERS, OFFSETS, PRIME, explode_cells, row_pair
 from packetloom.operators import sketch
 
 
@@ -28,9 +28,18 @@ def test_cells(packets):
             assert got[r["pkt_no"], i] == cell(i, [r["dst_addr"], r["src_addr"]], 97)
 
 
-def test_a_sketch_has_one_to_four_rows(packets):
+def test_a_sketch_has_rows(packets):
     with pytest.raises(ValueError):
-        explode_cells(packets, ["dst_addr"], 5, 8)
+        explode_cells(packets, ["dst_addr"], 0, 8)
+    pairs = [row_pair(i) for i in range(40)]
+    assert len(set(pairs)) == 40 and all(0 < a < PRIME and 0 < b < PRIME for a, b in pairs)
+    assert explode_cells(packets, ["dst_addr"], 9, 8).select("row").distinct().count() == 9
+
+
+@pytest.mark.parametrize("mode", ["running", "final"])
+def test_count_min_refuses_negative_steps(packets, mode):
+    with pytest.raises(Exception, match="non-negative"):
+        sketch.heavy_keys_cm(packets.withColumn("size", -F.col("size")), ["dst_addr"], "size", 2, 8, 5, mode).collect()
 
 
 @pytest.mark.parametrize("d,width", [(1, 16), (2, 32), (3, 8)])

@@ -42,12 +42,13 @@ def test_trace_of_broken_length_is_refused(spark, tmp_path):
         trace.read_trace(spark, str(tmp_path)).count()
 
 
-def test_trace_folder_is_replaced_or_refused(spark, tmp_path):
+def test_trace_folder_is_replaced_or_continued(spark, tmp_path):
     packets = packets_from_events(spark, SF).drop("epoch")
     path = str(tmp_path / "trace")
     trace.write_trace(packets.where("pkt_no < 50"), path)
-    with pytest.raises(Exception, match="FileExists"):
-        trace.write_trace(packets.where("pkt_no < 30"), path)
+    trace.write_trace(packets.where("pkt_no >= 50 and pkt_no < 80"), path)
+    both = trace.read_trace(spark, path).orderBy("pkt_no").collect()
+    assert [r["src_addr"] for r in both] == [r["src_addr"] for r in packets.where("pkt_no < 80").orderBy("pkt_no").collect()]
     trace.write_trace(packets.where("pkt_no < 30"), path, mode="overwrite")
     assert trace.read_trace(spark, path).count() == 30
     trace.write_trace(packets.where("pkt_no < 0"), str(tmp_path / "none"))
@@ -64,7 +65,7 @@ def capture(path, order, magic, ticks, n, seed):
             # Zeros look like headers of empty packets and mislead a guess.
             data = bytes(rng.choice([0, 0, 0, 0, 1, 9]) for _ in range(size))
             f.write(struct.pack(order + "IIII", 1700000000 + i, 25 * ticks, size, size + 4) + data)
-            want.append(((1700000000 + i) * 1000000 + 25, min(size, 1500), size + 4, data[:1500]))
+            want.append(((1700000000 + i) * 1000000 + 25, size, size + 4, data))
     return want
 
 
@@ -79,6 +80,34 @@ def test_captures(spark, tmp_path, piece_bytes):
     assert [(r["us"], r["caplen"], r["len"], bytes(r["data"])) for r in rows] == want
 
 
+def test_captures_in_folders_and_globs(spark, tmp_path):
+    (tmp_path / "x" / "y").mkdir(parents=True)
+    (tmp_path / "x" / "_hidden").mkdir()
+    want = capture(tmp_path / "x" / "a.pcap", "<", 0xA1B2C3D4, 1, 20, 3)
+    want += capture(tmp_path / "x" / "y" / "b.pcap", "<", 0xA1B2C3D4, 1, 10, 4)
+    capture(tmp_path / "x" / "_hidden" / "c.pcap", "<", 0xA1B2C3D4, 1, 5, 5)
+    capture(tmp_path / "z.cap", "<", 0xA1B2C3D4, 1, 5, 6)
+    for path in (str(tmp_path / "x"), f"{tmp_path}/*/*.pcap"):
+        df = pcap.read_pcap(spark, path, max_caplen=100)
+        rows = df.selectExpr("unix_micros(ts) AS us", "caplen", "len", "data", "pkt_no").orderBy("pkt_no").collect()
+        assert [(r["us"], r["caplen"], r["len"], bytes(r["data"])) for r in rows] == [
+            (us, min(n, 100), size, data[:100]) for us, n, size, data in want
+        ]
+
+
+@pytest.mark.parametrize("piece_bytes", [1 << 27, 20000])
+def test_damage_is_not_silent(spark, tmp_path, piece_bytes):
+    capture(tmp_path / "a.pcap", "<", 0xA1B2C3D4, 1, 150, 1)
+    data = bytearray((tmp_path / "a.pcap").read_bytes())
+    at = 24
+    for _ in range(60):
+        at += 16 + struct.unpack_from("<I", data, at + 8)[0]
+    struct.pack_into("<I", data, at + 8, 0x7FFFFFFF)
+    (tmp_path / "a.pcap").write_bytes(data)
+    with pytest.raises(Exception, match=f"a.pcap: damaged record at byte {at}"):
+        pcap.read_pcap(spark, str(tmp_path), piece_bytes).count()
+
+
 def test_other_files_are_refused(spark, tmp_path):
     (tmp_path / "x.pcap").write_bytes(b"not a capture file at all")
     with pytest.raises(Exception, match="not a capture file"):
@@ -88,7 +117,7 @@ def test_other_files_are_refused(spark, tmp_path):
 def test_flow_text(spark):
     line = "10.0.0.1(1234) <-> 192.168.1.2(80) 6 60"
     df = flowtext.parse_flow_text(spark.createDataFrame([(line,), ("noise",)], "value string"))
-    assert [tuple(r) for r in df.collect()] == [(0x0A000001, 1234, 0xC0A80102, 80, 6, 60)]
+    assert [tuple(r) for r in df.collect()] == [(0x0A000001, 1234, 0xC0A80102, 80, 6, 60, None), (*[None] * 6, "noise")]
     assert flowtext.format_flow_text(df).first()[0] == line
 
 

@@ -34,14 +34,14 @@ def test_window_detections(spark, split_events, name, n):
     stream, start_us = split_events
     batch = packets_from_events(spark, SF)
     last = batch.agg(F.max("epoch")).first()[0]
-    got = windows.run_to_end(getattr(S, name)(stream(), n, DAY_SECONDS, start_us))
+    got = windows.run_to_end(getattr(S, name)(stream(), n, DAY_SECONDS, start_us, watermark="0 seconds"))
     want = getattr(detections, name)(batch, n)
     assert {tuple(r) for r in got.collect()} == closed(want, last)
 
 
 def test_registers(spark, split_events):
     stream, start_us = split_events
-    got = windows.run_to_end(S.synflood_counts(stream(), DAY_SECONDS, start_us))
+    got = windows.run_to_end(S.synflood_counts(stream(), DAY_SECONDS, start_us, watermark="0 seconds"))
     want = detections.synflood_counts(packets_from_events(spark, SF))
     columns = ["epoch", "pkt_no", "nkey", "nextseq", "cnt"]
     assert {tuple(r) for r in got.select(columns).collect()} == {tuple(r) for r in want.select(columns).collect()}
@@ -51,13 +51,13 @@ def test_results_at_the_end_of_an_epoch(spark, split_events):
     stream, start_us = split_events
     batch = packets_from_events(spark, SF)
     last = batch.agg(F.max("epoch")).first()[0]
-    got = windows.run_to_end(S.tcp_nonmonotonic(stream(), DAY_SECONDS, start_us))
+    got = windows.run_to_end(S.tcp_nonmonotonic(stream(), DAY_SECONDS, start_us, watermark="0 seconds"))
     assert {tuple(r) for r in got.collect()} == closed(detections.tcp_nonmonotonic(batch), last)
 
 
 def test_alerts(spark, split_events):
     stream, start_us = split_events
     syn = detections.syn_packets(stream())
-    got = windows.run_to_end(S.alert_packets(syn, ["dst_addr"], 2, DAY_SECONDS, start_us))
+    got = windows.run_to_end(S.alert_packets(syn, ["dst_addr"], 2, DAY_SECONDS, start_us, watermark="0 seconds"))
     want = detections.alert_packets(detections.syn_packets(packets_from_events(spark, SF)), ["dst_addr"], 2)
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.select(got.columns).collect()}
