@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import row_key, stored
+from packetloom.llm.common import row_key, slices, stored
 
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
 
@@ -57,28 +61,22 @@ def dedup_units(
     gone = again.groupBy("_key1", "_key2").agg(F.collect_set("unit").alias("_gone"))
     joined = ranked.join(gone, ["_key1", "_key2"], "left").drop("_key1", "_key2", "_rank")
 
-    # Offsets need running sums over a document's own units only.
-    pieces = F.transform(parts, lambda p, i: F.struct(p.alias("body"), i.alias("unit"), F.length(p).alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("spans"))
-    spans = F.aggregate(
-        pieces,
-        start,
-        lambda acc, p: F.struct(
-            (acc["at"] + p["size"] + len(sep)).alias("at"),
-            F.when(
-                F.array_contains("_gone", p["unit"]),
-                F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + p["size"]).alias("end")))),
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            n_units, removed, kept = [], [], []
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
+                own = text.split(sep) if text is not None else []
+                gone = set(gone or ())
+                ends = list(accumulate(len(u) + len(sep) for u in own))
+                n_units.append(len(own))
+                removed.append([{"start": ends[i] - len(sep) - len(own[i]), "end": ends[i] - len(sep)} for i in sorted(gone)])
+                kept.append(sep.join(u for i, u in enumerate(own) if i not in gone) if text is not None else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n_units, pa.int32()), pa.array(removed, span), pa.array(kept, pa.string())],
+                names=["doc_id", "n_units", "removed", "kept_text"],
             )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    kept = F.array_join(F.transform(F.filter(pieces, lambda p: ~F.array_contains("_gone", p["unit"])), lambda p: p["body"]), sep)
-    whole = F.col("_gone").isNull()
-    return joined.select(
-        "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).alias("n_units"),
-        F.when(whole, start["spans"]).otherwise(spans).alias("removed"),
-        F.when(whole, F.col("text")).otherwise(kept).alias("kept_text"),
-    )
+
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    schema = f"doc_id {kind}, n_units int, removed array<struct<start: long, end: long>>, kept_text string"
+    return joined.mapInArrow(keep, schema)
