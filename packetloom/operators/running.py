@@ -144,9 +144,24 @@ def running(
         return local.withColumns({out: s.merge(F.lit(None), F.col(out)) for out, s in scans.items()})
     base = df if source is None else source
     if own:
-        segment = "_segment"
-        df = split_hot(df, keys, rows, order, segment, count_from=source)
-        base = df if source is None else split_hot(source, keys, rows, order, segment)
+        # One count per group and possible segment tells the hot groups, and carries what
+        # the segments before add up to. Only hot ones are sent: N packets fill N / rows
+        # segments, and each hot group adds one that is not full.
+        cut = floor_div(order, rows)
+        group = Window.partitionBy(*keys)
+        before = group.orderBy("_segment").rowsBetween(_START, -1)
+        parts = base.groupBy(*keys, cut.alias("_segment")).agg(
+            F.count(F.lit(1)).alias("_n"), *[s.total.alias(f"_t{i}") for i, s in enumerate(scans.values())]
+        )
+        prefixes = [s.prefix(F.col(f"_t{i}"), before).alias(f"_p{i}") for i, s in enumerate(scans.values())]
+        hot = parts.select(*keys, "_segment", *prefixes, F.sum("_n").over(group).alias("_size")).where(F.col("_size") > rows)
+        placed = df.withColumn("_segment", cut).join(F.broadcast(hot), [*keys, "_segment"], "left")
+        own_segment = F.when(F.col("_size").isNotNull(), F.col("_segment")).otherwise(F.lit(NO_SEGMENT)).cast("long")
+        placed = placed.withColumn("_segment", own_segment)
+        placed = placed.repartition(*keys, "_segment") if exchange else placed
+        w = Window.partitionBy(*keys, "_segment").orderBy(order)
+        merged = [s.merge(F.col(f"_p{i}"), s.local(w)).alias(out) for i, (out, s) in enumerate(scans.items())]
+        return placed.select(*kept, *merged)
 
     totals = (
         base.where(F.col(segment) != NO_SEGMENT)

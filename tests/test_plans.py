@@ -1,7 +1,7 @@
 """Plans have the shape that holds at scale."""
 
 from conftest import SF
-from packetloom.operators import distinct, joins, sketch
+from packetloom.operators import aggregate, distinct, joins, sketch
 from packetloom.operators.accuracy import AccuracySpec
 from packetloom.plans import detections, tuning
 from packetloom.plans.fixtures import flows_from_lineitem, packets_from_events
@@ -23,6 +23,13 @@ def test_alerts_are_limited_before_the_shuffle(spark):
     assert text.index("Exchange") < text.rindex("WindowGroupLimit")
 
 
+def test_running_values_read_their_input_twice(spark):
+    """Once for counts and totals, once for the values."""
+    text = plan(aggregate.reduce_running(packets_from_events(spark, SF), ["dst_addr"], "size").select("size"))
+    assert text.count("Exchange hashpartitioning") == 3
+    assert text.count("BroadcastHashJoin") == 1
+
+
 def test_register_sizes_share_one_plan(spark):
     """The steps of the plan do not grow with the number of sizes, only with their rows."""
     spec, packets = AccuracySpec(), packets_from_events(spark, SF)
