@@ -153,7 +153,7 @@ def stateful_fold(
     hot = spark.read.schema(hot.schema).parquet(f"{folder}/hot")
     waves = _write_waves(hot, group, order, rows, f"{folder}/waves")
     if not waves:
-        remove_folder(folder)
+        remove_folder(spark, folder)
         return ordinary
     packets = spark.read.parquet(f"{folder}/waves")
     ensure_checkpoint_dir(spark)
@@ -191,7 +191,7 @@ def stateful_fold(
         done.append(outputs.select(*[F.col(f"out_{n}").alias(n) for n in out_schema.names]))
         registers = step.where(F.col("is_state"))
         state = registers.select(*[F.col(f"reg_{n}").alias(n) for n in state_type.names])
-    remove_folder(folder)
+    remove_folder(spark, folder)
     if on_close is not None:
 
         def close(key, registers):

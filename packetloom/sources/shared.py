@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyarrow import fs
 from pyspark.sql import SparkSession
 
-from packetloom.sources.files import resolve
-
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name in the shared folder that ``spark.checkpoint.dir`` names."""
@@ -24,8 +21,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
 
 
-def remove_folder(uri: str) -> None:
-    """Delete a folder that ``shared_dir`` named, if it was written."""
-    system, path = resolve(uri)
-    if system.get_file_info(path).type == fs.FileType.Directory:
-        system.delete_dir(path)
+def remove_folder(spark: SparkSession, uri: str) -> None:
+    """Delete a folder that ``shared_dir`` named, in whatever store Spark reaches it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
