@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.llm.common import stored
+
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 64
 """Cost of a sequence besides its length: what opening one more is worth avoiding."""
@@ -82,6 +84,8 @@ def best_fit(
         raise ValueError("capacities must be positive")
     largest = max(capacities)
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(length.cast("long"), F.lit(0)).alias("length"))
+    # Stored, lengths are counted once and every row has a place that a second reading finds again.
+    sized = stored(docs.sparkSession, sized, "lengths")
     cut = sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.ceil(F.col("length") / largest) - 1))))
     pieces = cut.select("doc_id", "piece", (F.col("piece") * largest).alias("start"), F.least(F.lit(largest).cast("long"), F.col("length") - F.col("piece") * largest).alias("size"))
     n = sized.agg(F.sum(F.ceil(F.col("length") / largest))).first()[0] or 0
