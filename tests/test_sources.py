@@ -5,8 +5,9 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
-from packetloom.operators.basic import map_cols
+from packetloom.operators.basic import map_cols, tag_queries, tagged
 from packetloom.plans.fixtures import packets_from_events
 from packetloom.sources import config, flowtext, pcap, trace
 from conftest import SF
@@ -135,3 +136,11 @@ def test_map_refuses_non_integers(spark):
     for bad in ("x", 1.5, True, {"op": "sum", "values": ["a", "b"]}):
         with pytest.raises(ValueError):
             map_cols(df, ["id"], {"count": bad})
+
+
+def test_more_queries_than_bits(spark):
+    df = spark.range(200)
+    wanted = {f"q{i}": F.col("id") % 100 == i for i in range(70)}
+    marked = tag_queries(df, wanted)
+    assert marked.count() == 140
+    assert [tagged(marked, i).count() for i in (0, 61, 62, 69)] == [2] * 4
