@@ -26,7 +26,7 @@ from packetloom.llm.common import row_key, slices, stored
 RADIUS = 3
 SEED = 42
 SHARD_ROWS = 20_000
-LEAF = 48
+LEAF = 8
 """Subtrees up to this size are compared directly."""
 
 AT_ONCE = 1 << 16
