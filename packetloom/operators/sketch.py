@@ -52,9 +52,9 @@ def _with_totals(sums: DataFrame, keys: Sequence[str], values: Sequence[str], d:
     Cell totals are at most ``width`` rows per epoch and sketch row, so one row per key
     meets each of them by a join of its own and never leaves its place.
     """
-    at = with_cells(sums, keys, d, width, "_cell")
+    at = placed = with_cells(sums, keys, d, width, "_cell")
     for i in range(d):
-        totals = at.groupBy(by, f"_cell{i}").agg(*[F.sum(v).alias(f"{v}{i}") for v in values])
+        totals = placed.groupBy(by, f"_cell{i}").agg(*[F.sum(v).alias(f"{v}{i}") for v in values])
         at = at.join(totals, [by, f"_cell{i}"])
     return at
 
