@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ SHORT = (8.0, 80.0)
 """Short texts scatter more, and one odd word weighs more in them: bands are
 ``1 + SHORT[0] / sqrt(words) + SHORT[1] / words`` times as wide."""
 
-CACHE = 200_000
+CACHE = 1_000_000
 """Words whose tokens a Python worker remembers."""
 
 MIN_WORDS, MAX_REPEAT = 10, 20
@@ -45,27 +46,46 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 
 
-def base_rules(text: str | None, words: list[str]) -> tuple[int, int, int, int, int]:
-    """Words, their code points, symbols, repeated lines, words in repeated 5-word windows."""
+def text_rules(text: str | None) -> tuple[int, int]:
+    """Symbols, and lines with a word that equal an earlier line."""
     seen, n_dup = set(), 0
     for line in (text or "").split("\n"):
-        if WORD.search(line):
-            n_dup += line in seen
+        if line in seen:
+            n_dup += 1
+        elif WORD.search(line):
             seen.add(line)
-    n = len(words)
-    repeat = 0
-    if n >= 6:
-        first: dict[tuple[str, ...], int] = {}
-        hit = bytearray(n)
-        for i, window in enumerate(zip(words, words[1:], words[2:], words[3:], words[4:], strict=False)):
-            if (j := first.setdefault(window, i)) != i:
-                hit[j : j + 5] = hit[i : i + 5] = b"\x01" * 5
-        repeat = hit.count(1)
-    return n, sum(map(len, words)), len(SYMBOL.findall(text or "")), n_dup, repeat
+    return len(SYMBOL.findall(text or "")), n_dup
 
 
-def load(path: str) -> Callable[[list[str]], list[tuple[np.ndarray, int]]]:
-    """A function from words to their token ids and number of byte-fallback tokens.
+def repeats(ids: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """Words of each document in 5-word windows found twice or more in it, the first included.
+
+    ``ids`` numbers the words of all documents in order, ``doc`` their documents. Windows
+    are brought together by a hash and compared word by word.
+    """
+    n = len(ids) - 4
+    if n < 2:
+        return np.zeros(n_docs, np.int64)
+    parts = [ids[k : n + k] for k in range(5)]
+    h = doc[:n].astype(np.uint64)
+    for part in parts:
+        h = (h ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    at = np.flatnonzero(doc[:n] == doc[4:])
+    at = at[np.argsort(h[at], kind="stable")]
+    a, b = at[:-1], at[1:]
+    equal = h[a] == h[b]
+    for part in (doc[:n], *parts):
+        equal &= part[a] == part[b]
+    change = np.zeros(len(ids) + 1, np.int64)
+    twice = np.unique(np.concatenate([a[equal], b[equal]]))
+    change[twice] += 1
+    change[twice + 5] -= 1
+    return np.bincount(doc, np.cumsum(change[:-1]) > 0, n_docs).astype(np.int64)
+
+
+def load(path: str) -> tuple[Callable[[list[str]], list[list[int]]], np.ndarray]:
+    """A function from words to their token ids, and which ids are byte fallback.
 
     Words are encoded with a space before them, as inside a text. Byte fallback: a byte
     piece, or for byte vocabularies a token that is no whole character.
@@ -75,69 +95,107 @@ def load(path: str) -> Callable[[list[str]], list[tuple[np.ndarray, int]]]:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         is_byte = np.array([model.is_byte(i) for i in range(model.vocab_size())])
+        return lambda words: model.encode(words, num_threads=1), is_byte
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    vocabulary = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    is_byte = np.zeros(max(ranks.values()) + 1, bool)
+    for piece, i in ranks.items():
+        try:
+            piece.decode()
+        except UnicodeDecodeError:
+            is_byte[i] = True
+    return lambda words: [vocabulary.encode_ordinary(" " + w) for w in words], is_byte
+
+
+class Lexicon:
+    """The words a worker has met, numbered, with what the measures need of each.
+
+    It starts afresh beyond ``CACHE`` words, so its memory is bounded.
+    """
 
-        def encode(words: list[str]) -> list[list[int]]:
-            return model.encode(words, num_threads=1)
-    else:
-        import public_tokenizers
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        vocabulary = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        is_byte = np.zeros(max(ranks.values()) + 1, bool)
-        for piece, i in ranks.items():
-            try:
-                piece.decode()
-            except UnicodeDecodeError:
-                is_byte[i] = True
-
-        def encode(words: list[str]) -> list[list[int]]:
-            return [vocabulary.encode_ordinary(" " + w) for w in words]
-
-    def look(words: list[str]) -> list[tuple[np.ndarray, int]]:
-        found = (np.array(ids, np.int32) for ids in encode(words))
-        return [(ids, int(is_byte[ids].sum())) for ids in found]
-
-    return look
-
-
-class Measure:
-    """The measures of one vocabulary, with a bounded memory of words."""
-
-    def __init__(self, path: str):
-        self.look = load(path)
-        self.known: dict[str, tuple[np.ndarray, int]] = {}
-
-    def __call__(self, docs: list[list[str]]) -> list[tuple[float, float, float]]:
-        words = set().union(*docs) if docs else set()
-        if len(self.known) + len(words) > CACHE:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, self.look(new), strict=True))
-        known = self.known
-        out = []
-        for own in docs:
-            pieces = [known[w] for w in own]
-            ids = np.concatenate([p[0] for p in pieces]) if pieces else np.empty(0, np.int32)
-            if not len(ids):
-                out.append((0.0, 0.0, 0.0))
-                continue
-            share = np.sort(ids)
-            counts = np.diff(np.flatnonzero(np.concatenate(([True], share[1:] != share[:-1], [True]))))
-            entropy = float(np.log2(len(ids)) - (counts * np.log2(counts)).sum() / len(ids))
-            out.append((sum(map(len, own)) / len(ids), sum(p[1] for p in pieces) / len(ids), entropy))
-        return out
-
-
-def script(words: list[str]) -> str:
-    """Coarse script of the first letter of most words: Latin, or the block of 256 code points."""
-    counts: dict[str, int] = {}
-    for w in words:
-        if w[0].isalpha():
-            name = "Latin" if ord(w[0]) < 0x250 else f"U+{ord(w[0]) >> 8:02X}00"
-            counts[name] = counts.get(name, 0) + 1
-    return min(counts, key=lambda k: (-counts[k], k)) if counts else "none"
+    def __init__(self, paths: list[str]):
+        self.vocabularies = [load(p) for p in paths]
+        self.scripts = ["none"]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.ids: dict[bytes, int] = {}
+        self.chars = self.script = np.zeros(0, np.int64)
+        self.tokens = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)) for _ in self.vocabularies]
+
+    def number(self, docs: list[list[bytes]]) -> np.ndarray:
+        """Word numbers of all documents in one row."""
+        new = set().union(*docs) - self.ids.keys()
+        if len(self.ids) + len(new) > CACHE:
+            self._clear()
+            new = set().union(*docs)
+        if new:
+            added = sorted(new)
+            self.ids.update(zip(added, range(len(self.ids), len(self.ids) + len(added)), strict=True))
+            texts = [w.decode("utf-8", "replace") for w in added]
+            self.chars = np.append(self.chars, [len(t) for t in texts])
+            self.script = np.append(self.script, [self._script(t[0]) for t in texts])
+            for i, (encode, is_byte) in enumerate(self.vocabularies):
+                found = encode(texts)
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+                n_bytes = np.bincount(np.repeat(np.arange(len(found)), sizes), is_byte[flat], len(found)).astype(np.int64)
+                old = self.tokens[i]
+                self.tokens[i] = (np.append(old[0], sizes), np.append(old[1], flat), np.append(old[2], n_bytes))
+        return np.fromiter(map(self.ids.__getitem__, chain.from_iterable(docs)), np.int64)
+
+    def _script(self, c: str) -> int:
+        """Coarse script of a word by its first character: Latin, a block of 256 code points, or none."""
+        if not c.isalpha():
+            return 0
+        name = "Latin" if ord(c) < 0x250 else f"U+{ord(c) >> 8:02X}00"
+        if name not in self.scripts:
+            self.scripts.append(name)
+        return self.scripts.index(name)
+
+    def script_of(self, ids: np.ndarray, doc: np.ndarray, n_docs: int) -> list[str]:
+        """Script of most words with one; ties go to the first name, ``none`` without any."""
+        own = self.script[ids]
+        counts = np.bincount(doc * len(self.scripts) + own, minlength=n_docs * len(self.scripts)).reshape(n_docs, len(self.scripts))
+        counts[:, 0] = 0
+        order = sorted(range(1, len(self.scripts)), key=self.scripts.__getitem__)
+        best = [0] * n_docs if not order else np.array(order)[counts[:, order].argmax(axis=1)]
+        return [self.scripts[k] if row[k] else "none" for k, row in zip(best, counts, strict=True)]
+
+    def measures(self, i: int, ids: np.ndarray, doc: np.ndarray, n_docs: int) -> list[np.ndarray]:
+        """Characters per token, byte share and entropy (bits) of each document under vocabulary ``i``."""
+        sizes, flat, n_bytes = self.tokens[i]
+        own = sizes[ids]
+        n = np.bincount(doc, own, n_docs)
+        some = np.maximum(n, 1)
+        first = (np.cumsum(sizes) - sizes)[ids]
+        ends = np.cumsum(own)
+        place = np.repeat(first - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)
+        key = np.sort(np.repeat(doc.astype(np.int64), own) << 20 | flat[place])
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        counts = np.diff(np.append(starts, len(key)))
+        weighted = np.bincount(key[starts] >> 20, counts * np.log2(counts), n_docs)
+        entropy = np.where(n > 0, np.log2(some) - weighted / some, 0.0)
+        return [np.bincount(doc, self.chars[ids], n_docs) / some, np.bincount(doc, n_bytes[ids], n_docs) / some, np.abs(entropy)]
+
+
+def measure(lexicon: Lexicon, bodies: list[str | None]) -> list[np.ndarray | list[str]]:
+    """Columns of ``measures`` after the row's own: base counts, script, measures by vocabulary."""
+    docs = [t.encode("utf-8", "replace").split() if t else [] for t in bodies]
+    n_docs = len(docs)
+    n_words = np.fromiter(map(len, docs), np.int64, n_docs)
+    doc = np.repeat(np.arange(n_docs), n_words)
+    ids = lexicon.number(docs)
+    rules = np.array([text_rules(t) for t in bodies], np.int64).reshape(n_docs, 2)
+    chars = np.bincount(doc, lexicon.chars[ids], n_docs).astype(np.int64)
+    out = [n_words, chars, rules[:, 0].copy(), rules[:, 1].copy(), repeats(ids, doc, n_docs), lexicon.script_of(ids, doc, n_docs)]
+    for i in range(len(lexicon.vocabularies)):
+        out += lexicon.measures(i, ids, doc, n_docs)
+    return out
 
 
 def measures(
@@ -153,17 +211,10 @@ def measures(
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        own = [Measure(f"{folder}/{v}" if folder else public_tokenizers.path(v)) for v in vocabularies]
+        lexicon = Lexicon([f"{folder}/{v}" if folder else public_tokenizers.path(v) for v in vocabularies])
         for batch in slices(batches, "text"):
-            bodies = batch.column("text").to_pylist()
-            docs_words = [WORD.findall(t) if t else [] for t in bodies]
-            base = np.array([base_rules(t, w) for t, w in zip(bodies, docs_words, strict=True)], np.int64)
             columns = [batch.column(c) for c in ("doc_id", "lang", "_key1", "_key2")]
-            columns += [pa.array(base[:, i].copy()) for i in range(5)]
-            columns.append(pa.array([script(w) for w in docs_words], pa.string()))
-            for m in own:
-                got = np.array(m(docs_words), np.float64)
-                columns += [pa.array(got[:, i].copy()) for i in range(3)]
+            columns += [pa.array(c) for c in measure(lexicon, batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["doc_id", "lang", "_key1", "_key2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "script"]

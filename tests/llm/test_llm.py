@@ -161,12 +161,25 @@ def test_paragraphs_keep_the_first_by_rank(spark):
 # --- quality rules
 
 
+def brute_base(text):
+    words = fertility.WORD.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if fertility.WORD.search(x)]
+    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    hit = {i + k for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for k in range(5)}
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit))
+
+
 def test_base_rules():
-    t = "a b c d e f\na b c d e\n\n#x\n#x"
-    words = fertility.WORD.findall(t)
-    assert fertility.base_rules(t, words) == (13, 15, 2, 1, 10)
-    assert fertility.base_rules(None, []) == (0, 0, 0, 0, 0)
-    assert fertility.base_rules("a a a a a a", ["a"] * 6) == (6, 6, 0, 0, 6)
+    import public_tokenizers
+
+    rng = random.Random(12)
+    texts = ["a b c d e f\na b c d e\n\n#x\n#x", None, "a a a a a a", "", " \n \n", "x", "a b c d e", "é\xa0é 😀 \x0b y"]
+    texts += ["".join(rng.choice("ab ,\n#") for _ in range(rng.randrange(200))) for _ in range(60)]
+    lexicon = fertility.Lexicon([public_tokenizers.path("piece_bpe_32k.model")])
+    found = fertility.measure(lexicon, texts)
+    assert list(zip(*(c.tolist() for c in found[:5]), strict=True)) == [brute_base(t) for t in texts]
+    assert brute_base("a b c d e f\na b c d e\n\n#x\n#x") == (13, 15, 2, 1, 10)
+    assert [c.tolist() if hasattr(c, "tolist") else c for c in fertility.measure(lexicon, [])] == [[]] * 9
 
 
 def test_fertility(spark, docs):
