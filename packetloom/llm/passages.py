@@ -57,6 +57,8 @@ def dedup_units(
 
     place = F.struct(F.col("_rank").isNull().alias("none"), "_rank", "_key1", "_key2", "unit")
     first = units.groupBy("_d0", "_d1").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Stored, its size is known before the join, and a digest with many units can be split there.
+    first = stored(spark, first, "first")
     again = units.join(first, ["_d0", "_d1"]).where(place != F.col("first"))
     gone = again.groupBy("_key1", "_key2").agg(F.collect_set("unit").alias("_gone"))
     joined = ranked.join(gone, ["_key1", "_key2"], "left").drop("_key1", "_key2", "_rank")
