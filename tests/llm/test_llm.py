@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SF
-from packetloom.llm import common, decontaminate, fertility, langid, packing, passages, pii, queries, simhash, site_lines, tokens, toxicity
+from packetloom.llm import common, decontaminate, fertility, jaccard, langid, packing, passages, pii, queries, simhash, site_lines, tokens, toxicity
 
 PASSAGE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, n_words long, term string, block long, host string, kept string"
@@ -543,6 +543,87 @@ def test_best_fit(spark, docs):
     assert len({b for b, _ in filled}) == len(filled)
 
 
+# --- near copies by similarity
+
+
+def brute_similar(texts, threshold=0.8):
+    """The smallest number linked to each text, from all pairs of sets of five words in a row."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(decontaminate.LOWER))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= threshold * (len(sets[i]) + len(sets[j]) - both) and up[i] != up[j]:
+                low, high = sorted((up[i], up[j]))
+                up = [low if x == high else x for x in up]
+    return up
+
+
+def edited(seed=3):
+    """Texts with edited copies on both sides of the threshold, copies of copies, short and empty ones."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([4, 8, 30, 80, 300]))]
+        out.append(" ".join(base))
+        for _ in range(6):
+            copy = list(rng.choice([base, out[-1].split()]))
+            for _ in range(rng.randrange(1 + len(copy) // 30)):
+                copy[rng.randrange(len(copy))] = f"w{rng.randrange(5000)}"
+            out.append(" ".join(copy + ["and more"] * rng.randrange(2)))
+    return [*out, "", None, " ", "one"]
+
+
+@pytest.mark.parametrize("tile_rows", [3, 20_000])
+def test_similar_texts(spark, tile_rows):
+    texts = edited()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = jaccard.near_duplicates(spark, df, tile_rows=tile_rows).collect()
+    least = defaultdict(list)
+    for r in found:
+        least[r["root"]].append(r["doc_id"])
+    assert [min(least[r["root"]]) for r in sorted(found, key=lambda r: r["doc_id"])] == brute_similar(texts)
+
+
+def test_pipeline_drops_edited_copies(spark):
+    """Similarity 0.8 and more, also where fingerprints differ in more than 3 bits."""
+    texts = edited()
+    prints = [brute_fingerprint(t) for t in texts]
+    want = sorted(set(brute_similar(texts)))
+    assert len(want) < len(set(classes(prints)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, SF).collect()) == want
+
+
+def test_near_dedup_stage_on_the_given_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids = sorted(texts)
+    want = sorted({ids[k] for k in brute_similar([texts[i] for i in ids])})
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == want
+
+
+def test_set_links_join_what_is_alike():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        base = rng.integers(0, 1 << 63, 60, np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(60) < 0.93], rng.integers(0, 1 << 63, rng.integers(0, 8), np.uint64)])) for _ in range(30)]
+        links = jaccard.set_links(sets, 20)
+        similar = lambda i, j: len(a := set(sets[i].tolist()) & set(sets[j].tolist())) >= 0.8 * (len(sets[i]) + len(sets[j]) - len(a))
+        assert all(similar(i, j) for i, j in links)
+
+        def joined(pairs):
+            up = list(range(30))
+            for i, j in pairs:
+                up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+            return up
+
+        assert joined(links) == joined([(i, j) for i in range(20) for j in range(30) if i != j and similar(i, j)])
+
+
 # --- all
 
 
