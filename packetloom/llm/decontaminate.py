@@ -147,18 +147,30 @@ def phrase_starts(lists: list[np.ndarray], order: list[int]) -> np.ndarray:
     return starts
 
 
-def near_starts(lists: list[np.ndarray], order: list[int], span: int) -> np.ndarray:
-    """Starts of all runs of ``span`` positions that hold every word of a phrase, in any order.
+def near_starts(lists: list[np.ndarray], order: list[int], span: int, docs: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Starts of all runs of ``span`` positions that hold every word of a phrase, in any order
+    and as often as the phrase has it.
 
-    A run starts at most ``span - 1`` before the rarest word.
+    A run starts at most ``span - 1`` before the rarest word. ``docs``: first positions and
+    lengths of the documents in order; runs are clipped to the document of the rarest word.
     """
-    starts = np.unique((lists[order[0]][:, None] - np.arange(span)[None, :]).ravel())
+    rarest = lists[order[0]]
+    starts = rarest[:, None] - np.arange(span)[None, :]
+    if docs is not None:
+        first, length = docs
+        starts = np.maximum(starts, first[np.searchsorted(first, rarest, "right") - 1][:, None])
+    starts = np.unique(starts.ravel())
+    ends = starts + span
+    if docs is not None:
+        row = np.searchsorted(first, starts, "right") - 1
+        ends = np.minimum(ends, first[row] + length[row])
     for k in order[1:]:
         if not len(starts):
             break
         there = lists[k]
-        i = np.searchsorted(there, starts)
-        starts = starts[(i < len(there)) & (there[np.minimum(i, len(there) - 1)] < starts + span)]
+        i = np.searchsorted(there, starts) + sum(lists[j] is there for j in order) - 1
+        held = (i < len(there)) & (there[np.minimum(i, len(there) - 1)] < ends)
+        starts, ends = starts[held], ends[held]
     return starts
 
 
@@ -167,8 +179,8 @@ def search(index: DataFrame, wanted: list[tuple[list[str], list[str]]], slop: in
 
     ``index``: from ``build_index``, stored. ``wanted``: (words, items) of at most
     ``PHRASES_AT_ONCE`` phrases, which every executor gets. Without ``slop``, exact phrases;
-    with it, also runs of ``len(words) + slop`` words of one document with every word in any
-    order. Returns ``doc_id, _key1, _key2, block, start, n_words, spans`` (word numbers, end
+    with it, also runs of ``len(words) + slop`` words of one document (all of a shorter one) with
+    every word in any order. Returns ``doc_id, _key1, _key2, block, start, n_words, spans`` (word numbers, end
     exclusive; neighbours joined) and ``items``; a document without matches has empty arrays.
     """
     spark = index.sparkSession
@@ -197,13 +209,13 @@ def search(index: DataFrame, wanted: list[tuple[list[str], list[str]]], slop: in
             own = [lists[t] for t in phrase]
             found = [(phrase_starts(own, order), len(phrase))]
             if slop is not None:
-                found.append((near_starts(own, order, len(phrase) + slop), len(phrase) + slop))
+                found.append((near_starts(own, order, len(phrase) + slop, (starts, lengths)), len(phrase) + slop))
             for at, size in found:
                 rows = np.searchsorted(starts, at, "right") - 1
                 for row, a in zip(rows.tolist(), at.tolist(), strict=True):
                     a -= int(starts[row]) if row >= 0 else 0
-                    if row >= 0 and a >= 0 and a + size <= lengths[row]:
-                        spans[row].append((a, a + size))
+                    if row >= 0 and a >= 0:
+                        spans[row].append((a, min(a + size, int(lengths[row]))))
                         items[row].update(names)
         merged = []
         for own in spans:

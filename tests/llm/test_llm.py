@@ -121,6 +121,26 @@ def test_proximity_search(spark):
     assert got(decontaminate.decontaminate(spark, docs, items), "doc_id", "n_hit") == [(1, 0), (2, 0), (3, 0)]
 
 
+def test_proximity_in_short_documents(spark):
+    """Documents shorter than a run, between others that have the missing words; words the phrase has twice."""
+    texts = ["k j i h g x f e d c b", "a", "k j i h g f e d c b a", "b a x", "b a", "a x y b a a", "a b x y z u v a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(9, "a b c d e f g h i j"), (10, "a b a")], "item_id long, text string")
+    found = decontaminate.decontaminate(spark, docs, items, slop=2)
+    phrases = [x.split() for x in ("a b c d e f g h i j", "a b a")]
+    want = []
+    for i, t in enumerate(texts):
+        w, hit = t.split(), set()
+        for p in phrases:
+            for s in range(len(w)):
+                run = range(s, min(s + len(p) + 2, len(w)))
+                if not Counter(p) - Counter(w[k] for k in run):
+                    hit.update(run)
+        want.append((i, len(hit)))
+    assert want[2][1] == 11 and want[0][1] == want[6][1] == 0
+    assert got(found, "doc_id", "n_hit") == want
+
+
 # --- substring dedup
 
 
