@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from packetloom.llm import common, decontaminate, fertility, langid, packing, passages, pii, simhash, site_lines, tokens, toxicity
+from packetloom.llm import common, decontaminate, fertility, fim, langid, packing, passages, pii, simhash, site_lines, tokens, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(read(spark, sf_dir, "documents"), packing.n_words(F.col("text")))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.fill_in_middle(read(spark, sf_dir, "documents"), check=True)
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -94,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_language,
         op10_packing,
+        op13_fill_in_middle,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
@@ -130,6 +138,23 @@ ORACLES: dict[str, str] = {
             coalesce(string_agg(CAST(pos AS BIGINT) || ':' || CAST(pos + length(l) AS BIGINT), ',' ORDER BY u) FILTER (gone), '') AS removed,
             coalesce(string_agg(l, chr(10) ORDER BY u) FILTER (NOT gone), '') AS kept_text
         FROM judged GROUP BY doc_id""",
+    "op13_fill_in_middle": r"""
+        WITH cut AS (
+            SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d,
+                regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+        drawn AS (
+            SELECT *, CAST(len(u) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(d, k, 8) AS BIGINT)) AS h FROM cut),
+        ended AS (
+            SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+                    WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+        part AS (
+            SELECT doc_id, n, form, t, coalesce(array_to_string(u[1 : a], ''), '') AS p, coalesce(array_to_string(u[a + 1 : b], ''), '') AS m,
+                coalesce(array_to_string(u[b + 1 : n], ''), '') AS s FROM ended)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END)
+                AS output_sha256, sha256(t) AS restored_sha256
+        FROM part""",
     "op6_site_lines": r"""
         WITH line AS (
             SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS u FROM documents),
