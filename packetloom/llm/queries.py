@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from packetloom.llm import common, decontaminate, fertility, fim, langid, neighbours, packing, passages, pii, simhash, site_lines, tokens, toxicity
+from packetloom.llm import common, decontaminate, fertility, fim, langid, neighbours, packing, passages, pii, simhash, site_lines, tokens, toxicity, turns
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,11 @@ def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(spark, read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read(spark, sf_dir, "conversations")
+    return turns.repair(spark, turns.damaged(table), table)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fim.fill_in_middle(read(spark, sf_dir, "documents"), check=True)
     return found.select(
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_language,
         op10_packing,
         op11_neighbours,
+        op12_conversations,
         op13_fill_in_middle,
     )
 }
