@@ -31,7 +31,7 @@ BRANCH, LEAF, ROUNDS = 16, 64, 8
 CALIBRATION, TARGET, WIDEN = 200, 0.95, 1.1
 """Queries with known neighbours, the recall they have to reach, the step of leaf visits."""
 
-PIECE_ROWS = (8_192, 131_072)
+PIECE_ROWS = (2_048, 131_072)
 """Index entries in one task: the lower number, or a 2,048th of all up to the upper."""
 
 QUERY_ROWS = 16_384
