@@ -10,10 +10,13 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +41,16 @@ SHORT = (8.0, 80.0)
 """Short texts scatter more, and one odd word weighs more in them: bands are
 ``1 + SHORT[0] / sqrt(words) + SHORT[1] / words`` times as wide."""
 
-CACHE = 1_000_000
-"""Words whose tokens a Python worker remembers."""
+CACHE, CACHE_BYTES = 200_000, 8 << 20
+"""Words whose tokens a Python worker remembers, and bytes of them."""
+
+PIECE_BYTES = 1 << 20
+"""Bytes of text measured at once; longer texts go in pieces."""
 
 MIN_WORDS, MAX_REPEAT = 10, 20
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
+SPACE, LINE_END, BYTE_WORD, BYTE_SYMBOL = (re.compile(x) for x in (rb"[\x20\x09-\x0D]", rb"\n", rb"[^\x20\x09-\x0D]", rb"[#*$%&|<>]"))
 
 
 def text_rules(text: str | None) -> tuple[int, int]:
@@ -84,6 +91,7 @@ def repeats(ids: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     return np.bincount(doc, np.cumsum(change[:-1]) > 0, n_docs).astype(np.int64)
 
 
+@lru_cache(4)
 def load(path: str) -> tuple[Callable[[list[str]], list[list[int]]], np.ndarray]:
     """A function from words to their token ids, and which ids are byte fallback.
 
@@ -111,10 +119,43 @@ def load(path: str) -> tuple[Callable[[list[str]], list[list[int]]], np.ndarray]
     return lambda words: [vocabulary.encode_ordinary(" " + w) for w in words], is_byte
 
 
+class Grown:
+    """An array that is extended in place, doubling its room."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.zeros(1024, kind), 0
+
+    def extend(self, values: np.ndarray | list[int]) -> None:
+        n = self.n + len(values)
+        if n > len(self.room):
+            room = np.zeros(max(n, 2 * len(self.room)), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : n] = values
+        self.n = n
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.room[: self.n][at]
+
+
+class Tokens:
+    """Per word of a lexicon: how many tokens, how many of byte fallback, and where they stand in ``flat``."""
+
+    def __init__(self):
+        self.sizes, self.starts, self.n_bytes, self.flat = Grown(np.int32), Grown(np.int64), Grown(np.int32), Grown(np.int32)
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all words in order, and how many each word has."""
+        own = self.sizes[ids].astype(np.int64)
+        ends = np.cumsum(own)
+        place = np.repeat(self.starts[ids] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)
+        return self.flat[place], own
+
+
 class Lexicon:
     """The words a worker has met, numbered, with what the measures need of each.
 
-    It starts afresh beyond ``CACHE`` words, so its memory is bounded.
+    It starts afresh beyond ``CACHE`` words or ``CACHE_BYTES``, so its memory is bounded.
     """
 
     def __init__(self, paths: list[str]):
@@ -124,28 +165,32 @@ class Lexicon:
 
     def _clear(self) -> None:
         self.ids: dict[bytes, int] = {}
-        self.chars = self.script = np.zeros(0, np.int64)
-        self.tokens = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)) for _ in self.vocabularies]
+        self.n_bytes = 0
+        self.chars, self.script, self.hash = Grown(np.int64), Grown(np.int64), Grown(np.uint64)
+        self.tokens = [Tokens() for _ in self.vocabularies]
 
     def number(self, docs: list[list[bytes]]) -> np.ndarray:
         """Word numbers of all documents in one row."""
         new = set().union(*docs) - self.ids.keys()
-        if len(self.ids) + len(new) > CACHE:
+        if len(self.ids) + len(new) > CACHE or self.n_bytes + sum(map(len, new)) > CACHE_BYTES:
             self._clear()
             new = set().union(*docs)
         if new:
             added = sorted(new)
             self.ids.update(zip(added, range(len(self.ids), len(self.ids) + len(added)), strict=True))
+            self.n_bytes += sum(map(len, added))
             texts = [w.decode("utf-8", "replace") for w in added]
-            self.chars = np.append(self.chars, [len(t) for t in texts])
-            self.script = np.append(self.script, [self._script(t[0]) for t in texts])
-            for i, (encode, is_byte) in enumerate(self.vocabularies):
+            self.chars.extend([len(t) for t in texts])
+            self.script.extend([self._script(t[0]) for t in texts])
+            self.hash.extend(np.array([xxhash.xxh64_intdigest(w) for w in added], np.uint64))
+            for own, (encode, is_byte) in zip(self.tokens, self.vocabularies, strict=True):
                 found = encode(texts)
                 sizes = np.fromiter(map(len, found), np.int64, len(found))
                 flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
-                n_bytes = np.bincount(np.repeat(np.arange(len(found)), sizes), is_byte[flat], len(found)).astype(np.int64)
-                old = self.tokens[i]
-                self.tokens[i] = (np.append(old[0], sizes), np.append(old[1], flat), np.append(old[2], n_bytes))
+                own.starts.extend(own.flat.n + np.cumsum(sizes) - sizes)
+                own.sizes.extend(sizes)
+                own.flat.extend(flat)
+                own.n_bytes.extend(np.bincount(np.repeat(np.arange(len(found)), sizes), is_byte[flat], len(found)).astype(np.int64))
         return np.fromiter(map(self.ids.__getitem__, chain.from_iterable(docs)), np.int64)
 
     def _script(self, c: str) -> int:
@@ -157,30 +202,30 @@ class Lexicon:
             self.scripts.append(name)
         return self.scripts.index(name)
 
-    def script_of(self, ids: np.ndarray, doc: np.ndarray, n_docs: int) -> list[str]:
+    def script_counts(self, ids: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+        """Words of each script per document."""
+        n = len(self.scripts)
+        return np.bincount(doc * n + self.script[ids], minlength=n_docs * n).reshape(n_docs, n)
+
+    def script_of(self, counts: np.ndarray) -> list[str]:
         """Script of most words with one; ties go to the first name, ``none`` without any."""
-        own = self.script[ids]
-        counts = np.bincount(doc * len(self.scripts) + own, minlength=n_docs * len(self.scripts)).reshape(n_docs, len(self.scripts))
-        counts[:, 0] = 0
-        order = sorted(range(1, len(self.scripts)), key=self.scripts.__getitem__)
-        best = [0] * n_docs if not order else np.array(order)[counts[:, order].argmax(axis=1)]
+        order = sorted(range(1, counts.shape[1]), key=self.scripts.__getitem__)
+        if not order:
+            return ["none"] * len(counts)
+        best = np.array(order)[counts[:, order].argmax(axis=1)]
         return [self.scripts[k] if row[k] else "none" for k, row in zip(best, counts, strict=True)]
 
     def measures(self, i: int, ids: np.ndarray, doc: np.ndarray, n_docs: int) -> list[np.ndarray]:
         """Characters per token, byte share and entropy (bits) of each document under vocabulary ``i``."""
-        sizes, flat, n_bytes = self.tokens[i]
-        own = sizes[ids]
+        flat, own = self.tokens[i].of(ids)
         n = np.bincount(doc, own, n_docs)
         some = np.maximum(n, 1)
-        first = (np.cumsum(sizes) - sizes)[ids]
-        ends = np.cumsum(own)
-        place = np.repeat(first - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)
-        key = np.sort(np.repeat(doc.astype(np.int64), own) << 20 | flat[place])
+        key = np.sort(np.repeat(doc.astype(np.int64), own) << 20 | flat)
         starts = np.flatnonzero(np.diff(key, prepend=-1))
         counts = np.diff(np.append(starts, len(key)))
         weighted = np.bincount(key[starts] >> 20, counts * np.log2(counts), n_docs)
         entropy = np.where(n > 0, np.log2(some) - weighted / some, 0.0)
-        return [np.bincount(doc, self.chars[ids], n_docs) / some, np.bincount(doc, n_bytes[ids], n_docs) / some, np.abs(entropy)]
+        return [np.bincount(doc, self.chars[ids], n_docs) / some, np.bincount(doc, self.tokens[i].n_bytes[ids], n_docs) / some, np.abs(entropy)]
 
 
 def measure(lexicon: Lexicon, bodies: list[str | None]) -> list[np.ndarray | list[str]]:
@@ -192,12 +237,97 @@ def measure(lexicon: Lexicon, bodies: list[str | None]) -> list[np.ndarray | lis
     ids = lexicon.number(docs)
     rules = np.array([text_rules(t) for t in bodies], np.int64).reshape(n_docs, 2)
     chars = np.bincount(doc, lexicon.chars[ids], n_docs).astype(np.int64)
-    out = [n_words, chars, rules[:, 0].copy(), rules[:, 1].copy(), repeats(ids, doc, n_docs), lexicon.script_of(ids, doc, n_docs)]
+    scripts = lexicon.script_of(lexicon.script_counts(ids, doc, n_docs))
+    out = [n_words, chars, rules[:, 0].copy(), rules[:, 1].copy(), repeats(ids, doc, n_docs), scripts]
     for i in range(len(lexicon.vocabularies)):
         out += lexicon.measures(i, ids, doc, n_docs)
     return out
 
 
+def pieces(text: memoryview, limit: int = PIECE_BYTES) -> Iterator[bytes]:
+    """A text in pieces of about ``limit`` bytes that end where no word is cut."""
+    at = 0
+    while at < len(text):
+        end = SPACE.search(text, min(at + limit, len(text)))
+        to = end.start() if end else len(text)
+        yield bytes(text[at:to])
+        at = to
+
+
+def n_dup_lines(text: memoryview) -> int:
+    """Lines with a word that equal an earlier one, told apart by 128 bits each."""
+    seen, at = bytearray(), 0
+    while at <= len(text):
+        end = LINE_END.search(text, at)
+        to = end.start() if end else len(text)
+        if BYTE_WORD.search(text, at, to):
+            seen += xxhash.xxh128_digest(text[at:to])
+        at = to + 1
+    d = np.frombuffer(seen, "<u8").reshape(-1, 2)
+    d = d[np.lexsort((d[:, 0], d[:, 1]))]
+    return int((d[1:] == d[:-1]).all(axis=1).sum())
+
+
+def mixed(words: np.ndarray) -> np.ndarray:
+    """64 bits for each five words in a row."""
+    h = np.zeros(max(len(words) - 4, 0), np.uint64)
+    for k in range(5):
+        h = (h ^ words[k : len(h) + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def n_repeated(windows: list[np.ndarray], n_words: int) -> int:
+    """Words in windows that are there twice or more; windows are compared by their 64 bits,
+    a sixteenth of them at a time."""
+    starts = np.cumsum([0, *map(len, windows)])
+    twice = np.zeros(n_words, bool)
+    for part in range(16):
+        own = [np.flatnonzero(w >> np.uint64(60) == part) for w in windows]
+        h = np.concatenate([w[x] for w, x in zip(windows, own, strict=True)])
+        at = np.concatenate([x + s for x, s in zip(own, starts[:-1], strict=True)])
+        order = np.argsort(h, kind="stable")
+        equal = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+        twice[at[order[equal]]] = twice[at[order[equal + 1]]] = True
+    covered = twice.copy()
+    for k in range(1, 5):
+        covered[k:] |= twice[:-k]
+    return int(covered.sum())
+
+
+def measure_long(lexicon: Lexicon, text: memoryview) -> list[list]:
+    """What ``measure`` gives for one text, a piece of it at a time.
+
+    Beyond the text, 8 bytes per word and 16 per line are held, and a count per token of a
+    vocabulary: the sums, counts and windows of the pieces are those of the whole.
+    """
+    n_words = chars = n_symbols = 0
+    tail = np.zeros(0, np.uint64)
+    windows, scripts = [tail], np.zeros(1, np.int64)
+    totals = [[np.zeros(len(is_byte), np.int64), 0] for _, is_byte in lexicon.vocabularies]
+    for piece in pieces(text):
+        words = piece.split()
+        ids = lexicon.number([words])
+        n_words += len(words)
+        chars += int(lexicon.chars[ids].sum())
+        n_symbols += len(BYTE_SYMBOL.findall(piece))
+        own = lexicon.script_counts(ids, np.zeros(len(ids), np.int64), 1)[0]
+        scripts = np.pad(scripts, (0, len(own) - len(scripts))) + own
+        for tokens, total in zip(lexicon.tokens, totals, strict=True):
+            total[0] += np.bincount(tokens.of(ids)[0], minlength=len(total[0]))
+            total[1] += int(tokens.n_bytes[ids].sum())
+        tail = np.concatenate([tail, lexicon.hash[ids]])
+        windows.append(mixed(tail))
+        tail = tail[max(len(tail) - 4, 0) :]
+    out = [n_words, chars, n_symbols, n_dup_lines(text), n_repeated(windows, n_words), lexicon.script_of(scripts[None])[0]]
+    for counts, n_bytes in totals:
+        n = int(counts.sum())
+        counts = counts[counts > 0]
+        entropy = abs(np.log2(n) - float((counts * np.log2(counts)).sum()) / n) if n else 0.0
+        out += [chars / max(n, 1), n_bytes / max(n, 1), entropy]
+    return [[x] for x in out]
+
+
 def measures(
     docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang"
 ) -> DataFrame:
@@ -212,11 +342,17 @@ def measures(
         import public_tokenizers
 
         lexicon = Lexicon([f"{folder}/{v}" if folder else public_tokenizers.path(v) for v in vocabularies])
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE_BYTES):
             columns = [batch.column(c) for c in ("doc_id", "lang", "_key1", "_key2")]
-            columns += [pa.array(c) for c in measure(lexicon, batch.column("text").to_pylist())]
+            body = batch.column("text")
+            if (pc.max(pc.binary_length(body)).as_py() or 0) > PIECE_BYTES:  # it stands alone
+                found = measure_long(lexicon, memoryview(body[0].as_buffer()))
+            else:
+                found = measure(lexicon, body.to_pylist())
+            columns += [pa.array(c, kind) for c, kind in zip(found, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    kinds = [pa.int64()] * 5 + [pa.string()] + [pa.float64()] * (len(vocabularies) * len(MEASURES))
     names = ["doc_id", "lang", "_key1", "_key2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "script"]
     names += [f"m{i}_{m}" for i in range(len(vocabularies)) for m in MEASURES]
     kind = docs.schema[doc_id].dataType.simpleString()

@@ -30,6 +30,9 @@ REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
 SEGMENT_BITS = 11
 """A segment has at most two to this power turns."""
 
+TURNS_A_TASK = 50_000
+"""Letters of turns are few bytes and much work; tasks are dealt by turns, not by bytes."""
+
 NEVER = 1 << 40
 
 # Places in the alternation: nothing yet, after a leading system turn, before a user turn, before an assistant turn.
@@ -258,12 +261,13 @@ def illegal(initials: str) -> int:
     return sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
 
 
-def segments(turns: DataFrame) -> DataFrame:
+def segments(turns: DataFrame, tasks: int) -> DataFrame:
     """``conv, seg, codes, initials``, a letter for each turn of a segment in order."""
     initial = F.substring("role", 1, 1)
     known = F.when(initial.isin("s", "u", "a"), initial).otherwise("o")
     own = F.sort_array(F.collect_list(F.struct("at", code().alias("code"), known.alias("initial"))))
-    each = turns.groupBy("conv", F.shiftright("at", SEGMENT_BITS).alias("seg")).agg(own.alias("own"))
+    turns = turns.select("conv", "at", "role", "fault", F.shiftright("at", SEGMENT_BITS).alias("seg"))
+    each = turns.repartition(tasks, "conv", "seg").groupBy("conv", "seg").agg(own.alias("own"))
     return each.select("conv", "seg", *[F.array_join(F.col(f"own.{c}"), "").alias(f"{c}s") for c in ("code", "initial")])
 
 
@@ -312,7 +316,7 @@ def with_costs_to_go(segs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.select("conv", F.explode("steps").alias("x")).select("conv", "x.*"), found.select("conv", "cost", "illegal")
 
 
-def aligned(segs: DataFrame, steps: DataFrame) -> DataFrame:
+def aligned(segs: DataFrame, steps: DataFrame, tasks: int) -> DataFrame:
     """``conv, seg, exits, audits``: for each place to enter a segment at, where its edits lead
     and what they are. A conversation's first segment is entered at the start only."""
 
@@ -326,7 +330,7 @@ def aligned(segs: DataFrame, steps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=shape)
 
     shape = pa.schema([("conv", pa.string()), ("seg", pa.int64()), ("exits", pa.list_(pa.int32())), ("audits", pa.list_(pa.string()))])
-    both = segs.select("conv", "seg", "codes").join(steps, ["conv", "seg"])
+    both = segs.select("conv", "seg", "codes").repartition(tasks, "conv", "seg").join(steps, ["conv", "seg"])
     return both.mapInArrow(work, "conv string, seg long, exits array<int>, audits array<string>")
 
 
@@ -438,9 +442,10 @@ def repair(spark: SparkSession, turns: DataFrame, ids: DataFrame | None = None)
     numbers = rows.groupBy("conv", "turn").agg(*[F.count_if(F.col("fault") == c).alias(c) for c in "BDT"])
     span = F.max("turn") - F.min("turn") + 1 - F.count("turn")
     stats = numbers.groupBy("conv").agg(F.coalesce(span, F.lit(0)).alias("gaps"), *[F.sum(c).alias(n) for c, n in zip("BDT", ("blank", "duplicate", "truncated"), strict=True)])
-    segs = stored(spark, priced(segments(rows)), "segments")
+    tasks = rows.count() // TURNS_A_TASK + 1
+    segs = stored(spark, priced(segments(rows, tasks)), "segments")
     steps, costs = with_costs_to_go(segs)
-    ways = stored(spark, aligned(segs, steps), "ways")
+    ways = stored(spark, aligned(segs, steps, tasks), "ways")
     found = repaired(rows, audits(ways))
     names = ids.select("conv_id").distinct().withColumn("conv", key_of())
     whole = names.join(stats, "conv", "left").join(costs, "conv", "left").join(found, "conv", "left")
