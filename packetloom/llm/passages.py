@@ -30,19 +30,25 @@ def dedup_units(
     docs: DataFrame,
     unit: str = "line",
     min_words: int = 1,
+    min_chars: int | None = None,
     doc_id: str = "doc_id",
     text: str = "text",
     rank: Column | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_units, removed, kept_text``.
+    """One row per row of ``docs``: ``doc_id, n_units, n_removed_words, n_repeated_words,
+    longest_repeated, removed, kept_text``.
 
     Units are lines, or paragraphs (cut at two line ends). A unit of at least ``min_words``
-    words after normalising takes part; others always stay. Of equal units the one that
+    words after normalising takes part, or of at least ``min_chars`` characters if that is
+    given (some scripts have no spaces); others always stay. Of equal units the one that
     ranks first stays: by ``rank`` (the document id if none is given; nulls rank last), the
     row key, then the place in the text. ``removed`` has start and end offsets (code points
     of the original text, end exclusive, without the separator) in text order;
-    ``kept_text`` is the rest, joined again. Rows that agree in id and text are one
-    document and get equal results. Null texts have no units and stay null.
+    ``kept_text`` is the rest, joined again. ``n_repeated_words`` counts the words in units
+    that equal a unit of another document, the kept first one included, and
+    ``longest_repeated`` those of the largest: what tells all holders of a passage. Rows that
+    agree in id and text are one document and get equal results. Null texts have no units
+    and stay null.
     """
     sep = SEPARATORS[unit]
     ranked = docs.select(
@@ -51,17 +57,33 @@ def dedup_units(
     parts = F.split("text", sep, -1)
     units = ranked.select("_rank", "_key1", "_key2", F.posexplode(parts).alias("unit", "body"))
     units = units.select("_rank", "_key1", "_key2", "unit", normalised(F.col("body")).alias("body"))
-    taken = F.size(F.filter(F.split("body", " "), lambda w: w != "")) >= min_words
-    units = units.where((F.col("body") != "") & taken).select(*digest(F.col("body")), "_rank", "_key1", "_key2", "unit")
+    units = units.withColumn("words", F.size(F.filter(F.split("body", " "), lambda w: w != "")))
+    taken = (F.col("words") >= min_words) | (F.length("body") >= min_chars if min_chars is not None else F.lit(False))
+    units = units.where((F.col("body") != "") & taken).select(*digest(F.col("body")), "_rank", "_key1", "_key2", "unit", "words")
     units = stored(spark, units, "units")
 
     place = F.struct(F.col("_rank").isNull().alias("none"), "_rank", "_key1", "_key2", "unit")
-    first = units.groupBy("_d0", "_d1").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    document = F.struct("_key1", "_key2")
+    several = (F.min(document) != F.max(document)).alias("shared")
+    first = units.groupBy("_d0", "_d1").agg(F.min(place).alias("first"), several, F.count("*").alias("n")).where("n > 1").drop("n")
     # Stored, its size is known before the join, and a digest with many units can be split there.
     first = stored(spark, first, "first")
-    again = units.join(first, ["_d0", "_d1"]).where(place != F.col("first"))
-    gone = again.groupBy("_key1", "_key2").agg(F.collect_set("unit").alias("_gone"))
-    joined = ranked.join(gone, ["_key1", "_key2"], "left").drop("_key1", "_key2", "_rank")
+    again = units.join(first, ["_d0", "_d1"]).select("_key1", "_key2", F.struct("unit", "words", "shared", (place != F.col("first")).alias("gone")).alias("u"))
+    again = again.groupBy("_key1", "_key2").agg(F.collect_set("u").alias("_again"))
+    joined = ranked.join(again, ["_key1", "_key2"], "left").drop("_key1", "_key2", "_rank")
+    own = F.coalesce("_again", F.array().cast(again.schema["_again"].dataType))
+
+    def total(which: str) -> Column:
+        return F.aggregate(F.filter(own, lambda u: u[which]), F.lit(0).cast("long"), lambda n, u: n + u["words"])
+
+    joined = joined.select(
+        "doc_id",
+        "text",
+        F.transform(F.filter(own, lambda u: u["gone"]), lambda u: u["unit"]).alias("_gone"),
+        total("gone").alias("n_removed_words"),
+        total("shared").alias("n_repeated_words"),
+        F.coalesce(F.array_max(F.transform(F.filter(own, lambda u: u["shared"]), lambda u: u["words"])), F.lit(0)).cast("long").alias("longest_repeated"),
+    )
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -74,11 +96,12 @@ def dedup_units(
                 removed.append([{"start": ends[i] - len(sep) - len(own[i]), "end": ends[i] - len(sep)} for i in sorted(gone)])
                 kept.append(sep.join(u for i, u in enumerate(own) if i not in gone) if text is not None else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_units, pa.int32()), pa.array(removed, span), pa.array(kept, pa.string())],
-                names=["doc_id", "n_units", "removed", "kept_text"],
+                [batch.column("doc_id"), pa.array(n_units, pa.int32()), *[batch.column(c) for c in numbers], pa.array(removed, span), pa.array(kept, pa.string())],
+                names=["doc_id", "n_units", *numbers, "removed", "kept_text"],
             )
 
+    numbers = ["n_removed_words", "n_repeated_words", "longest_repeated"]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, n_units int, removed array<struct<start: long, end: long>>, kept_text string"
+    schema = f"doc_id {kind}, n_units int, {', '.join(f'{c} long' for c in numbers)}, removed array<struct<start: long, end: long>>, kept_text string"
     return joined.mapInArrow(keep, schema)

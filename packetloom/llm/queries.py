@@ -11,6 +11,10 @@ import corpus_pipeline
 from packetloom.llm import common, decontaminate, fertility, fim, langid, neighbours, packing, passages, pii, simhash, site_lines, tokens, toxicity, turns
 
 
+PASSAGE_WORDS = 50
+"""A repeated unit of so many words is a passage, not a phrase."""
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,9 +32,19 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = passages.dedup_units(spark, read(spark, sf_dir, "documents"), "line", min_words=8)
+    found = passages.dedup_units(spark, read(spark, sf_dir, "documents"), "line", min_words=8, min_chars=40)
     spans = F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"]))
-    return found.select("doc_id", "n_units", F.size("removed").alias("n_removed"), F.array_join(spans, ",").alias("removed"), "kept_text")
+    return found.select(
+        "doc_id",
+        "n_units",
+        F.size("removed").alias("n_removed"),
+        "n_removed_words",
+        "n_repeated_words",
+        "longest_repeated",
+        (F.col("longest_repeated") >= PASSAGE_WORDS).alias("repeats_passage"),
+        F.array_join(spans, ",").alias("removed"),
+        "kept_text",
+    )
 
 
 def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,9 +157,13 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, u, l, trim(regexp_replace(lower(l), '[^\p{L}\p{N}]+', ' ', 'g')) AS k,
                 sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY u) - length(l) - 1 AS pos
             FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS u FROM documents)),
+        sized AS (SELECT *, len(string_split(k, ' ')) AS n, k <> '' AND (len(string_split(k, ' ')) >= 8 OR length(k) >= 40) AS taken FROM unit),
         judged AS (
-            SELECT *, len(string_split(k, ' ')) >= 8 AND row_number() OVER (PARTITION BY k ORDER BY doc_id, u) > 1 AS gone FROM unit)
+            SELECT *, taken AND row_number() OVER (PARTITION BY k ORDER BY doc_id, u) > 1 AS gone,
+                taken AND min(doc_id) OVER (PARTITION BY k) <> max(doc_id) OVER (PARTITION BY k) AS shared FROM sized)
         SELECT doc_id, CAST(count(*) AS INTEGER) AS n_units, CAST(count(*) FILTER (gone) AS INTEGER) AS n_removed,
+            CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed_words, CAST(coalesce(sum(n) FILTER (shared), 0) AS BIGINT) AS n_repeated_words,
+            CAST(coalesce(max(n) FILTER (shared), 0) AS BIGINT) AS longest_repeated, coalesce(max(n) FILTER (shared), 0) >= 50 AS repeats_passage,
             coalesce(string_agg(CAST(pos AS BIGINT) || ':' || CAST(pos + length(l) AS BIGINT), ',' ORDER BY u) FILTER (gone), '') AS removed,
             coalesce(string_agg(l, chr(10) ORDER BY u) FILTER (NOT gone), '') AS kept_text
         FROM judged GROUP BY doc_id""",

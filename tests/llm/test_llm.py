@@ -172,6 +172,17 @@ def test_dedup_units(spark, docs):
     assert n == len(rows())
 
 
+def test_repeated_units_show_in_all_holders(spark):
+    """Units of another document count, the first holder's too; small ones by words or characters."""
+    line, cjk = "one two three four five", "没有空格的一行文字在这里重复出现"
+    texts = [f"{line}\nsolo a b c", f"{cjk}\n{line.upper()}!", f"x y\n{cjk}", "own own own own\nown own own own", "x y", None, ""]
+    docs = spark.createDataFrame([*enumerate(texts), (1, texts[1])], "doc_id long, text string")
+    found = passages.dedup_units(spark, docs, min_words=4, min_chars=10).where("doc_id is not null")
+    columns = ("doc_id", "n_removed_words", "n_repeated_words", "longest_repeated")
+    want = [(0, 0, 5, 5), (1, 5, 6, 5), (1, 5, 6, 5), (2, 1, 1, 1), (3, 4, 0, 0), (4, 0, 0, 0), (5, 0, 0, 0), (6, 0, 0, 0)]
+    assert got(found, *columns) == want
+
+
 def test_paragraphs_keep_the_first_by_rank(spark):
     docs = spark.createDataFrame([(1, "one two\n\nthree", 9), (2, "Three!\n\none  two", 1)], "doc_id long, text string, rank int")
     found = passages.dedup_units(spark, docs, "paragraph", rank=F.col("rank"))
@@ -685,14 +696,12 @@ def test_pipeline_follows_its_stages(spark):
     texts = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, own, SF).collect()}
     assert set(texts) == kept
     ids = sorted(texts)
-    first = {}
-    for i, g in zip(ids, classes([brute_fingerprint(texts[i]) for i in ids]), strict=True):
-        first.setdefault(g, i)
+    first = {ids[k] for k in brute_similar([texts[i] for i in ids])}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     phrases = {tuple(w[k : k + 10]) for _, t in items if (w := decontaminate.words(t)) for k in range(max(1, len(w) - 9))}
     sizes = {len(p) for p in phrases}
     clean = set()
-    for i in first.values():
+    for i in first:
         w = decontaminate.words(texts[i])
         if not any(tuple(w[k : k + n]) in phrases for n in sizes for k in range(len(w) - n + 1)):
             clean.add(i)
