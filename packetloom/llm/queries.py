@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from packetloom.llm import common, decontaminate, fertility, fim, langid, neighbours, packing, passages, pii, simhash, site_lines, tokens, toxicity, turns
 
 
@@ -129,7 +128,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op13_fill_in_middle,
     )
 }
-QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES: dict[str, str] = {
     "op1_decontamination": r"""
@@ -195,5 +193,3 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, source, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(l, chr(10) ORDER BY u) FILTER (NOT gone), '') AS text
         FROM judged GROUP BY doc_id, source""",
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
