@@ -53,6 +53,11 @@ def enough_epochs(df: DataFrame, n_epoch: int, epoch: str = EPOCH) -> Column:
     return F.when(last < F.lit(n_epoch), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
 
 
+def n_complete(df: DataFrame, epoch: str = EPOCH) -> int:
+    """Epochs of the trace before its last, unfinished one. Runs one small aggregate."""
+    return max(df.select(F.max(epoch)).first()[0] or 0, 0)
+
+
 def complete_epochs(df: DataFrame, n_epoch: int | None = None, epoch: str = EPOCH) -> DataFrame:
     """Keep the first ``n_epoch`` epochs, never the last, unfinished one.
 

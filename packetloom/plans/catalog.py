@@ -383,7 +383,7 @@ def j3(p):
 DDOS_SIZES = [(2, 256), (2, 16)]
 DDOS_EST = sql.sketch_report("dst_addr", ["dst_addr", "src_addr"], 7, DDOS_SIZES)
 DDOS_EXACT = sql.exact_report("dst_addr", "src_addr", 7)
-N_EPOCH = 29  # all complete days of the tables
+N_EPOCH = "(SELECT max(epoch) FROM packets)"  # in SQL: all complete days of the table
 
 
 def ddos_sets(p):
@@ -435,7 +435,7 @@ def w2_all(p):
 )
 def w3(p):
     counts = p.where("dst_addr = 7 AND tcp_flags = 2").groupBy(EPOCH).agg(F.count(F.lit(1)).alias("n"))
-    return epochs.fill_epochs(p.sparkSession, counts, N_EPOCH, ["n"])
+    return epochs.fill_epochs(p.sparkSession, counts, epochs.n_complete(p), ["n"])
 
 
 @on_packets(
@@ -572,12 +572,12 @@ def u7(p):
 # --- accuracy and sizing ----------------------------------------------------------
 
 SPEC = AccuracySpec(precision_min=0.3, recall_min=0.9, confidence=0.8)
-RANK = accuracy.gate_rank(N_EPOCH, SPEC.confidence) + 1
+RANK = sql.rank(N_EPOCH, SPEC.confidence)
 METRICS = sql.metrics(DDOS_EST, DDOS_EXACT, "dst_addr", N_EPOCH)
 
 
 def within(df):
-    return epochs.complete_epochs(df, N_EPOCH)
+    return epochs.complete_epochs(df)
 
 
 @on_packets(
@@ -587,7 +587,7 @@ def within(df):
 )
 def e1(p):
     est, exact = ddos_sets(within(p))
-    return accuracy.precision_recall(est, exact, ["dst_addr"], N_EPOCH)
+    return accuracy.precision_recall(est, exact, ["dst_addr"], epochs.n_complete(p))
 
 
 @on_packets(
@@ -601,10 +601,10 @@ def e1(p):
       GROUP BY x.epoch) a ON a.epoch = r.epoch""",
 )
 def e2(p):
-    p = within(p)
+    n, p = epochs.n_complete(p), within(p)
     exact = aggregate.reduce_sum(p, ["dst_addr"], "size")
     est = sketch.reduce_cm(p, ["dst_addr"], "size", 2, 16, "final", "size")
-    return accuracy.relative_error(est.where("size >= 8000"), exact, ["dst_addr"], "size", N_EPOCH)
+    return accuracy.relative_error(est.where("size >= 8000"), exact, ["dst_addr"], "size", n)
 
 
 DIFF_EXACT = "(SELECT epoch, dst_addr, coalesce(syn, 0) - coalesce(fin, 0) AS value FROM sums)"
@@ -628,7 +628,7 @@ def e2_diff(p):
     syn, fin = syn_fin(within(p))
     exact = joins.zip_diff(syn, fin, "ipv4.dst_addr", "ipv4.dst_addr", "syn", "fin", "value")
     est = sketch.zip_diff_cm(syn, fin, "ipv4.dst_addr", "ipv4.dst_addr", "syn", "fin", 2, 64, "value")
-    return accuracy.relative_error(est, exact, ["dst_addr"], "value", N_EPOCH)
+    return accuracy.relative_error(est, exact, ["dst_addr"], "value", epochs.n_complete(p))
 
 
 GATE = sql.gate(METRICS, RANK, SPEC.precision_min, SPEC.recall_min, N_EPOCH)
@@ -637,8 +637,9 @@ GATE = sql.gate(METRICS, RANK, SPEC.precision_min, SPEC.recall_min, N_EPOCH)
 @on_packets("e3_confidence_gate", GATE)
 def e3(p):
     est, exact = ddos_sets(within(p))
-    metrics = accuracy.precision_recall(est, exact, ["dst_addr"], N_EPOCH)
-    return accuracy.confidence_gate(metrics, SPEC, N_EPOCH)
+    n = epochs.n_complete(p)
+    metrics = accuracy.precision_recall(est, exact, ["dst_addr"], n)
+    return accuracy.confidence_gate(metrics, SPEC, n)
 
 
 PAGE = 16  # small pages, so that keys of the test tables do collide
@@ -649,7 +650,7 @@ CONFIGS = [((2, 2), (2, 4)), ((1, 8), (1, 8)), ((3, 16), (4, 16)), ((4, 32), (2,
 
 @on_packets("e4_accuracy_report", GATE)
 def e4(p):
-    return tuning.accuracy_report(p, DDOS, DDOS_CONFIG, SPEC, N_EPOCH, PAGE)
+    return tuning.accuracy_report(p, DDOS, DDOS_CONFIG, SPEC, page_bytes=PAGE)
 
 
 def score_sql(config) -> float:
@@ -675,7 +676,7 @@ def configs_sql() -> str:
 
 @on_packets("e7_evaluate_configs", configs_sql())
 def e7(p):
-    return tuning.evaluate_configs(p, DDOS, CONFIGS, SPEC, N_EPOCH, page_bytes=PAGE)
+    return tuning.evaluate_configs(p, DDOS, CONFIGS, SPEC, page_bytes=PAGE)
 
 
 ARE_SPEC = AccuracySpec(0.3, 0.9, 0.8, are_max=0.5)
@@ -707,17 +708,17 @@ VALUED_SIZES = [(2, 4), (1, 32), (5, 16)]
 
 @on_packets("e4_accuracy_report_are", valued_sql("dst_addr", 1500, (2, 16)))
 def e4_are(p):
-    return tuning.accuracy_report(p, BYTES, ((2, 16),), ARE_SPEC, N_EPOCH, PAGE)
+    return tuning.accuracy_report(p, BYTES, ((2, 16),), ARE_SPEC, page_bytes=PAGE)
 
 
 @on_packets("e7_evaluate_configs_are", valued_configs_sql("dst_addr", 1500, VALUED_SIZES))
 def e7_are(p):
-    return tuning.evaluate_configs(p, BYTES, [(c,) for c in VALUED_SIZES], ARE_SPEC, N_EPOCH, page_bytes=PAGE)
+    return tuning.evaluate_configs(p, BYTES, [(c,) for c in VALUED_SIZES], ARE_SPEC, page_bytes=PAGE)
 
 
 @on_packets("e7_evaluate_configs_two_keys", valued_configs_sql("src_addr, dst_addr", 900, VALUED_SIZES))
 def e7_pairs(p):
-    return tuning.evaluate_configs(p, PAIRS, [(c,) for c in VALUED_SIZES], ARE_SPEC, N_EPOCH, page_bytes=PAGE)
+    return tuning.evaluate_configs(p, PAIRS, [(c,) for c in VALUED_SIZES], ARE_SPEC, page_bytes=PAGE)
 
 
 # The published sizes as (rows, pages) of 16 KiB, in the order of the tables.
@@ -729,7 +730,7 @@ PUBLISHED = {
     "synflood": ((1, 1), (2, 1)),
 }
 INTENT = AccuracySpec(0.9, 0.9, 0.9)
-INTENT_RANK = accuracy.gate_rank(N_EPOCH, INTENT.confidence) + 1
+INTENT_RANK = sql.rank(N_EPOCH, INTENT.confidence)
 SYN = "(SELECT * FROM packets WHERE proto = 6 AND tcp_flags = 2)"
 COUNTED = {
     # The key, the element counted once, the threshold on the test tables, the packets.
@@ -755,7 +756,7 @@ def published_sql() -> str:
 @on_packets("e4_published_sizes", published_sql())
 def e4_published(p):
     reports = [
-        tuning.accuracy_report(p, query, PUBLISHED[name], INTENT, N_EPOCH).select(F.lit(name).alias("app"), "*")
+        tuning.accuracy_report(p, query, PUBLISHED[name], INTENT).select(F.lit(name).alias("app"), "*")
         for name, (*_, query) in COUNTED.items()
     ]
     return reduce(DataFrame.unionByName, reports)
@@ -837,36 +838,52 @@ def u5_handshakes(p):
     )
 
 
-TUNED = tuning.Limits(alu_max=2, page_max=4)
+TUNED, TUNED_PAGE = tuning.Limits(alu_max=2, page_max=4), 1024
 TUNE_SPEC = AccuracySpec(0.8, 0.8, 0.8)
+# Hosts with twice the usual number of sources: at any scale some sizes are too small to tell them.
+BUSY = """(SELECT CAST(ceil(2 * avg(c)) AS BIGINT) FROM (SELECT count(DISTINCT src_addr) AS c FROM packets GROUP BY epoch, dst_addr))"""
 
 
-def tuned_sql(where: str, n_epoch: int) -> str:
-    """Every size within the limits, judged; the cheapest that passes, as one row."""
-    rank = accuracy.gate_rank(n_epoch, TUNE_SPEC.confidence) + 1
+def busy_hosts(p):
+    usual = p.groupBy(EPOCH, "dst_addr").agg(F.count_distinct("src_addr").alias("c")).agg(F.ceil(2 * F.avg("c"))).first()[0]
+    return tuning.CountQuery("dst_addr", usual, ("dst_addr", "src_addr"))
+
+
+def judged_sql(where: str) -> str:
+    """Every size within the limits (d0, w0, d1, w1), judged on the packets of ``where``."""
+    n_epoch = f"(SELECT max(epoch) FROM {where})"
+    rank = sql.rank(n_epoch, TUNE_SPEC.confidence)
     pairs = [(d, w) for d in (1, 2) for w in (1, 2, 4)]
-    exact = f"(SELECT epoch, dst_addr FROM {where} GROUP BY epoch, dst_addr HAVING count(DISTINCT src_addr) >= 7)"
+    exact = f"(SELECT epoch, dst_addr FROM {where} GROUP BY epoch, dst_addr HAVING count(DISTINCT src_addr) >= {BUSY})"
     parts = []
     for first in pairs:
         for second in pairs:
-            sizes = sql.widths((first, second), [tuning.BLOOM_BITS, tuning.COUNTER_BITS], 128)
-            est = sql.sketch_report("dst_addr", ["dst_addr", "src_addr"], 7, sizes, where)
+            sizes = sql.widths((first, second), [tuning.BLOOM_BITS, tuning.COUNTER_BITS], TUNED_PAGE)
+            est = sql.sketch_report("dst_addr", ["dst_addr", "src_addr"], BUSY, sizes, where)
             gated = sql.gate(sql.metrics(est, exact, "dst_addr", n_epoch), rank, 0.8, 0.8, n_epoch)
             parts.append(
-                f"SELECT {first[0]} AS d0, {first[1]} AS w0, {second[0]} AS d1, {second[1]} AS w1,"
-                f" {score_sql((first, second))} AS score, success FROM ({gated})"
+                f"SELECT *, {first[0]} AS d0, {first[1]} AS w0, {second[0]} AS d1, {second[1]} AS w1,"
+                f" {score_sql((first, second))} AS score FROM ({gated})"
             )
-    return f"(SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE success ORDER BY score, d0, w0, d1, w1 LIMIT 1)"
+    return f"({' UNION ALL '.join(parts)})"
+
+
+def tuned_sql(where: str) -> str:
+    """The cheapest size that passes, or else the one largest size, as one row."""
+    return (
+        f"(SELECT * FROM {judged_sql(where)} ORDER BY success DESC, CASE WHEN success THEN score END,"
+        " CASE WHEN success THEN 1 ELSE -1 END * (d0 * 1000 + w0 * 100 + d1 * 10 + w1) LIMIT 1)"
+    )
 
 
 @on_packets(
     "e8_tune_sketch",
     "SELECT CAST(0 AS BIGINT) AS conf_id, t.name AS \"table\", CAST(CASE t.name WHEN 'distinct' THEN d0 ELSE d1 END AS BIGINT) AS d,"
-    " CAST(CASE t.name WHEN 'distinct' THEN w0 ELSE w1 END AS BIGINT) AS w, round(score, 6) AS score"
-    f" FROM {tuned_sql('packets', N_EPOCH)}, (VALUES ('distinct'), ('count')) t(name)",
+    " CAST(CASE t.name WHEN 'distinct' THEN w0 ELSE w1 END AS BIGINT) AS w, round(score, 6) AS score, success"
+    f" FROM {tuned_sql('packets')}, (VALUES ('distinct'), ('count')) t(name)",
 )
 def e8(p):
-    return tuning.tune_sketch(p, DDOS, TUNE_SPEC, N_EPOCH, TUNED, page_bytes=128)
+    return tuning.tune_sketch(p, busy_hosts(p), TUNE_SPEC, limits=TUNED, page_bytes=TUNED_PAGE)
 
 
 def days(p, odd: int):
@@ -877,28 +894,14 @@ def days_sql(odd: int) -> str:
     return f"(SELECT * REPLACE (epoch // 2 AS epoch) FROM packets WHERE epoch % 2 = {odd})"
 
 
-def held_out_sql(n_epoch: int) -> str:
-    """For every size: is it the tuned one, and what does it do on the odd days."""
-    rank = accuracy.gate_rank(n_epoch, TUNE_SPEC.confidence) + 1
-    odd = days_sql(1)
-    exact = f"(SELECT epoch, dst_addr FROM {odd} GROUP BY epoch, dst_addr HAVING count(DISTINCT src_addr) >= 7)"
-    pairs = [(d, w) for d in (1, 2) for w in (1, 2, 4)]
-    parts = []
-    for first in pairs:
-        for second in pairs:
-            sizes = sql.widths((first, second), [tuning.BLOOM_BITS, tuning.COUNTER_BITS], 128)
-            est = sql.sketch_report("dst_addr", ["dst_addr", "src_addr"], 7, sizes, odd)
-            gated = sql.gate(sql.metrics(est, exact, "dst_addr", n_epoch), rank, 0.8, 0.8, n_epoch)
-            text = f"distinct:{first[0]}x{first[1]},count:{second[0]}x{second[1]}"
-            parts.append(f"SELECT *, '{text}' AS config FROM ({gated})")
-    tuned = f"(SELECT 'distinct:' || d0 || 'x' || w0 || ',count:' || d1 || 'x' || w1 AS best FROM {tuned_sql(days_sql(0), n_epoch)})"
-    return f"SELECT r.* FROM ({' UNION ALL '.join(parts)}) r JOIN {tuned} ON config = best"
-
-
-@on_packets("e8_verify_held_out", held_out_sql(14))
+@on_packets(
+    "e8_verify_held_out",
+    "SELECT r.* EXCLUDE (d0, w0, d1, w1, score), 'distinct:' || d0 || 'x' || w0 || ',count:' || d1 || 'x' || w1 AS config, t.success AS tuned"
+    f" FROM {judged_sql(days_sql(1))} r JOIN (SELECT d0, w0, d1, w1, success FROM {tuned_sql(days_sql(0))}) t USING (d0, w0, d1, w1)",
+)
 def e8_held_out(p):
     """Sizes tuned on the even days, reported on the odd ones."""
-    return tuning.verify_held_out(days(p, 0), days(p, 1), DDOS, TUNE_SPEC, 14, 14, TUNED, page_bytes=128)
+    return tuning.verify_held_out(days(p, 0), days(p, 1), busy_hosts(p), TUNE_SPEC, limits=TUNED, page_bytes=TUNED_PAGE)
 
 
 # --- functions --------------------------------------------------------------------
@@ -1198,7 +1201,7 @@ def flood_configs_sql() -> str:
     for i, config in enumerate(FLOOD_CONFIGS):
         d, width = sql.widths(config, [tuning.COUNTER_BITS] * 2, PAGE)[1]
         est = flooded_cells(f"marked{i}", d, width, 2)
-        rank = accuracy.gate_rank(N_EPOCH, FLOOD_SPEC.confidence) + 1
+        rank = sql.rank(N_EPOCH, FLOOD_SPEC.confidence)
         gated = sql.gate(sql.metrics(est, f"({SYNFLOOD.format(src='hs')})", "nkey", N_EPOCH), rank, 0.5, 0.5, N_EPOCH)
         parts.append(f"SELECT CAST({i} AS BIGINT) AS conf_id, *, round({score_sql(config)}, 6) AS score FROM ({gated})")
     return " UNION ALL ".join(parts)
@@ -1214,7 +1217,7 @@ def flood_configs_sql() -> str:
     ],
 )
 def e7_registers(p):
-    return tuning.evaluate_configs(p, tuning.SynFloodQuery(2), FLOOD_CONFIGS, FLOOD_SPEC, N_EPOCH, page_bytes=PAGE)
+    return tuning.evaluate_configs(p, tuning.SynFloodQuery(2), FLOOD_CONFIGS, FLOOD_SPEC, page_bytes=PAGE)
 
 
 on_packets(

@@ -87,7 +87,7 @@ def cm_final(src: str, keys: list[str], value: str, d: int, width: int) -> str:
     )
 
 
-def sketch_report(key: str, distinct: list[str], n: int, sizes: list[tuple[int, int]], src: str = "packets") -> str:
+def sketch_report(key: str, distinct: list[str], n: int | str, sizes: list[tuple[int, int]], src: str = "packets") -> str:
     """(epoch, key) reported with a Bloom filter and a Count-Min of ``sizes`` (rows, cells)."""
     if distinct:
         src = bloom(src, distinct, *sizes[0])
@@ -101,7 +101,7 @@ def exact_report(key: str, elem: str, n: int) -> str:
     )
 
 
-def metrics(est: str, exact: str, key: str, n_epoch: int) -> str:
+def metrics(est: str, exact: str, key: str, n_epoch: str) -> str:
     """Per-epoch counts, precision and recall of two report sets."""
     same = " AND ".join(f"a.{k} = b.{k}" for k in key.split(", "))
     return f"""
@@ -120,7 +120,12 @@ def metrics(est: str, exact: str, key: str, n_epoch: int) -> str:
      ON m.epoch = r.epoch GROUP BY r.epoch))"""
 
 
-def gate(metric_sql: str, rank: int, p_min: float, r_min: float, n_epoch: int) -> str:
+def rank(n_epoch: str, confidence: float) -> str:
+    """1-based rank, from the best epoch down, that must still meet the bounds."""
+    return f"(greatest(CAST(floor({n_epoch} * CAST({confidence} AS DOUBLE)) AS BIGINT) - 1, 0) + 1)"
+
+
+def gate(metric_sql: str, rank: str, p_min: float, r_min: float, n_epoch: str) -> str:
     return f"""
   SELECT round(p, 6) AS "precision", round(r, 6) AS recall, round(avg_keys, 6) AS avg_keys,
          p >= {p_min} AND r >= {r_min} AS success
@@ -141,7 +146,7 @@ def value_report(keys: str, value: str, n: int, d: int, width: int, src: str = "
     return f"(SELECT epoch, {keys}, max(estimate) AS value FROM {est} GROUP BY ALL HAVING max(estimate) >= {n})"
 
 
-def relative_errors(est: str, exact: str, keys: str, n_epoch: int) -> str:
+def relative_errors(est: str, exact: str, keys: str, n_epoch: str) -> str:
     """Mean relative error per epoch of valued reports."""
     same = " AND ".join(f"e.{k} = x.{k}" for k in ["epoch", *keys.split(", ")])
     return f"""
@@ -151,7 +156,7 @@ def relative_errors(est: str, exact: str, keys: str, n_epoch: int) -> str:
      FROM {exact} x LEFT JOIN {est} e ON {same} GROUP BY x.epoch) a ON a.epoch = r.epoch)"""
 
 
-def gate_are(metric_sql: str, are_sql: str, rank: int, p_min: float, r_min: float, are_max: float, n_epoch: int) -> str:
+def gate_are(metric_sql: str, are_sql: str, rank: str, p_min: float, r_min: float, are_max: float, n_epoch: str) -> str:
     return f"""
   SELECT g.* REPLACE (success AND a.are <= {are_max} AS success), round(a.are, 6) AS are
   FROM ({gate(metric_sql, rank, p_min, r_min, n_epoch)}) g,

@@ -1,21 +1,24 @@
 """Evaluating and choosing sketch sizes.
 
 A configuration gives rows and pages for each table of a sketched query. Many
-configurations are evaluated in one job: every packet that matters is expanded
-to the cells it touches under each of them, with ``conf_id`` part of all keys.
+configurations are evaluated in one job. Filters are built once at their finest
+width and folded down to the others; tables that configurations have in common
+are counted once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from packetloom.functions.hashing import with_row_hashes
 from packetloom.operators.accuracy import AccuracySpec, confidence_gate, precision_recall, relative_error
 from packetloom.operators.distinct import distinct_first, first_rows
-from packetloom.operators.epochs import complete_epochs, enough_epochs
+from packetloom.operators.epochs import complete_epochs, enough_epochs, n_complete
 from packetloom.operators.running import SEGMENT_ROWS, running, running_sum
 from packetloom.operators.sketch import PAGE_BYTES, cells_per_row, non_negative
 from packetloom.plans import detections
@@ -74,6 +77,10 @@ class CountQuery:
     def tables(self) -> tuple[str, ...]:
         return ("distinct", "count") if self.distinct else ("count",)
 
+    @property
+    def bits(self) -> tuple[int, ...]:
+        return (BLOOM_BITS, COUNTER_BITS) if self.distinct else (COUNTER_BITS,)
+
     def first_packets(self, packets: DataFrame, n_epoch: int) -> DataFrame:
         """The packets of the first epochs that can change a table.
 
@@ -124,17 +131,36 @@ class SynFloodQuery:
 SketchedQuery = CountQuery | SynFloodQuery
 
 
-def _cell_plan(configs: Sequence[Config], table: int, bits: int, page_bytes: int, hashes: str) -> Column:
-    """Per configuration, the (row, cell) pairs a packet touches in one table."""
-    by_conf = []
-    for config in configs:
-        d, pages = config[table]
-        width = cells_per_row(pages, bits, page_bytes)
-        cells = [
-            F.struct(F.lit(i).alias("row"), (F.col(f"{hashes}{i}") % width).alias("cell")) for i in range(d)
-        ]
-        by_conf.append(F.array(*cells))
-    return F.array(*by_conf)
+def finest(widths: Sequence[int]) -> dict[int, list[int]]:
+    """Widths by the largest given one that they divide: its cells, modulo theirs, are their cells."""
+    out: dict[int, list[int]] = {}
+    for width in sorted(set(widths), reverse=True):
+        base = next((b for b in out if b % width == 0), width)
+        out.setdefault(base, []).append(width)
+    return out
+
+
+def _structs(*rows: dict[str, int | Column]) -> Column:
+    return F.array(*[F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in r.items()]) for r in rows])
+
+
+def first_touches(first: DataFrame, elements: Sequence[str], sizes: Sequence[tuple[int, int]], kept: Sequence[str]) -> DataFrame:
+    """The packet that sets each bit of Bloom filters of many ``sizes`` (rows, cells): ``row, width,
+    epoch, cell``, its number and ``kept``.
+
+    A packet is spread to the rows of the finest width only. Narrower tables fold out of that
+    one: the first to touch a cell is the first of those that touched the cells folded into it.
+    """
+    d_max = max(d for d, _ in sizes)
+    hashed = with_row_hashes(first, sorted(column_names(elements)), d_max, "_h")
+    bases = finest([w for _, w in sizes])
+    cells = _structs(*[{"row": i, "base": b, "cell": F.col(f"_h{i}") % b} for b in bases for i in range(d_max)])
+    touched = hashed.select(EPOCH, ORDER, *kept, F.inline(cells))
+    fine = first_rows(touched, [EPOCH, "row", "base", "cell"], ORDER)
+    narrower = [F.when(F.col("base") == b, F.array(*[F.lit(w) for w in ws])) for b, ws in bases.items()]
+    folds = fine.select(EPOCH, ORDER, *kept, "row", "cell", F.explode(F.coalesce(*narrower)).alias("width"))
+    folds = folds.withColumn("cell", F.col("cell") % F.col("width"))
+    return first_rows(folds, [EPOCH, "row", "width", "cell"], ORDER)
 
 
 def sketch_reports(
@@ -145,38 +171,59 @@ def sketch_reports(
     rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """(conf_id, epoch, key, value) reported under each configuration, from the query's first
-    packets; the value is the estimate at the key's last packet."""
-    d_max = [max(c[t][0] for c in configs) for t in range(len(query.tables))]
+    packets; the value is the estimate at the key's last packet.
+
+    Filters of one size are one filter, whatever counters follow, and counters of one width
+    behind it are one table, of which a configuration takes its first rows. An estimate at
+    the last packet of a key is no sum of wider tables' cells at their ends, so counters are
+    not folded.
+    """
     keys = query.keys
     step = [query.value] if query.value else []
     kept = list(dict.fromkeys([*keys, *step]))
-    per_conf = F.explode(F.array(*[F.lit(i) for i in range(len(configs))]))
+    sized = [
+        tuple((d, cells_per_row(w, bits, page_bytes)) for (d, w), bits in zip(c, query.bits)) for c in configs
+    ]
+    filters = list(dict.fromkeys(c[:-1] for c in sized))  # what precedes the counters; one empty entry without a filter
     if query.distinct:
-        hashed = with_row_hashes(first, sorted(column_names(query.distinct)), d_max[0], "_h")
-        plan = _cell_plan(configs, 0, BLOOM_BITS, page_bytes, "_h")
-        touched = (
-            hashed.select(EPOCH, ORDER, *kept, F.posexplode(plan).alias("conf_id", "_cells"))
-            .select("conf_id", EPOCH, ORDER, *kept, F.explode("_cells").alias("_at"))
-            .select("conf_id", EPOCH, ORDER, *kept, "_at.row", "_at.cell")
+        sizes = [f[0] for f in filters]
+        set_by = first_touches(first, query.distinct, sizes, kept)
+        passing = {}
+        for i, (d, width) in enumerate(sizes):
+            passing.setdefault(width, []).append((i, d))
+        users = F.coalesce(
+            *[F.when(F.col("width") == w, _structs(*[{"filter": i, "d": d} for i, d in us])) for w, us in passing.items()]
         )
-        setters = first_rows(touched, ["conf_id", EPOCH, "row", "cell"], ORDER)
-        counted = setters.select("conf_id", EPOCH, ORDER, *kept).distinct()
+        counted = set_by.select(EPOCH, ORDER, *kept, "row", F.inline(users)).where(F.col("row") < F.col("d"))
+        counted = counted.select("filter", EPOCH, ORDER, *kept).distinct()
     else:
-        counted = first.select(per_conf.alias("conf_id"), EPOCH, ORDER, *kept)
-
-    hashed = with_row_hashes(counted, keys, d_max[-1], "_h")
-    plan = _cell_plan(configs, len(query.tables) - 1, COUNTER_BITS, page_bytes, "_h")
-    at = (
-        hashed.select("conf_id", EPOCH, ORDER, *kept, F.explode(F.get(plan, F.col("conf_id"))).alias("_at"))
-        .select("conf_id", EPOCH, ORDER, *kept, "_at.row", "_at.cell")
-    )
+        counted = first.select(F.lit(0).alias("filter"), EPOCH, ORDER, *kept)
+
+    deepest: dict[tuple[int, int], int] = {}
+    for c in sized:
+        at = (filters.index(c[:-1]), c[-1][1])
+        deepest[at] = max(deepest.get(at, 0), c[-1][0])
+    hashed = with_row_hashes(counted, keys, max(deepest.values()), "_h")
+    tables = [
+        F.when(
+            F.col("filter") == f,
+            _structs(*[{"row": i, "width": w, "cell": F.col(f"_h{i}") % w} for (g, w), d in deepest.items() if g == f for i in range(d)]),
+        )
+        for f in range(len(filters))
+    ]
+    at = hashed.select("filter", EPOCH, ORDER, *kept, F.inline(F.coalesce(*tables)))
     summed = running(
-        at, ["conf_id", EPOCH, "row", "cell"], {"_est": running_sum(query.step)}, ORDER, rows=rows
+        at, ["filter", "width", EPOCH, "row", "cell"], {"_est": running_sum(query.step)}, ORDER, rows=rows
     )
     # Cells only grow: the largest sum at a key's packets is that at its last one, and the
     # least over its rows is its estimate.
-    most = summed.groupBy("conf_id", EPOCH, *keys, "row").agg(F.max("_est").alias("_most"))
-    reached = most.groupBy("conf_id", EPOCH, *keys).agg(F.min("_most").alias(VALUE))
+    most = summed.groupBy("filter", "width", EPOCH, *keys, "row").agg(F.max("_est").alias("_most"))
+    takers: dict[tuple[int, int], list[dict[str, int]]] = {}
+    for i, c in enumerate(sized):
+        takers.setdefault((filters.index(c[:-1]), c[-1][1]), []).append({"conf_id": i, "d": c[-1][0]})
+    taken = [F.when((F.col("filter") == f) & (F.col("width") == w), _structs(*own)) for (f, w), own in takers.items()]
+    each = most.select(EPOCH, *keys, "row", "_most", F.inline(F.coalesce(*taken))).where(F.col("row") < F.col("d"))
+    reached = each.groupBy("conf_id", EPOCH, *keys).agg(F.min("_most").alias(VALUE))
     return reached.where(F.col(VALUE) >= query.n)
 
 
@@ -247,15 +294,17 @@ def evaluate_configs(
     query: SketchedQuery,
     configs: Sequence[Config],
     spec: AccuracySpec,
-    n_epoch: int,
+    n_epoch: int | None = None,
     limits: Limits = Limits(),
     page_bytes: int = PAGE_BYTES,
     rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Success, precision, recall (and relative error) and cost of every configuration, in one job.
 
-    The first ``n_epoch`` epochs count; a trace without so many complete ones fails.
+    The first ``n_epoch`` epochs count, all complete ones if no number is given; a trace
+    without so many complete ones fails.
     """
+    n_epoch = n_complete(packets) if n_epoch is None else n_epoch
     first = query.first_packets(packets, n_epoch)
     return _judge(first, query, configs, spec, n_epoch, limits, page_bytes, rows, enough_epochs(packets, n_epoch))
 
@@ -265,7 +314,7 @@ def accuracy_report(
     query: SketchedQuery,
     config: Config,
     spec: AccuracySpec,
-    n_epoch: int,
+    n_epoch: int | None = None,
     page_bytes: int = PAGE_BYTES,
 ) -> DataFrame:
     """One row: does the configuration meet the intent on this trace (search or held-out)?"""
@@ -283,84 +332,105 @@ def _fits(pair: tuple[int, int], limits: Limits) -> bool:
     )
 
 
-def seed_configs(n_tables: int, limits: Limits) -> list[Config]:
-    """Start sizes: row counts rising while page counts fall, shifted by table."""
-    rows = list(range(1, limits.alu_max + 1))
+def cost(config: Config, limits: Limits) -> float:
+    """What ``resource_score`` gives for one configuration."""
+    n, stages = len(config), limits.max_stage_per_op
+    alus, pages, widest = sum(d for d, _ in config), sum(d * w for d, w in config), sum(w for _, w in config) / n
+    part = limits.alpha * alus / (n * ALU_PER_STAGE * stages)
+    return part + limits.beta / 2 * (pages + alus) / (n * PAGE_PER_STAGE * stages) + limits.beta / 2 * widest / MAX_PAGE_FOR_ONE_ALU
+
+
+def all_configs(n_tables: int, limits: Limits) -> list[Config]:
+    """Every configuration within the limits, pages doubling, cheapest first."""
     pages = [1 << i for i in range(limits.page_max.bit_length())]
-    seeds = []
-    for j in range(min(len(rows), len(pages))):
-        config = tuple(
-            (rows[(j + t) % len(rows)], pages[-1 - (j + 2 * t) % len(pages)]) for t in range(n_tables)
-        )
-        if all(_fits(pair, limits) for pair in config):
-            seeds.append(config)
-    return seeds
+    pairs = [p for p in product(range(1, limits.alu_max + 1), pages) if _fits(p, limits)]
+    return sorted(product(pairs, repeat=n_tables), key=lambda c: (round(cost(c, limits), 12), c))
 
 
-def _at_least(big: Config, small: Config) -> bool:
-    return all(b[0] >= s[0] and b[1] >= s[1] for b, s in zip(big, small))
+PROBES = 256
+"""Configurations compared for one place in a wave."""
 
 
-def _neighbours(config: Config, passed: bool, limits: Limits) -> list[Config]:
-    """Smaller sizes after a pass, larger ones after a failure, one table at a time."""
-    out = []
-    for i, (d, w) in enumerate(config):
-        for pair in ((d - 1, w), (d, w // 2)) if passed else ((d + 1, w), (d, w * 2)):
-            if _fits(pair, limits) and pair[1] <= limits.page_max:
-                out.append((*config[:i], pair, *config[i + 1 :]))
-    return out
+class Staircase:
+    """What is still open among configurations in the order of their costs.
+
+    One that passes closes all that cost no less; one that fails closes all that are no
+    larger in any table. What passed last is the answer when nothing is open: the steps
+    between the failed and the passed sizes have met.
+    """
+
+    def __init__(self, configs: Sequence[Config]):
+        self.sizes = np.array(configs).reshape(len(configs), -1)
+        self.open = np.ones(len(configs), bool)
+        self.best: int | None = None
+
+    def under(self, i: int, others: np.ndarray) -> np.ndarray:
+        return (self.sizes[others] <= self.sizes[i]).all(axis=1)
+
+    def settle(self, i: int, passed: bool) -> None:
+        if passed:
+            self.open[i:] = False
+            self.best = i if self.best is None else min(i, self.best)
+        else:
+            self.open &= ~self.under(i, np.arange(len(self.open)))
+            self.open[i] = False
+
+    def wave(self, most: int) -> list[int]:
+        """Up to ``most`` open ones, each chosen so that either verdict closes many of what the
+        ones chosen before may leave open."""
+        pools, out = [p for p in [np.flatnonzero(self.open)] if len(p)], []
+        while pools and len(out) < most:
+            pools.sort(key=len)
+            pool = pools.pop()
+            probes = pool[np.unique(np.linspace(0, len(pool) - 1, PROBES).astype(int))]
+            closed = [min(int((pool >= i).sum()), int(self.under(i, pool).sum())) for i in probes]
+            pick = int(probes[int(np.argmax(closed))])
+            out.append(pick)
+            left = pool[~self.under(pick, pool)]
+            pools += [p for p in (left[left < pick], left[left > pick]) if len(p)]
+        return sorted(out)
+
+    def largest(self, among: Sequence[int]) -> list[int]:
+        """Those that no other configuration reaches in every row and page count."""
+        return [i for i in among if (self.sizes >= self.sizes[i]).all(axis=1).sum() == 1]
 
 
 def tune_sketch(
     packets: DataFrame,
     query: SketchedQuery,
     spec: AccuracySpec,
-    n_epoch: int,
+    n_epoch: int | None = None,
     limits: Limits = Limits(),
     page_bytes: int = PAGE_BYTES,
     wave_size: int = 16,
 ) -> DataFrame:
-    """The cheapest configuration that meets the intent: (conf_id, table, d, w, score).
-
-    Candidates go through in waves, each one job; the packets they all start
-    from are computed once and checkpointed. One at least as large as a passing one, or no larger than a failing one, is
-    skipped. Only the verdicts come to the driver. Nothing passing is an error.
+    """The cheapest configuration that meets the intent: (conf_id, table, d, w, score, success).
+
+    Candidates go through in waves, each one job; the packets they all start from are
+    computed once and checkpointed. A size no larger than a failing one is taken to fail,
+    and no size is judged that cannot be cheaper than one that passed; the search ends when
+    none is left. Only the verdicts come to the driver. Where nothing passes, ``success`` is
+    false and the size is the best of the largest ones: that with the greatest lesser one of
+    precision and recall, then the cheapest. ``n_epoch`` is the number of epochs that count,
+    all complete ones if none is given.
     """
     spark = packets.sparkSession
     ensure_checkpoint_dir(spark)
+    n_epoch = n_complete(packets) if n_epoch is None else n_epoch
     enough = enough_epochs(packets, n_epoch)
     first = query.first_packets(packets, n_epoch).checkpoint()
-    passed: dict[Config, float] = {}
-    failed: list[Config] = []
-    waiting = seed_configs(len(query.tables), limits)
-    seen = set(waiting)
-
-    def open_question(c: Config) -> bool:
-        return not any(_at_least(c, p) for p in passed) and not any(_at_least(f, c) for f in failed)
-
-    while waiting:
-        wave, waiting = waiting[:wave_size], waiting[wave_size:]
-        wave = [c for c in wave if open_question(c)]
-        if not wave:
-            continue
-        verdicts = _judge(first, query, wave, spec, n_epoch, limits, page_bytes, SEGMENT_ROWS, enough).select(
-            "conf_id", "success", "score"
-        )
-        for conf_id, success, score in sorted(verdicts.collect()):
-            config = wave[conf_id]
-            if success:
-                passed[config] = score
-            else:
-                failed.append(config)
-            for near in _neighbours(config, success, limits):
-                if near not in seen:
-                    seen.add(near)
-                    waiting.append(near)
-        waiting = [c for c in waiting if open_question(c)]
-    if not passed:
-        raise ValueError("no configuration meets the accuracy intent")
-    best, score = min(passed.items(), key=lambda item: (item[1], item[0]))
-    return config_table(spark, [best], query).withColumn("score", F.lit(score))
+    configs = all_configs(len(query.tables), limits)
+    steps = Staircase(configs)
+    reached: dict[int, float] = {}
+    while wave := steps.wave(wave_size):
+        judged = _judge(first, query, [configs[i] for i in wave], spec, n_epoch, limits, page_bytes, SEGMENT_ROWS, enough)
+        for conf_id, success, precision, recall in judged.select("conf_id", "success", "precision", "recall").collect():
+            reached[wave[conf_id]] = min(precision, recall)
+            steps.settle(wave[conf_id], success)
+    found = steps.best is not None
+    best = steps.best if found else min(steps.largest(list(reached)), key=lambda i: (-reached[i], i))
+    table = config_table(spark, [configs[best]], query)
+    return table.withColumn("score", F.lit(cost(configs[best], limits))).withColumn("success", F.lit(found))
 
 
 def verify_held_out(
@@ -368,15 +438,16 @@ def verify_held_out(
     held_out: DataFrame,
     query: SketchedQuery,
     spec: AccuracySpec,
-    n_epoch: int,
-    n_held_out: int,
+    n_epoch: int | None = None,
+    n_held_out: int | None = None,
     limits: Limits = Limits(),
     page_bytes: int = PAGE_BYTES,
 ) -> DataFrame:
-    """Sizes tuned on one trace, reported on another: the report's one row and the sizes, in ``config``."""
-    best = tune_sketch(search, query, spec, n_epoch, limits, page_bytes)
-    sizes = {r["table"]: (r["d"], r["w"]) for r in best.collect()}  # one row per table
+    """Sizes tuned on one trace, reported on another: the report's one row, the sizes in ``config``
+    and whether they met the intent where they were tuned, in ``tuned``."""
+    best = tune_sketch(search, query, spec, n_epoch, limits, page_bytes).collect()  # one row per table
+    sizes = {r["table"]: (r["d"], r["w"]) for r in best}
     config = tuple(sizes[t] for t in query.tables)
     text = ",".join(f"{t}:{d}x{w}" for t, (d, w) in zip(query.tables, config))
     report = accuracy_report(held_out, query, config, spec, n_held_out, page_bytes)
-    return report.select("*", F.lit(text).alias("config"))
+    return report.select("*", F.lit(text).alias("config"), F.lit(best[0]["success"]).alias("tuned"))

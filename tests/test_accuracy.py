@@ -123,14 +123,80 @@ def test_search_finds_a_passing_size(packets):
     sizes = {r["table"]: (r["d"], r["w"]) for r in best}
     config = (sizes["distinct"], sizes["count"])
     assert tuning.accuracy_report(packets, query, config, spec, 3, page_bytes=32).first()["success"]
-    for near in tuning._neighbours(config, True, tuning.Limits()):
-        assert not tuning.accuracy_report(packets, query, near, spec, 3, page_bytes=32).first()["success"]
+    for i, (d, w) in enumerate(config):
+        for pair in ((d - 1, w), (d, w // 2)):
+            if all(pair):
+                smaller = (*config[:i], pair, *config[i + 1 :])
+                assert not tuning.accuracy_report(packets, query, smaller, spec, 3, page_bytes=32).first()["success"]
+
+
+@pytest.mark.parametrize("page", [8, 16, 32])
+def test_search_judges_few_sizes_and_finds_the_cheapest(packets, monkeypatch, page):
+    packets = packets.withColumn("epoch", F.floor(F.col("pkt_no") / 150))
+    query = tuning.CountQuery("dst_addr", 5, ("dst_addr", "src_addr"))
+    spec, limits = AccuracySpec(0.9, 0.9, 0.9), tuning.Limits(alu_max=2, page_max=4)
+    every = tuning.all_configs(2, limits)
+    assert every == sorted(every, key=lambda c: (round(tuning.cost(c, limits), 12), c)) and len(every) == 36
+    judged = []
+    inner = tuning._judge
+    monkeypatch.setattr(tuning, "_judge", lambda first, query, configs, *a: judged.extend(configs) or inner(first, query, configs, *a))
+    best = tuning.tune_sketch(packets, query, spec, 3, limits, page, wave_size=4).collect()
+    assert len(set(judged)) == len(judged) < len(every)
+    whole = tuning.evaluate_configs(packets, query, every, spec, 3, limits, page).collect()
+    passing = sorted(r["conf_id"] for r in whole if r["success"])
+    scores = {r["conf_id"]: r["score"] for r in whole}
+    sizes = {r["table"]: (r["d"], r["w"]) for r in best}
+    found = every.index((sizes["distinct"], sizes["count"]))
+    assert best[0]["success"] == bool(passing)
+    assert found == (passing[0] if passing else every.index(((2, 4), (2, 4))))
+    assert best[0]["score"] == pytest.approx(scores[found])
 
 
 def test_search_without_answer(packets):
     query = tuning.CountQuery("dst_addr", 5, ("dst_addr", "src_addr"))
-    with pytest.raises(ValueError, match="no configuration"):
-        tuning.tune_sketch(packets, query, AccuracySpec(1.1, 1.1, 0.9), 2, tuning.Limits(alu_max=1, page_max=1), 32)
+    rows = tuning.tune_sketch(packets, query, AccuracySpec(1.1, 1.1, 0.9), 2, tuning.Limits(alu_max=1, page_max=1), 32).collect()
+    assert {(r["table"], r["d"], r["w"], r["success"]) for r in rows} == {("distinct", 1, 1, False), ("count", 1, 1, False)}
+
+
+def test_staircase_closes_what_a_verdict_settles():
+    import random
+
+    rng = random.Random(2)
+    limits = tuning.Limits()
+    configs = tuning.all_configs(2, limits)
+    for _ in range(30):
+        need = [rng.choice([1, 2, 3, 4]), rng.choice([1, 2, 8, 32, 64]), rng.choice([1, 2, 4]), rng.choice([1, 4, 16])]
+        passes = lambda c: all(x >= n for x, n in zip((v for pair in c for v in pair), need))
+        steps, n = tuning.Staircase(configs), 0
+        while wave := steps.wave(16):
+            n += len(wave)
+            for i in wave:
+                steps.settle(i, passes(configs[i]))
+        want = next((i for i, c in enumerate(configs) if passes(c)), None)
+        assert steps.best == want
+        assert n < len(configs) / 3
+
+
+def test_filters_fold_down_from_the_finest(packets):
+    """As many packet rows for four widths as for one; each table as if it were built alone."""
+    assert tuning.finest([8, 2, 4, 6, 3]) == {8: [8, 4, 2], 6: [6, 3]}
+    first = tuning.CountQuery("dst_addr", 3, ("dst_addr", "src_addr")).first_packets(packets, 2)
+    from packetloom.functions.hashing import with_row_hashes
+
+    hashed = with_row_hashes(first, ["dst_addr", "src_addr"], 3, "_h")
+    got = {tuple(r) for r in tuning.first_touches(first, ["dst_addr", "src_addr"], [(3, 24), (2, 12), (1, 6), (1, 9)], []).collect()}
+    want = set()
+    for width in (24, 12, 6, 9):
+        for i in range(3):
+            touched = hashed.groupBy("epoch", (F.col(f"_h{i}") % width).alias("cell")).agg(F.min("pkt_no").alias("pkt_no"))
+            want |= {(r["epoch"], r["pkt_no"], i, r["cell"], width) for r in touched.collect()}
+    assert {(e, n, row, cell, width) for e, n, row, cell, width in got} == want
+
+    def spread(sizes):
+        plan = tuning.first_touches(first, ["dst_addr", "src_addr"], sizes, [])._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("Generate inline"), plan[plan.index("Generate inline") :].split("\n")[0].count("cell")
+
+    assert spread([(2, 24)]) == spread([(2, 24), (2, 12), (1, 6), (2, 3)])
 
 
 def test_register_query_in_many_sizes(packets):
