@@ -17,6 +17,7 @@ from packetloom.operators.running import (
     max_before,
     running,
     running_last,
+    running_max,
     running_sum,
     split_hot,
 )
@@ -96,6 +97,50 @@ def state_max_seen(
     return df.withColumn(out, F.coalesce(F.col("_reg"), F.lit(0))).drop("_reg")
 
 
+def state_branches(
+    df: DataFrame,
+    keys: Sequence[str],
+    cases: Sequence[tuple[Column, str, Operand]],
+    out: str,
+    by: str = EPOCH,
+    order: str = ORDER,
+    rows: int | None = SEGMENT_ROWS,
+) -> DataFrame:
+    """Register under branches: the first (condition, ``=`` or ``+=`` or ``max=``, value) that holds
+    assigns, adds to or raises it; ``out`` is its value after the packet, from 0 on.
+
+    Each packet maps the register r to the greater of r + a and b: an assignment has no a, an
+    addition no b, and such maps compose to one of their kind. With the sums S of all a and
+    the assignments counted so far, the register is S plus the greatest b - S since the last
+    assignment, which are running values; so a hot key is cut into segments like any other.
+    """
+
+    def pick(of: Callable[[str, Operand], Column]) -> Column:
+        chosen = None
+        for cond, op, value in cases:
+            if op not in ("=", "+=", "max="):
+                raise ValueError("a branch assigns with =, += or max=")
+            chosen = F.when(cond, of(op, value)) if chosen is None else chosen.when(cond, of(op, value))
+        return chosen
+
+    nothing = F.lit(None).cast("long")
+    added = F.coalesce(pick(lambda op, v: operand(v).cast("long") if op == "+=" else F.lit(0).cast("long")), F.lit(0))
+    assigned = F.coalesce(pick(lambda op, v: F.lit(int(op == "="))), F.lit(0))
+    least = pick(lambda op, v: nothing if op == "+=" else operand(v).cast("long"))
+
+    ks = [by, *column_names(keys)]
+    kept = [c for c in df.columns if c != out]
+    cut = "_cut" if rows is not None else None
+    df = df.withColumns({"_least": least})
+    df = split_hot(df, ks, rows, order, cut) if cut else df
+    df = running(df, ks, {"_sum": running_sum(added), "_era": running_sum(assigned)}, order, cut, rows)
+    level = F.when(F.col("_least").isNotNull(), F.struct(F.col("_era").alias("era"), (F.col("_least") - F.col("_sum")).alias("level")))
+    df = running(df, ks, {"_top": running_max(level)}, order, cut, rows, exchange=False)
+    # Eras only grow, so the greatest (era, level) is the greatest level of the present era.
+    start = F.when(F.col("_era") == 0, F.greatest(F.col("_top.level"), F.lit(0))).otherwise(F.col("_top.level"))
+    return df.select(*kept, (F.col("_sum") + start).cast("long").alias(out))
+
+
 def _padded(table: pa.Table, prefix: str, is_state: bool, schema: pa.Schema) -> pa.Table:
     """The table under prefixed names, with nulls for the columns of the other kind."""
     n = table.num_rows

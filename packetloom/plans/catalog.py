@@ -494,6 +494,33 @@ def u4(p):
     return seen.select("epoch", "pkt_no", F.col("seen").cast("long").alias("seen"))
 
 
+ERAS = "SELECT *, sum(CAST(tcp_flags = 2 AS INTEGER)) OVER (PARTITION BY epoch, dst_addr {running}) AS era FROM packets".format(running=sql.RUNNING)
+
+
+@on_packets(
+    "u_state_assign_add",
+    f"""SELECT epoch, pkt_no, CAST(coalesce(first_value(CASE WHEN tcp_flags = 2 THEN dport END) OVER w, 0)
+      + coalesce(sum(CASE WHEN tcp_flags = 16 THEN size END) OVER w, 0) AS BIGINT) AS reg
+    FROM ({ERAS}) WINDOW w AS (PARTITION BY epoch, dst_addr, era ORDER BY pkt_no ROWS UNBOUNDED PRECEDING)""",
+)
+def u_assign_add(p):
+    """A register that is both assigned and added to."""
+    cases = [(F.col("tcp_flags") == 2, "=", "dport"), (F.col("tcp_flags") == 16, "+=", "size")]
+    return state.state_branches(p, ["ipv4.dst_addr"], cases, "reg").select("epoch", "pkt_no", "reg")
+
+
+@on_packets(
+    "u_state_assign_max",
+    f"""SELECT epoch, pkt_no, CAST(greatest(CASE WHEN era = 0 THEN 0 ELSE -1 END,
+      coalesce(max(CASE WHEN tcp_flags = 2 THEN dport WHEN tcp_flags = 16 THEN size END) OVER w, 0)) AS BIGINT) AS reg
+    FROM ({ERAS}) WINDOW w AS (PARTITION BY epoch, dst_addr, era ORDER BY pkt_no ROWS UNBOUNDED PRECEDING)""",
+)
+def u_assign_max(p):
+    """A register that is both assigned and raised."""
+    cases = [(F.col("tcp_flags") == 2, "=", "dport"), (F.col("tcp_flags") == 16, "max=", "size")]
+    return state.state_branches(p, ["ipv4.dst_addr"], cases, "reg").select("epoch", "pkt_no", "reg")
+
+
 def largest_and_total(key, packets, before):
     """Two registers at once: the largest size before, and the sum of sizes."""
     largest, total = before

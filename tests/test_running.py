@@ -134,3 +134,46 @@ def test_fold_says_its_last_word_once(packets):
         )
         want = packets.groupBy("epoch", "dst_addr").agg(F.sum("size"))
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def cases():
+    return [
+        (F.col("tcp_flags") == 2, "=", F.col("tcp_seq") - 2),
+        (F.col("tcp_flags") == 18, "+=", -F.col("tcp_ack")),
+        (F.col("tcp_flags") == 17, "max=", F.col("size") - 4),
+        (F.col("tcp_flags") == 24, "+=", F.col("size")),
+    ]
+
+
+def branch_register(key, frame, before):
+    """The same register, packet by packet."""
+    (reg,), out = before, []
+    for r in frame.itertuples():
+        if r.tcp_flags == 2:
+            reg = r.tcp_seq - 2
+        elif r.tcp_flags == 18:
+            reg -= r.tcp_ack
+        elif r.tcp_flags == 17:
+            reg = max(reg, r.size - 4)
+        elif r.tcp_flags == 24:
+            reg += r.size
+        out.append(int(reg))
+    return frame[["pkt_no"]].assign(reg=out), (int(reg),)
+
+
+@pytest.mark.parametrize("rows", [None, 7, 64, 1000])
+def test_branches_compose(packets, rows):
+    """Assigned, added to and raised: equal to the general fold, hot keys cut or not, and native."""
+    found = state.state_branches(packets, ["dst_addr"], cases(), "reg", rows=rows)
+    numbers = T.StructType([T.StructField(n, T.LongType()) for n in ("pkt_no", "reg")])
+    one = T.StructType([T.StructField("reg", T.LongType())])
+    want = state.stateful_fold(packets, ["dst_addr"], branch_register, (0,), one, numbers)
+    assert collect(found, "reg") == collect(want, "reg")
+    assert len(collect(found, "reg")) == 600
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_branches_name_their_step(packets):
+    with pytest.raises(ValueError, match="a branch assigns"):
+        state.state_branches(packets, ["dst_addr"], [(F.lit(True), "-=", "size")], "reg")
