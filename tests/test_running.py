@@ -145,25 +145,24 @@ def cases():
     ]
 
 
-def branch_register(key, frame, before):
-    """The same register, packet by packet."""
-    (reg,), out = before, []
-    for r in frame.itertuples():
-        if r.tcp_flags == 2:
-            reg = r.tcp_seq - 2
-        elif r.tcp_flags == 18:
-            reg -= r.tcp_ack
-        elif r.tcp_flags == 17:
-            reg = max(reg, r.size - 4)
-        elif r.tcp_flags == 24:
-            reg += r.size
-        out.append(int(reg))
-    return frame[["pkt_no"]].assign(reg=out), (int(reg),)
-
-
 @pytest.mark.parametrize("rows", [None, 7, 64, 1000])
 def test_branches_compose(packets, rows):
     """Assigned, added to and raised: equal to the general fold, hot keys cut or not, and native."""
+    def branch_register(key, frame, before):
+        """The same register, packet by packet."""
+        (reg,), out = before, []
+        for r in frame.itertuples():
+            if r.tcp_flags == 2:
+                reg = r.tcp_seq - 2
+            elif r.tcp_flags == 18:
+                reg -= r.tcp_ack
+            elif r.tcp_flags == 17:
+                reg = max(reg, r.size - 4)
+            elif r.tcp_flags == 24:
+                reg += r.size
+            out.append(int(reg))
+        return frame[["pkt_no"]].assign(reg=out), (int(reg),)
+
     found = state.state_branches(packets, ["dst_addr"], cases(), "reg", rows=rows)
     numbers = T.StructType([T.StructField(n, T.LongType()) for n in ("pkt_no", "reg")])
     one = T.StructType([T.StructField("reg", T.LongType())])
