@@ -1,20 +1,70 @@
-"""Register functions on streams: the fold of the batch operator with kept state."""
+"""Register functions on streams: the fold of the batch operator, in packet order.
+
+Micro-batches bring the packets of a key in no order, and a packet may come a batch after
+its successors. So packets wait in the state store until the watermark has passed them,
+and are folded then by their numbers.
+"""
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from packetloom.operators.state import Fold
 from packetloom.schema import EPOCH, ORDER, column_names
 from packetloom.streaming.windows import require_rocksdb
 
+PIECE_ROWS = 1 << 14
+
+# A run of waiting packets in order: its first packet number and its own number name it.
+_RUN = T.StructType([T.StructField("first", T.LongType()), T.StructField("run", T.LongType())])
+_PACKETS = T.StructType([T.StructField("packets", T.BinaryType())])
+_COUNT = T.StructType([T.StructField("runs", T.LongType())])
+
+# Rows come to a processor as named tuples, which rename columns that begin with "_".
+_TIME = "packet_time_us"
+
+
+def _packed(packets: pd.DataFrame) -> bytes:
+    batch = pa.RecordBatch.from_pandas(packets, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_all().to_pandas()
+
+
+def merged_runs(
+    runs: list[tuple[int, int]], load: Callable[[tuple[int, int]], pd.DataFrame], order: str
+) -> Iterator[pd.DataFrame]:
+    """Frames in order of ``order`` out of sorted runs named (first number, run number).
+
+    A run is loaded when its first packet is next, so only runs that overlap are held at once.
+    Sending anything ends the merge and gives the packets that are loaded but not yielded.
+    """
+    heapq.heapify(runs)
+    held = None
+    while runs:
+        loaded = load(heapq.heappop(runs))
+        if held is not None and len(held):
+            loaded = pd.concat([held, loaded], ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+        ready = int(loaded[order].searchsorted(runs[0][0])) if runs else len(loaded)
+        held = loaded.iloc[ready:]
+        if ready and (yield loaded.iloc[:ready].reset_index(drop=True)):
+            yield held
+            return
+
 
 class FoldProcessor(StatefulProcessor):
-    """Keeps the state of one (epoch, key) and drops it when the epoch is closed."""
+    """Registers and waiting packets of one (epoch, key), dropped when the epoch is closed."""
 
     def __init__(
         self,
@@ -25,6 +75,7 @@ class FoldProcessor(StatefulProcessor):
         start_us: int,
         step_us: int,
         on_close: Callable[[tuple, tuple], pd.DataFrame] | None,
+        rows: int,
     ):
         self.fn = fn
         self.initial = initial
@@ -33,28 +84,81 @@ class FoldProcessor(StatefulProcessor):
         self.start_us = start_us
         self.step_us = step_us
         self.on_close = on_close
+        self.rows = rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.registers = handle.getValueState("registers", self.state_schema)
+        self.count = handle.getValueState("count", _COUNT)
+        self.waiting = handle.getMapState("waiting", _RUN, _PACKETS)
+
+    def end_us(self, key: tuple) -> int:
+        return self.start_us + (key[0] + 1) * self.step_us
+
+    def at_watermark(self, ms: int) -> None:
+        """Ask for a call once the watermark is at ``ms``: timers expire when it is above them."""
+        self.handle.registerTimer(ms - 1)
+
+    def keep(self, packets: pd.DataFrame, run: int) -> int:
+        """Store packets in order as runs from number ``run`` on; the next free number."""
+        for at in range(0, len(packets), self.rows):
+            part = packets.iloc[at : at + self.rows]
+            self.waiting.updateValue((int(part[self.order].iloc[0]), run), (_packed(part),))
+            run += 1
+        return run
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.registers.exists():
-            state = tuple(self.registers.get())
+        if self.count.exists():
+            run = self.count.get()[0]
         else:
-            state = self.initial
-            end_us = self.start_us + (key[0] + 1) * self.step_us
-            self.handle.registerTimer(-(-end_us // 1000))
-        packets = pd.concat(list(rows)).sort_values(self.order, ignore_index=True)
-        out, state = self.fn(key, packets, state)
-        self.registers.update(state)
-        if self.on_close is None and len(out):
-            yield out
+            run = 0
+            self.at_watermark(-(-self.end_us(key) // 1000))
+        latest = 0
+        for frame in rows:
+            if len(frame):
+                run = self.keep(frame.sort_values(self.order, ignore_index=True), run)
+                latest = max(latest, int(frame[_TIME].max()))
+        self.count.update((run,))
+        if latest:
+            self.at_watermark(latest // 1000)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.on_close is not None and self.registers.exists():
-            yield self.on_close(key, tuple(self.registers.get()))
-        self.registers.clear()
+        if not self.count.exists():
+            return
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        passed = watermark + 999
+        state = tuple(self.registers.get()) if self.registers.exists() else self.initial
+        run, folded = self.count.get()[0], False
+
+        def load(name: tuple[int, int]) -> pd.DataFrame:
+            packets = _unpacked(self.waiting.getValue(name)[0])
+            self.waiting.removeKey(name)
+            return packets
+
+        names = [tuple(name) for name in self.waiting.keys()]
+        merge = merged_runs(names, load, self.order)
+        for packets in merge:
+            ahead = (packets[_TIME] > passed).to_numpy()
+            now = int(ahead.argmax()) if ahead.any() else len(packets)
+            for at in range(0, now, self.rows):
+                piece = packets.iloc[at : min(at + self.rows, now)].drop(columns=_TIME).reset_index(drop=True)
+                out, state = self.fn(key, piece, state)
+                folded = True
+                if self.on_close is None and len(out):
+                    yield out
+            if now < len(packets):
+                # Only loaded runs are put back; the others have not been touched.
+                run = self.keep(pd.concat([packets.iloc[now:], merge.send(True)], ignore_index=True), run)
+        if folded:
+            self.registers.update(state)
+        self.count.update((run,))
+        if watermark >= self.end_us(key):
+            if self.on_close is not None:
+                yield self.on_close(key, state)
+            self.registers.clear()
+            self.waiting.clear()
+            self.count.clear()
 
     def close(self) -> None:
         pass
@@ -72,17 +176,25 @@ def stateful_fold_stream(
     on_close: Callable[[tuple, tuple], pd.DataFrame] | None = None,
     by: str = EPOCH,
     order: str = ORDER,
+    ts: str = "ts",
+    rows: int = PIECE_ROWS,
 ) -> DataFrame:
-    """Streaming form of ``stateful_fold`` on packets with a watermark and epoch.
+    """Streaming form of ``stateful_fold`` on packets with a watermark on ``ts`` and an epoch.
 
-    A call sees the packets of one key in one micro-batch. With ``on_close`` the
-    fold's own rows are dropped and one result per key is emitted when its epoch
-    is over.
+    Packets wait until the watermark has passed them and all of their key with smaller
+    numbers that came, so results lag by the delay that the caller gave, and packets that
+    come in the wrong order within it are folded in the right one. Spark keeps watermarks in
+    whole milliseconds, so a delay a millisecond above the longest disorder is exact. Behind
+    the delay packets are dropped, as everywhere on streams; packets without a time are in
+    no epoch. No call sees more than ``rows`` packets, and a key's waiting packets are read
+    in runs of that size, those that overlap at once. With ``on_close`` the fold's own rows
+    are dropped and one result per key is emitted when its epoch is over.
     """
     require_rocksdb(df.sparkSession)
     processor = FoldProcessor(
-        fn, initial, state_schema, order, start_us, round(interval * 1_000_000), on_close
+        fn, initial, state_schema, order, start_us, round(interval * 1_000_000), on_close, rows
     )
-    return df.groupBy(by, *column_names(keys)).transformWithStateInPandas(
+    timed = df.where(F.col(ts).isNotNull()).withColumn(_TIME, F.unix_micros(F.col(ts).cast("timestamp")))
+    return timed.groupBy(by, *column_names(keys)).transformWithStateInPandas(
         processor, out_schema, outputMode="Append", timeMode="EventTime"
     )
