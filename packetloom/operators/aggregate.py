@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -71,3 +72,34 @@ def distinct_count(
     else:
         counted = F.count_distinct(*cols)
     return df.groupBy(by, *column_names(keys)).agg(counted.alias(out))
+
+
+def distinct_sketches(
+    df: DataFrame,
+    keys: Sequence[str],
+    elems: Sequence[str],
+    out: str = "sketch",
+    by: str = EPOCH,
+    lg_size: int = 12,
+) -> DataFrame:
+    """A sketch of the distinct elements per epoch and key, to be stored and merged later.
+
+    An element with a null counts for nothing, as in ``distinct_count``. A sketch holds
+    2^``lg_size`` small registers at most.
+    """
+    cols = [F.col(c) for c in column_names(elems)]
+    whole = reduce(lambda a, b: a & b, [c.isNotNull() for c in cols])
+    element = F.when(whole, F.xxhash64(*cols))
+    return df.groupBy(by, *column_names(keys)).agg(F.hll_sketch_agg(element, lg_size).alias(out))
+
+
+def merged_distinct_count(
+    sketches: DataFrame, keys: Sequence[str], out: str = "count", sketch: str = "sketch"
+) -> DataFrame:
+    """Estimated number of distinct elements per key over all rows of sketches.
+
+    Give the epoch, or any rough time made from it, among the keys to merge less. The relative
+    standard error is about 0.83 / sqrt(2^lg_size) for merged sketches of many elements.
+    """
+    merged = F.hll_union_agg(sketch)
+    return sketches.groupBy(*column_names(keys)).agg(F.hll_sketch_estimate(merged).cast("long").alias(out))

@@ -16,7 +16,7 @@ from packetloom.plans.fixtures import DAY_SECONDS, flows_from_lineitem, packet_s
 from packetloom.schema import EPOCH, ORDER
 from packetloom.sources import config as sketch_config, decode, flowtext, pcap, trace
 from packetloom.sources.shared import shared_dir
-from packetloom.streaming import detections as stream_detections, windows
+from packetloom.streaming import detections as stream_detections, report as stream_report, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -305,6 +305,25 @@ def a7(p):
     return aggregate.distinct_count(p, ["dst_addr"], ["src_addr"])
 
 
+@register(
+    "a7_distinct_count_merged",
+    sql.with_packets(
+        "SELECT epoch // 7 AS week, dst_addr, count(DISTINCT src_addr) AS exact, true AS close FROM packets GROUP BY ALL"
+    ),
+)
+def a7_merged(spark, sf_dir):
+    """Sketches stored by day, merged by week, against the exact count (within 5 %, three standard errors)."""
+    p = packets_from_events(spark, sf_dir)
+    path = shared_dir(spark, "sketches")
+    aggregate.distinct_sketches(p, ["dst_addr"], ["src_addr"]).write.parquet(path)
+    week = F.floor(F.col("epoch") / 7).cast("long").alias("week")
+    daily = spark.read.parquet(path).select(week, "dst_addr", "sketch")
+    merged = aggregate.merged_distinct_count(daily, ["week", "dst_addr"], "estimate")
+    exact = p.groupBy(week, "dst_addr").agg(F.count_distinct("src_addr").alias("exact"))
+    close = F.abs(F.col("estimate") - F.col("exact")) <= 0.05 * F.col("exact")
+    return exact.join(merged, ["week", "dst_addr"]).select("week", "dst_addr", "exact", close.alias("close"))
+
+
 @register("a8_capture_summary", captures.SUMMARY_SQL)
 def a8(spark, sf_dir):
     summary = decode.capture_summary(decode.decode_packets(captures.raw_packets(spark, sf_dir)))
@@ -1363,3 +1382,33 @@ def a8_stream(spark, sf_dir):
     stream, _ = packet_stream(spark, sf_dir)
     counts = decode.status_counts(decode.decode_packets(captures.as_captured(stream)))
     return decode.summary_of_counts(windows.run_to_end_complete(counts, "a8_stream")).na.fill(-1)
+
+
+REPORT_SECONDS = 600
+
+
+@register(
+    "s6_report_stream",
+    sql.with_packets(
+        "SELECT spine.epoch, hosts.dst_addr FROM (SELECT unnest(range((SELECT max(slot) + 1 FROM slots"
+        " WHERE slot < (SELECT max(slot) FROM slots)))) AS epoch) spine LEFT JOIN (SELECT slot, dst_addr FROM slots"
+        " WHERE proto = 6 AND tcp_flags = 2 GROUP BY ALL HAVING count(*) >= 2) hosts ON hosts.slot = spine.epoch",
+        f"slots AS (SELECT *, (us - (SELECT min(us) FROM packets)) // {REPORT_SECONDS * 1_000_000} AS slot FROM packets)",
+    ),
+)
+def s6_stream(spark, sf_dir):
+    stream, start_us = packet_stream(spark, sf_dir)
+    path = shared_dir(spark, "report")
+    query = stream_report.report_stream(
+        stream,
+        lambda p: detections.newconn(p, 2, by=windows.WINDOW),
+        ["dst_addr"],
+        path,
+        shared_dir(spark, "report-progress"),
+        REPORT_SECONDS,
+        start_us,
+        watermark=NO_DELAY,
+        available_now=True,
+    )
+    query.awaitTermination()
+    return stream_report.read_found(spark, path, T.StructType([T.StructField("dst_addr", T.LongType())]))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetloom.functions.hashing import MULTIPLIERS, OFFSETS, PRIME, explode_cells, row_pair
-from packetloom.operators import sketch
+from packetloom.operators import aggregate, sketch
 
 
 def cell(i, keys, width):
@@ -109,3 +109,16 @@ def test_fingerprint(packets, d, width):
 def test_page_sizes():
     assert sketch.cells_per_row(8, 1) == 1048576
     assert sketch.cells_per_row(8, 32) == 32768
+
+
+def test_stored_distinct_sketches_merge(spark):
+    rows = [(e, k, v) for e in range(4) for k, size in ((1, 50), (2, 3000)) for v in range(e * size // 2, e * size // 2 + size)]
+    df = spark.createDataFrame([*rows, (0, 3, None)], "epoch long, k long, v long")
+    stored = aggregate.distinct_sketches(df, ["k"], ["v"])
+    per_epoch = {tuple(r) for r in aggregate.merged_distinct_count(stored, ["epoch", "k"]).collect()}
+    assert {r for r in per_epoch if r[1] == 1} == {(e, 1, 50) for e in range(4)} and (0, 3, 0) in per_epoch
+    merged = dict(tuple(r) for r in aggregate.merged_distinct_count(stored, ["k"]).collect())
+    assert merged[1] == 125 and merged[3] == 0 and abs(merged[2] - 7500) <= 0.05 * 7500
+    pairs = aggregate.distinct_sketches(df.where("k = 1"), ["k"], ["epoch", "v"])
+    assert aggregate.merged_distinct_count(pairs, ["k"]).first()["count"] == 200
+    assert aggregate.merged_distinct_count(aggregate.distinct_sketches(df.limit(0), ["k"], ["v"]), ["k"]).collect() == []

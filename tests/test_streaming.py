@@ -8,7 +8,7 @@ from conftest import SF
 from packetloom.plans import detections
 from packetloom.plans.fixtures import DAY_SECONDS, packet_columns, packets_from_events
 from packetloom.operators.epochs import with_epoch
-from packetloom.streaming import detections as S, windows
+from packetloom.streaming import detections as S, report, windows
 from packetloom.streaming.state import merged_runs, stateful_fold_stream
 
 
@@ -139,3 +139,41 @@ def test_detections_with_late_packets(spark, swapped_events):
     got = windows.run_to_end(S.synflood_counts(stream(), DAY_SECONDS, start_us, watermark="30 days"))
     want = detections.synflood_counts(batch)
     assert {tuple(r) for r in got.select(columns).where("epoch < 32").collect()} == {tuple(r) for r in want.select(columns).collect()}
+
+
+def test_report_names_empty_epochs_and_replaces_a_replayed_batch(spark, split_events, tmp_path):
+    stream, start_us = split_events
+    path, progress = str(tmp_path / "report"), str(tmp_path / "progress")
+    hour = 3600.0
+
+    def run():
+        report.report_stream(
+            stream(), lambda p: detections.newconn(p, 1, by=windows.WINDOW), ["dst_addr"], path, progress,
+            hour, start_us, watermark="0 seconds", available_now=True,
+        ).awaitTermination()
+        epochs = [tuple(r) for r in report.read_report(spark, path).collect()]
+        found = [tuple(r) for r in report.read_found(spark, path, keys).collect()]
+        return sorted(epochs), sorted(found, key=str)
+
+    keys = T.StructType([T.StructField("dst_addr", T.LongType())])
+    packets = with_epoch(packets_from_events(spark, SF).drop("epoch"), hour)
+    counts = dict(tuple(r) for r in packets.groupBy("epoch").count().collect())
+    last = max(e for e in counts if e < max(counts))
+    syn = {tuple(r) for r in detections.newconn(packets, 1).collect() if r[0] <= last}
+    want_epochs = [(e, counts.get(e, 0)) for e in range(last + 1)]
+    want_found = syn | {(e, None) for e in range(last + 1) if e not in {s[0] for s in syn}}
+    assert 0 in dict(want_epochs).values()
+
+    epochs, found = run()
+    assert epochs == want_epochs and set(found) == want_found and len(found) == len(want_found)
+
+    # The last commit gets lost: the restarted stream runs its batch again.
+    batches = {r[0] for r in spark.read.parquet(f"{path}/epochs").select("batch").distinct().collect()}
+    lost = max(batches)
+    shadow = tmp_path / "lost"
+    shadow.mkdir()
+    for c in list((tmp_path / "progress" / "commits").iterdir()):
+        number = c.name.strip(".").removesuffix(".crc")  # checksums lie beside the commits
+        if number.isdigit() and int(number) >= lost:
+            c.rename(shadow / c.name)
+    assert run() == (epochs, found)
