@@ -1,7 +1,8 @@
 """Personal data by weak supervision, in column expressions only.
 
-Four kinds are found by fixed patterns. Other candidates get the votes of labelers
-(patterns, word lists, context); expectation-maximisation estimates how reliable each
+Four kinds are found by fixed patterns. Other candidates (long runs, groups of digits, runs
+of capitalised words) get the votes of labelers (patterns, gazetteers of names and places,
+context). Words and numbers are judged apart: expectation-maximisation estimates how reliable each
 labeler is from the counts of vote patterns, and the soft labels that follow train a
 logistic span classifier, which decides over the candidates in all texts.
 """
@@ -31,14 +32,17 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
-EXTRA = ("secret", "number")
-"""Kinds of added spans: runs with letters, and digit groups."""
+EXTRA = ("secret", "number", "name")
+"""Kinds of added spans: runs of letters and digits, digit groups, and names of persons."""
 
 CANDIDATE = (
     r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{20,}+"
     r"|(?<![0-9.+(])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{4}(?![0-9])"
     r"|(?<![0-9A-Za-z_-])[0-9]{9,19}(?![0-9A-Za-z_-])"
+    r"|(?<![0-9-])[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}(?![0-9-])"
+    r"|(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20[0-9A-Z]{4}){3,7}+(?:\x20[0-9A-Z]{1,3}(?![0-9A-Za-z]))?+"
 )
+CAPITALISED = r"\p{Lu}\p{Ll}++\x20\p{Lu}\p{Ll}"
 CONTEXT = 40
 
 CUES = (
@@ -52,6 +56,40 @@ CUES = (
 ).split()
 OTHER_CUES = "version vol volume page isbn issn doi chapter section figure table rev revision build seite kapitel chapitre página commit".split()
 
+
+GIVEN_NAMES = (
+    # Frequent given names in several languages.
+    "Adam Alex Alexander Ali Alice Amy Ana Andrea Andreas Andrew Angela Anna Anne Antonio Barbara Ben Brian Carlos Carmen "
+    "Catherine Charles Chris Christian Claire Claudia Daniel David Diana Edward Elena Elizabeth Emily Emma Eric Eva Fatima "
+    "Frank George Hannah Hans Helen Henry Ivan Jack Jacques James Jan Jane Jean Jennifer Jessica Johannes John Jorge Jose Joseph "
+    "Juan Julia Karen Karl Kate Katharina Kevin Laura Lena Linda Lisa Louis Lucas Luis Manuel Maria Marie Mark Martin Mary "
+    "Matthew Max Michael Michel Miguel Mohammed Monica Nicole Olga Oliver Pablo Patricia Paul Pedro Peter Philip Pierre Rachel "
+    "Richard Robert Rosa Samuel Sandra Sarah Simon Sofia Sophie Stefan Stephen Susan Thomas Tim Ursula Victor William Wolfgang"
+).split()
+NOT_NAMES = (
+    # Places, calendar words and words of institutions and headings.
+    "London Paris Berlin Madrid Rome Vienna Moscow York Chicago Boston Washington California Texas Florida Europe America Africa "
+    "Asia Australia Canada China France Germany India Italy Japan Mexico Russia Spain England Ireland Scotland Kingdom States "
+    "January February March April May June July August September October November December "
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday "
+    "License Licence Public General Apache Foundation University Institute College School Street Road Avenue Park River Lake "
+    "Company Corporation Committee Council Department Ministry Bank Press Journal Software Project Chapter Section Table Figure "
+    "The This That And Of To In On For With Und Der Die Das Sich Le La Les El Los"
+).split()
+TITLE_WORDS = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Sr Sra Señor Señora".split()
+TITLES = r"(?<!\p{L})(?:" + "|".join(TITLE_WORDS) + r")\.?\x20$"
+NAME_CUES = (
+    # Words before names of persons.
+    "name contact patient client customer employee owner author tenant applicant dear regards sincerely signed attn "
+    "ansprechpartner kunde patientin nom prénom nombre apellido"
+).split()
+
+# Two or three capitalised words; a title or cue before them is not part of a name.
+CANDIDATE += (
+    rf"|(?<![\p{{L}}0-9_-])(?!(?:{'|'.join([*TITLE_WORDS, *(w.capitalize() for w in NAME_CUES)])})\x20)"
+    r"\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++(?![\p{L}0-9_-])){1,2}"
+)
+
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 BLOCK = 256
 
@@ -121,6 +159,16 @@ def luhn(number: Column) -> Column:
     return F.coalesce(F.aggregate(values, F.lit(0), lambda acc, x: acc + x) % 10 == 0, F.lit(False))
 
 
+def iban(hit: Column) -> Column:
+    """The check digits of an account number are right: the number is 1 modulo 97 once its first
+    four characters have gone to its end and letters stand for 10 to 35."""
+    plain = F.regexp_replace(hit, " ", "")
+    moved = F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 4))
+    values = F.transform(F.split(moved, ""), lambda ch: F.when(ch.rlike("[0-9]"), ch.cast("int")).when(ch.rlike("[A-Z]"), F.ascii(ch) - 55))
+    mod = F.aggregate(F.filter(values, lambda v: v.isNotNull()), F.lit(0), lambda acc, v: (acc * F.when(v > 9, 100).otherwise(10) + v) % 97)
+    return mod == 1
+
+
 def valid(kind: str, hit: Column) -> Column:
     n = F.length(digits(hit))
     if kind == "ip":
@@ -149,6 +197,8 @@ def votes(c: Column) -> list[tuple[str, Column]]:
         ("hex", vote(hit.rlike(r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})$"))),
         ("mixed", vote(hit.rlike(r"^(?=.*[0-9].*[0-9].*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]{24,}$"), hit.rlike(r"[A-Za-z]{4,}-[A-Za-z]{3,}"))),
         ("phone", vote(hit.rlike(r"^\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$"))),
+        ("ssn", vote(hit.rlike(r"^(?!000|666|9)[0-9]{3}([\x20-])(?!00)[0-9]{2}\1(?!0000)[0-9]{4}$"))),
+        ("iban", vote(hit.rlike(r"^[A-Z]{2}[0-9]{2}\x20") & iban(hit))),
         ("luhn", vote(F.when(n.between(12, 19), luhn(digits(hit))).otherwise(False) & ~hit.rlike("[A-Za-z]"))),
         ("dull", vote(F.lit(False), digits(hit).rlike(r"^(.)\1*$|^0?123456789|000000"))),
         ("cue", vote(_any(left, CUES), _any(left, OTHER_CUES))),
@@ -156,6 +206,51 @@ def votes(c: Column) -> list[tuple[str, Column]]:
     ]
 
 
+def _words(hit: Column) -> Column:
+    return F.split(hit, " ")
+
+
+def is_name(c: Column) -> Column:
+    """The candidate is a run of capitalised words."""
+    return ~c["hit"].rlike("[0-9]")
+
+
+def _listed(hit: Column, words: list[str]) -> Column:
+    return F.arrays_overlap(_words(hit), F.array(*[F.lit(w) for w in words]))
+
+
+def name_votes(c: Column) -> list[tuple[str, Column]]:
+    """Labelers of capitalised words, as in ``votes``. Such a run is nothing by itself: without
+    a list or context that speaks for a person, the last one is against."""
+    hit, left = c["hit"], c["left"]
+    given = _words(hit)[0].isin(GIVEN_NAMES)
+    titled = left.rlike(TITLES)
+    cue = _any(left, NAME_CUES)
+    return [
+        ("given", F.when(given, 1).otherwise(0)),
+        ("other", F.when(_listed(hit, NOT_NAMES), -1).otherwise(0)),
+        ("title", F.when(titled, 1).otherwise(0)),
+        ("cue", F.when(cue, 1).otherwise(0)),
+        ("repeats", F.when(F.size(F.array_distinct(_words(hit))) < F.size(_words(hit)), -1).otherwise(0)),
+        ("plain", F.when(given | titled | cue, 0).otherwise(-1)),
+    ]
+
+
+def name_features(c: Column) -> list[tuple[str, Column]]:
+    hit, left, right = c["hit"], c["left"], c["right"]
+    return [
+        ("given", _words(hit)[0].isin(GIVEN_NAMES)),
+        ("other", _listed(hit, NOT_NAMES)),
+        ("title", left.rlike(TITLES)),
+        ("cue", _any(left, NAME_CUES)),
+        ("repeats", F.size(F.array_distinct(_words(hit))) < F.size(_words(hit))),
+        ("three", F.size(_words(hit)) > 2),
+        ("after_mark", left.rlike(r"[=:#,]\s*[\"']?$")),
+        ("starts", left.rlike(r"(?:^|[.!?\n])\s*$")),
+        ("ends", right.rlike(r"^(?:$|[,.;:\n<(])")),
+    ]
+
+
 def features(c: Column) -> list[tuple[str, Column]]:
     """What the classifier sees of a span: its own form and the characters beside it."""
     hit, left, right = c["hit"], c["left"], c["right"]
@@ -236,8 +331,8 @@ def find_spans(docs: DataFrame, threshold: float = 0.5, doc_id: str = "doc_id",
 
     Null and empty texts have no spans; repeated rows get equal ones. Added spans overlap no
     base span. The table of votes and features that reaches the driver has one row per
-    combination (at most 3^7 times 2^10, a few dozen in practice), not per candidate; an
-    empty one adds nothing.
+    combination (at most 3^9 times 2^10, a few dozen in practice), not per candidate; an
+    empty one adds nothing. Names and other candidates have a model each.
     """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -251,7 +346,7 @@ def find_spans(docs: DataFrame, threshold: float = 0.5, doc_id: str = "doc_id",
     nothing = F.array().cast("array<struct<start: int, end: int, hit: string, left: string, right: string>>")
     kinds = [F.when(has.get(k, number), kind_of(i, k, find(F.col("text"), p))).otherwise(none) for i, (k, p) in enumerate(PATTERNS.items())]
     found = narrow.select(
-        "doc_id", F.array_sort(F.flatten(F.array(*kinds))).alias("base"), F.when(number, find(F.col("text"), CANDIDATE)).otherwise(nothing).alias("found")
+        "doc_id", F.array_sort(F.flatten(F.array(*kinds))).alias("base"), F.when(number | F.col("text").rlike(CAPITALISED), find(F.col("text"), CANDIDATE)).otherwise(nothing).alias("found")
     )
     # Each text is searched once: what follows reads spans only.
     found = stored(docs.sparkSession, found, "spans")
@@ -259,34 +354,33 @@ def find_spans(docs: DataFrame, threshold: float = 0.5, doc_id: str = "doc_id",
     found = found.select("doc_id", "base", free.alias("found"))
 
     c = F.col("c")
-    names_v, names_f = [n for n, _ in votes(c)], [n for n, _ in features(c)]
-    each = found.select(F.explode("found").alias("c"))
-    each = each.select(F.array(*[v for _, v in votes(c)]).alias("v"), F.array(*[f.cast("int") for _, f in features(c)]).alias("f"))
-    table = [(tuple(r["v"]), tuple(r["f"]), r["n"]) for r in each.groupBy("v", "f").agg(F.count("*").alias("n")).collect()]
-    patterns: dict[tuple[int, ...], float] = {}
-    for v, _, n in sorted(table):
-        patterns[v] = patterns.get(v, 0) + n
-    prior, tables = reliabilities(patterns)
-    weights = train([(f, personal(v, prior, tables), n) for v, f, n in sorted(table)])
-    assert not tables or len(tables) == len(names_v) and len(weights) == len(names_f) + 1
-
-    def chosen(s: Column) -> Column:
-        z = reduce(lambda a, b: a + b, [F.lit(weights[0]), *(F.when(f, w).otherwise(0.0) for w, (_, f) in zip(weights[1:], features(s), strict=True))])
+    each = found.select(F.explode("found").alias("c")).select(
+        is_name(c).alias("name"),
+        F.when(is_name(c), F.array(*[v for _, v in name_votes(c)])).otherwise(F.array(*[v for _, v in votes(c)])).alias("v"),
+        F.when(is_name(c), F.array(*[f.cast("int") for _, f in name_features(c)])).otherwise(F.array(*[f.cast("int") for _, f in features(c)])).alias("f"),
+    )
+    table = sorted((r["name"], tuple(r["v"]), tuple(r["f"]), r["n"]) for r in each.groupBy("name", "v", "f").agg(F.count("*").alias("n")).collect())
+
+    def chosen(s: Column, name: bool) -> Column:
+        """The model of one sort of candidates, fitted on its votes, as a test of a span."""
+        own = [(v, f, n) for is_one, v, f, n in table if is_one == name]
+        if not own:
+            return F.lit(False)
+        patterns: dict[tuple[int, ...], float] = {}
+        for v, _, n in own:
+            patterns[v] = patterns.get(v, 0) + n
+        prior, tables = reliabilities(patterns)
+        weights = train([(f, personal(v, prior, tables), n) for v, f, n in own])
+        seen = (name_features if name else features)(s)
+        z = reduce(lambda a, b: a + b, [F.lit(weights[0]), *(F.when(f, w).otherwise(0.0) for w, (_, f) in zip(weights[1:], seen, strict=True))])
         return z > math.log(threshold / (1 - threshold))
 
-    if weights:
-        is_secret = lambda s: s["hit"].rlike("[A-Za-z]")
-        added = F.transform(
-            F.filter("found", chosen),
-            lambda s: F.struct(
-                s["start"],
-                F.when(is_secret(s), len(KINDS)).otherwise(len(KINDS) + 1).alias("rank"),
-                s["end"],
-                F.when(is_secret(s), EXTRA[0]).otherwise(EXTRA[1]).alias("kind"),
-            ),
-        )
-    else:
-        added = none
+    def placed(s: Column) -> Column:
+        sort = F.when(is_name(s), 2).when(s["hit"].rlike("[A-Za-z]"), 0).otherwise(1)
+        kind = F.element_at(F.array(*[F.lit(k) for k in EXTRA]), sort + 1)
+        return F.struct(s["start"], (F.lit(len(KINDS)) + sort).alias("rank"), s["end"], kind.alias("kind"))
+
+    added = F.transform(F.filter("found", lambda s: F.when(is_name(s), chosen(s, True)).otherwise(chosen(s, False))), placed)
     return found.select("doc_id", "base", added.alias("added"))
 
 

@@ -74,6 +74,8 @@ def op6_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(read(spark, sf_dir, "documents"))
     counts = [pii.count(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    counts += [pii.count(F.col("added"), k).alias(f"n_{k}") for k in pii.EXTRA]
+    counts.append((F.size("base") + F.size("added")).cast("long").alias("n_spans"))
     every = F.array_sort(F.concat("base", "added"))
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(every).alias("spans"))
 
