@@ -53,9 +53,17 @@ def buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             owners += [np.full(len(codes) + 1, i, np.int32)]
     if not parts:
         return np.empty(0, np.int64), np.empty(0, np.int32)
-    codes = _letters(np.concatenate([*parts, np.zeros(1, np.uint32)]))
     owner = np.concatenate([*owners, owners[-1][-1:]])
     found, whose = [], []
+    for h, keep in _ngrams(np.concatenate([*parts, np.zeros(1, np.uint32)])):
+        found.append(h[keep])
+        whose.append(owner[: len(h)][keep])  # the mark before a text is its own, the one after it is not
+    return np.concatenate(found), np.concatenate(whose)
+
+
+def _ngrams(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per order: the bucket of the n-gram from each place on, and whether it counts."""
+    codes = _letters(codes)
     for n in ORDERS:
         views = [codes[k : len(codes) - n + 1 + k] for k in range(n)]
         h = np.full(len(views[0]), n, np.uint32)
@@ -67,16 +75,25 @@ def buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             keep = (views[0] != 0) | (views[1] != 0)
         else:
             keep = np.all([v != 0 for v in views[1:-1]], axis=0)
-        found.append(((h ^ (h >> np.uint32(15))) % BUCKETS)[keep].astype(np.int64))
-        whose.append(owner[: len(h)][keep])  # the mark before a text is its own, the one after it is not
-    return np.concatenate(found), np.concatenate(whose)
+        yield ((h ^ (h >> np.uint32(15))) % BUCKETS).astype(np.int64), keep
 
 
-def pieces(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Texts in order, a longer one cut at ``PIECE`` characters: (number of the first, texts)."""
+def pieces(texts: list[str | None], size: int = PIECE) -> Iterator[tuple[int, np.ndarray]]:
+    """(text number, buckets of its n-grams), a text of over ``size`` characters in several turns.
+
+    A piece goes on for the longest n-gram that begins in it, so each n-gram comes once.
+    """
     for i, t in enumerate(texts):
-        for at in range(0, len(t or ""), PIECE):
-            yield i, [t[at : at + PIECE]]
+        if len(t or "") <= size:
+            yield i, buckets([t])[0]
+            continue
+        lower = t.lower()
+        for at in range(0, len(lower) + 2, size):  # places with the word ends around the text
+            after = at + size + ORDERS[-1] - 1
+            part = lower[max(at - 1, 0) : after - 1]
+            codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+            codes = np.pad(codes, (int(at == 0), int(after > len(lower) + 1)))
+            yield i, np.concatenate([h[:size][keep[:size]] for h, keep in _ngrams(codes)])
 
 
 @dataclass
@@ -90,8 +107,7 @@ class Model:
         """Language and its posterior share per text. Ties go to the first name."""
         totals = np.tile(self.prior, (len(texts), 1))
         if any(len(t or "") > PIECE for t in texts):
-            for i, part in pieces(texts):
-                b, _ = buckets(part)
+            for i, b in pieces(texts):
                 totals[i] += self.logs[b].sum(axis=0, dtype=np.float64)
         else:
             b, owner = buckets(texts)
@@ -125,8 +141,7 @@ def fit(docs: DataFrame, train: Column | None = None, text: str = "text", lang:
             names, bodies = np.array(batch.column("lang").to_pylist(), object), batch.column("text").to_pylist()
             for name in sorted(set(names.tolist())):
                 own = cells.setdefault(name, np.zeros(BUCKETS + 1, np.int64))
-                for _, part in pieces([t for t, n in zip(bodies, names, strict=True) if n == name]):
-                    b, _ = buckets(part)
+                for _, b in pieces([t for t, n in zip(bodies, names, strict=True) if n == name]):
                     own[:BUCKETS] += np.bincount(b, minlength=BUCKETS)
                 own[BUCKETS] += int((names == name).sum())
         for name, own in cells.items():
