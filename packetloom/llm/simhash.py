@@ -1,11 +1,13 @@
 """SimHash near-duplicates: BK-trees over shards of fingerprints.
 
 Two fingerprints within ``RADIUS`` bits agree in whole blocks of bits when the 64 bits are
-cut into more than ``RADIUS`` blocks. Every choice of such blocks is a shard key, so linked
-fingerprints meet in at least one shard and no shard holds much more than its own
-neighbourhood. A shard is a BK-tree whose children are keyed by their integer distance to
-the parent; a query follows only edges that the radius allows. A shard beyond ``SHARD_ROWS``
-fingerprints is dealt into trees of that size and its queries are sent to each of them.
+cut into more than ``RADIUS`` blocks. A few bits of each choice of such blocks are a shard
+key, just enough for about ``TREE_ROWS`` fingerprints a shard, so linked fingerprints meet in
+at least one shard and a corpus of any size has shards of one size. A shard is a BK-tree
+whose children are keyed by their integer distance to the parent; a query follows only edges
+that the radius allows. The fingerprints of shards beyond ``SHARD_ROWS`` are sharded again
+by whole blocks, then by more and smaller ones; only what agrees in half of its bits and is
+still too many is dealt into trees of that size, with queries sent to each of them.
 Shards report spanning links only, and components come from the links by repeated
 large-star and small-star steps.
 """
@@ -26,6 +28,14 @@ from packetloom.llm.common import row_key, slices, stored
 RADIUS = 3
 SEED = 42
 SHARD_ROWS = 20_000
+"""A shard of more fingerprints is cut further."""
+
+TREE_ROWS = 4_096
+"""Fingerprints in a shard's tree, about."""
+
+TASKS = 20_000
+"""Tasks of a search at most."""
+
 LEAF = 8
 """Subtrees up to this size are compared directly."""
 
@@ -69,21 +79,48 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
     return narrow.mapInArrow(read, f"doc_id {kind}, _key1 long, _key2 int, fp long")
 
 
+def key_levels(n: int, radius: int = RADIUS, rows: int = TREE_ROWS) -> list[list[list[tuple[int, int]]]]:
+    """Bit ranges of each shard key, level by level, coarse ones first.
+
+    The keys of every level cover all links: ``blocks`` cuts, of which a link leaves all but
+    ``radius`` untouched. The first level takes only so many bits of each key that ``n``
+    random fingerprints come to about ``rows`` a place, the next ones whole blocks.
+    """
+    wanted = max(0, (max(n, 1) - 1) // rows).bit_length()
+    levels: list[list[list[tuple[int, int]]]] = []
+    most = max(2 * radius, radius + 1)
+    for blocks in range(radius + 1, most + 1):
+        cuts = [64 * i // blocks for i in range(blocks + 1)]
+        keys = [[(cuts[i], cuts[i + 1]) for i in chosen] for chosen in combinations(range(blocks), blocks - radius)]
+        held = min(sum(b - a for a, b in key) for key in keys)
+        if not levels and held < wanted and blocks < most:
+            continue
+        if not levels and wanted < held:
+            levels.append([_first_bits(key, wanted) for key in keys] if wanted else [[]])
+        levels.append(keys)
+    return levels
+
+
+def _first_bits(key: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """The ranges of ``key``, cut off after ``n`` bits."""
+    out = []
+    for a, b in key:
+        if n > 0:
+            out.append((a, min(b, a + n)))
+            n -= b - a
+    return out
+
+
 def shard_keys(n: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
-    """Bit ranges that make up each shard key, so long that ``n`` random fingerprints fill
-    few places twice: ``blocks`` cuts, of which a link leaves all but ``radius`` untouched."""
-    blocks = radius + 1
-    while blocks < 2 * radius and (1 << (64 * (blocks - radius) // blocks)) * 4 < n:
-        blocks += 1
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    return [[(cuts[i], cuts[i + 1]) for i in chosen] for chosen in combinations(range(blocks), blocks - radius)]
+    """Bit ranges of the shard keys that ``n`` fingerprints are searched by first."""
+    return key_levels(n, radius)[0]
 
 
 def _bits(fp: Column, ranges: list[tuple[int, int]]) -> Column:
     """The bits of ``ranges``, next to each other."""
     out = F.lit(0).cast("long")
     for a, b in ranges:
-        part = F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+        part = F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))
         out = F.shiftleft(out, b - a).bitwiseOR(part)
     return out
 
@@ -177,14 +214,35 @@ def leaf_links(shard: np.ndarray, fp: np.ndarray, radius: int, longest: int) ->
 
 
 def links(spark: SparkSession, values: DataFrame, n: int, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Spanning links ``a, b`` (two fingerprints) among the ``n`` different ``values.fp``."""
-    keys = shard_keys(n, radius)
-    rows = values.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("cut"), _bits(F.col("fp"), r).alias("bits")) for i, r in enumerate(keys)])).alias("k"))
-    rows = rows.select("k.cut", "k.bits", "fp")
-    sizes = rows.groupBy("cut", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = stored(spark, sizes.withColumn("trees", F.ceil(F.col("n") / shard_rows).cast("int")), "shards")
-    own = F.pmod(F.xxhash64("fp"), F.col("trees").cast("long")).cast("int")
-    dealt = rows.join(sizes, ["cut", "bits"]).withColumn("own", own)
+    """Spanning links ``a, b`` (two fingerprints) among the ``n`` different ``values.fp``.
+
+    Two linked fingerprints share a shard of every level. Those that meet in too large
+    shards only are both among the rows of the next level, so none is lost on the way.
+    """
+    levels = key_levels(n, radius, min(TREE_ROWS, shard_rows))
+    rows, found = values.select("fp"), None
+    for keys in levels:
+        cuts = [F.struct(F.lit(i).alias("cut"), _bits(F.col("fp"), r).alias("bits")) for i, r in enumerate(keys)]
+        placed = rows.select("fp", F.explode(F.array(*cuts)).alias("k")).select("k.cut", "k.bits", "fp")
+        sizes = stored(spark, placed.groupBy("cut", "bits").agg(F.count("*").alias("n")).where("n > 1"), "shards")
+        hot = sizes.where(F.col("n") > shard_rows)
+        ends = keys is levels[-1] or hot.isEmpty()
+        inside = sizes if ends else sizes.where(F.col("n") <= shard_rows)
+        tasks = min(TASKS, 1 + n * len(keys) // (8 * TREE_ROWS))
+        part = tree_links(placed, inside, radius, shard_rows, tasks)
+        found = part if found is None else found.unionByName(part)
+        if ends:
+            break
+        rows = stored(spark, placed.join(hot, ["cut", "bits"], "left_semi").select("fp").distinct(), "hot")
+        n = rows.count()
+    return found.distinct()
+
+
+def tree_links(placed: DataFrame, sizes: DataFrame, radius: int, shard_rows: int, tasks: int) -> DataFrame:
+    """Spanning links ``a, b`` within the shards (``cut, bits``) of ``placed.fp`` that ``sizes`` lists with their ``n``."""
+    trees = F.ceil(F.col("n") / shard_rows)
+    own = F.pmod(F.xxhash64("fp"), trees.cast("long")).cast("int")
+    dealt = placed.join(sizes, ["cut", "bits"]).withColumn("own", own)
     # In its own tree a value is a member; to the trees before, it is a query.
     dealt = dealt.select("cut", "bits", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("tree"))
     dealt = dealt.select("cut", "bits", "tree", (F.col("own") == F.col("tree")).alias("member"), "fp")
@@ -196,9 +254,10 @@ def links(spark: SparkSession, values: DataFrame, n: int, radius: int = RADIUS,
         sizes = np.bincount(shard)
         small = (sizes <= LEAF)[shard] & (np.bincount(shard, ~member) == 0)[shard]
         out = [leaf_links(shard[small], fp[small], radius, int(sizes[shard[small]].max(initial=0)))]
+        ends = np.cumsum(sizes)
         for s in np.unique(shard[~small]).tolist():
-            own = shard == s
-            out.append(shard_links(fp[own & member], fp[own & ~member], radius))
+            own = slice(int(ends[s] - sizes[s]), int(ends[s]))
+            out.append(shard_links(fp[own][member[own]], fp[own][~member[own]], radius))
         return out
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +282,7 @@ def links(spark: SparkSession, values: DataFrame, n: int, radius: int = RADIUS,
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     at = ["cut", "bits", "tree"]
-    placed = dealt.repartition(*at).sortWithinPartitions(*at)
-    return placed.mapInArrow(work, "a long, b long").distinct()
+    return dealt.repartition(tasks, *at).sortWithinPartitions(*at).mapInArrow(work, "a long, b long")
 
 
 def components(spark: SparkSession, pairs: DataFrame) -> DataFrame:
