@@ -4,8 +4,9 @@ The index is cut into blocks of whole documents. Inside a block every word has o
 position, with an unused position between documents, so that no phrase can cross from
 one document to the next. A row of the index holds all positions of one term in one
 block, delta-coded; a frequent term has a bounded row in each block and never a long
-list anywhere. Searching takes a block at a time: it starts from the rarest term of a
-phrase and intersects the offset-adjusted positions of the others.
+list anywhere. Searching takes a block at a time: phrases are looked up by their rarest
+term, so a block meets only those whose rarest term it holds, and the offset-adjusted
+positions of the other terms are intersected from there.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.llm.common import row_key, slices, stored
@@ -155,6 +156,10 @@ def near_starts(lists: list[np.ndarray], order: list[int], span: int, docs: tupl
     lengths of the documents in order; runs are clipped to the document of the rarest word.
     """
     rarest = lists[order[0]]
+    for k in order[1:]:  # few of them have all the other words around
+        there = lists[k]
+        i = np.searchsorted(there, rarest - span + 1)
+        rarest = rarest[(i < len(there)) & (there[np.minimum(i, len(there) - 1)] < rarest + span)]
     starts = rarest[:, None] - np.arange(span)[None, :]
     if docs is not None:
         first, length = docs
@@ -182,41 +187,22 @@ def search(index: DataFrame, wanted: list[tuple[list[str], list[str]]], slop: in
     with it, also runs of ``len(words) + slop`` words of one document (all of a shorter one) with
     every word in any order. Returns ``doc_id, _key1, _key2, block, start, n_words, spans`` (word numbers, end
     exclusive; neighbours joined) and ``items``; a document without matches has empty arrays.
+    With ``slop``, ``exact_spans`` and ``exact_items`` tell the exact phrases among them.
     """
     spark = index.sparkSession
     frequency = {}
     asked = spark.createDataFrame([(t,) for t in {t for p, _ in wanted for t in p}], "term string")
     for r in index.where("term is not null").join(asked, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n")).collect():
         frequency[r["term"]] = r["n"]
-    plan = []
+    plan: dict[str, list[tuple[list[str], list[str], list[int]]]] = {}
     for phrase, items in wanted:
         if all(t in frequency for t in phrase):
-            plan.append((phrase, items, sorted(range(len(phrase)), key=lambda k, p=phrase: (frequency[p[k]], k))))
+            order = sorted(range(len(phrase)), key=lambda k, p=phrase: (frequency[p[k]], k))
+            plan.setdefault(phrase[order[0]], []).append((phrase, items, order))
     sent = spark.sparkContext.broadcast(plan)
+    pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def look(table: pa.Table) -> pa.Table:
-        is_doc = np.array(table.column("term").is_null())
-        docs = table.filter(pa.array(is_doc)).sort_by("start")
-        posts = table.filter(pa.array(~is_doc))
-        lists = {t: _positions(p) for t, p in zip(posts.column("term").to_pylist(), posts.column("postings").to_pylist(), strict=True)}
-        starts = np.array(docs.column("start"), np.int64)
-        lengths = np.array(docs.column("n"), np.int64)
-        spans: list[list[tuple[int, int]]] = [[] for _ in starts]
-        items: list[set[str]] = [set() for _ in starts]
-        for phrase, names, order in sent.value:
-            if not all(t in lists for t in phrase):
-                continue
-            own = [lists[t] for t in phrase]
-            found = [(phrase_starts(own, order), len(phrase))]
-            if slop is not None:
-                found.append((near_starts(own, order, len(phrase) + slop, (starts, lengths)), len(phrase) + slop))
-            for at, size in found:
-                rows = np.searchsorted(starts, at, "right") - 1
-                for row, a in zip(rows.tolist(), at.tolist(), strict=True):
-                    a -= int(starts[row]) if row >= 0 else 0
-                    if row >= 0 and a >= 0:
-                        spans[row].append((a, min(a + size, int(lengths[row]))))
-                        items[row].update(names)
+    def joined(spans: list[list[tuple[int, int]]]) -> pa.Array:
         merged = []
         for own in spans:
             out: list[list[int]] = []
@@ -226,7 +212,49 @@ def search(index: DataFrame, wanted: list[tuple[list[str], list[str]]], slop: in
                 else:
                     out.append([a, b])
             merged.append([{"start": a, "end": b} for a, b in out])
-        pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return pa.array(merged, pair)
+
+    def named(items: list[set[str]]) -> pa.Array:
+        return pa.array([sorted(s) for s in items], pa.list_(pa.string()))
+
+    def look(table: pa.Table) -> pa.Table:
+        is_doc = np.array(table.column("term").is_null())
+        docs = table.filter(pa.array(is_doc)).sort_by("start")
+        posts = table.filter(pa.array(~is_doc))
+        lists = {t: _positions(p) for t, p in zip(posts.column("term").to_pylist(), posts.column("postings").to_pylist(), strict=True)}
+        starts = np.array(docs.column("start"), np.int64)
+        lengths = np.array(docs.column("n"), np.int64)
+        spans: list[list[tuple[int, int]]] = [[] for _ in starts]
+        items: list[set[str]] = [set() for _ in starts]
+        near_spans: list[list[tuple[int, int]]] = [[] for _ in starts]
+        near_items: list[set[str]] = [set() for _ in starts]
+
+        def note(at: np.ndarray, size: int, names: list[str], spans: list[list[tuple[int, int]]], items: list[set[str]]) -> None:
+            rows = np.searchsorted(starts, at, "right") - 1
+            for row, a in zip(rows.tolist(), at.tolist(), strict=True):
+                a -= int(starts[row]) if row >= 0 else 0
+                if row >= 0 and a >= 0:
+                    spans[row].append((a, min(a + size, int(lengths[row]))))
+                    items[row].update(names)
+
+        plan = sent.value
+        for rarest in lists.keys() & plan.keys():
+            for phrase, names, order in plan[rarest]:
+                if not all(t in lists for t in phrase):
+                    continue
+                own = [lists[t] for t in phrase]
+                note(phrase_starts(own, order), len(phrase), names, spans, items)
+                if slop is not None:
+                    run = len(phrase) + slop
+                    note(near_starts(own, order, run, (starts, lengths)), run, names, near_spans, near_items)
+        found = {"spans": joined(spans), "items": named(items)}
+        if slop is not None:
+            found = {
+                "spans": joined([a + b for a, b in zip(spans, near_spans, strict=True)]),
+                "items": named([a | b for a, b in zip(items, near_items, strict=True)]),
+                "exact_spans": found["spans"],
+                "exact_items": found["items"],
+            }
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"),
@@ -235,13 +263,14 @@ def search(index: DataFrame, wanted: list[tuple[list[str], list[str]]], slop: in
                 "block": docs.column("block"),
                 "start": docs.column("start"),
                 "n_words": docs.column("n"),
-                "spans": pa.array(merged, pair),
-                "items": pa.array([sorted(s) for s in items], pa.list_(pa.string())),
+                **found,
             }
         )
 
     kind = index.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, _key1 long, _key2 int, block long, start long, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
+    if slop is not None:
+        schema += ", exact_spans array<struct<start: long, end: long>>, exact_items array<string>"
     return index.groupBy("block").applyInArrow(look, schema)
 
 
@@ -261,7 +290,8 @@ def decontaminate(
     """One row per row of ``docs``: ``doc_id, _key1, _key2, n_words, spans, n_hit, items``.
 
     ``spans`` are the hit words, ``n_hit`` their number, ``items`` the ids (as text, sorted)
-    of the test items with a phrase there. Null and empty texts have no words and no hits;
+    of the test items with a phrase there. With ``slop`` these count proximity matches too, and
+    ``exact_spans, n_exact, exact_items`` are the same of exact phrases alone. Null and empty texts have no words and no hits;
     repeated rows and repeated ids are judged one by one; an empty test set hits nothing.
     Test sets of any size are searched ``at_once`` phrases at a time over the stored index.
     """
@@ -277,12 +307,20 @@ def decontaminate(
         part = asked.where(F.pmod(F.xxhash64("words"), F.lit(turns)) == turn) if turns > 1 else asked
         hits = search(index, [(r["words"], r["items"]) for r in part.collect()], slop)
         found = hits if found is None else found.unionByName(hits)
+    pairs = [("spans", "items", "n_hit")] + ([("exact_spans", "exact_items", "n_exact")] if slop is not None else [])
     if turns > 1:
-        found = found.groupBy("block", "start", "doc_id", "_key1", "_key2", "n_words").agg(
-            F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-        )
-    covered = F.aggregate(
-        F.array_sort("spans"),
+        both = []
+        for spans, names, _ in pairs:
+            both += [F.flatten(F.collect_list(spans)).alias(spans), F.array_sort(F.array_distinct(F.flatten(F.collect_list(names)))).alias(names)]
+        found = found.groupBy("block", "start", "doc_id", "_key1", "_key2", "n_words").agg(*both)
+    out = [c for spans, names, n in pairs for c in (F.col(spans), _covered(spans).alias(n), F.col(names))]
+    return found.select("doc_id", "_key1", "_key2", "n_words", *out)
+
+
+def _covered(spans: str) -> Column:
+    """Words in any of ``spans``, which may overlap."""
+    return F.aggregate(
+        F.array_sort(spans),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
         lambda acc, s: F.struct(
             (acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], acc["to"]))).alias("n"),
@@ -290,4 +328,3 @@ def decontaminate(
         ),
         lambda acc: acc["n"],
     )
-    return found.select("doc_id", "_key1", "_key2", "n_words", "spans", covered.alias("n_hit"), "items")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from packetloom.llm import common, decontaminate, fertility, fim, langid, neighbours, packing, passages, pii, simhash, site_lines, tokens, toxicity, turns
 
 
+SLOP = 3
+"""Words that may stand among the ten of a benchmark window, in any order."""
+
 PASSAGE_WORDS = 50
 """A repeated unit of so many words is a passage, not a phrase."""
 
@@ -19,14 +22,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    found = decontaminate.decontaminate(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), slop=SLOP)
     return found.select(
         "doc_id",
         "n_words",
-        F.col("n_hit").cast("long").alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        F.col("n_exact").cast("long").alias("n_hit"),
+        F.size("exact_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("exact_items", ","), 256).alias("items_sha256"),
+        (F.col("n_exact") > 0).alias("contaminated"),
+        F.col("n_hit").cast("long").alias("n_near_hit"),
+        F.size("items").cast("long").alias("n_near_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("near_items_sha256"),
     )
 
 
@@ -148,10 +154,21 @@ ORACLES: dict[str, str] = {
             FROM (SELECT r, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM doc, (SELECT DISTINCT n FROM phrase) WHERE len(w) >= n)),
         hit AS (SELECT r, n, i, item_id FROM place JOIN phrase USING (n, p)),
         covered AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS pos FROM hit) GROUP BY r),
-        items AS (SELECT r, list_sort(list(DISTINCT item_id)) AS ids FROM hit GROUP BY r)
+        items AS (SELECT r, list_sort(list(DISTINCT item_id)) AS ids FROM hit GROUP BY r),
+        word AS (SELECT p, n, x, count(*) AS c FROM (SELECT p, n, unnest(string_split(p, ' ')) AS x FROM (SELECT DISTINCT p, n FROM phrase)) GROUP BY ALL),
+        need AS (SELECT p, n, list({x: x, c: c}) AS need FROM word GROUP BY ALL),
+        seen AS (SELECT DISTINCT r, unnest(w) AS x FROM doc),
+        holds AS (SELECT r, p, n FROM seen JOIN word USING (x) JOIN need USING (p, n) GROUP BY r, p, n, len(need) HAVING count(*) = len(need)),
+        run AS (SELECT r, p, n, i, w[i + 1 : least(i + n + 3, len(w))] AS run
+            FROM (SELECT r, p, n, w, unnest(range(0, len(w))) AS i FROM holds JOIN doc USING (r))),
+        near AS (SELECT r, p, n, i, len(run) AS l FROM run JOIN need USING (p, n)
+            WHERE len(list_filter(need, lambda q: len(list_filter(run, lambda y: y = q.x)) < q.c)) = 0),
+        near_covered AS (SELECT r, count(DISTINCT pos) AS n_near FROM (SELECT r, unnest(range(i, i + l)) AS pos FROM near) GROUP BY r),
+        near_items AS (SELECT r, list_sort(list(DISTINCT item_id)) AS near_ids FROM near JOIN phrase USING (n, p) GROUP BY r)
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids), 0) AS n_items,
-            sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-        FROM doc LEFT JOIN covered USING (r) LEFT JOIN items USING (r)""",
+            sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+            coalesce(n_near, 0) AS n_near_hit, coalesce(len(near_ids), 0) AS n_near_items, sha256(coalesce(array_to_string(near_ids, ','), '')) AS near_items_sha256
+        FROM doc LEFT JOIN covered USING (r) LEFT JOIN items USING (r) LEFT JOIN near_covered USING (r) LEFT JOIN near_items USING (r)""",
     "op2_substring_dedup": r"""
         WITH unit AS (
             SELECT doc_id, u, l, trim(regexp_replace(lower(l), '[^\p{L}\p{N}]+', ' ', 'g')) AS k,
