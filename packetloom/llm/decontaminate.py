@@ -148,18 +148,24 @@ def phrase_starts(lists: list[np.ndarray], order: list[int]) -> np.ndarray:
     return starts
 
 
-def near_starts(lists: list[np.ndarray], order: list[int], span: int, docs: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+def around(at: np.ndarray, there: np.ndarray, span: int) -> np.ndarray:
+    """The positions ``at`` with one of ``there`` less than ``span`` away on either side."""
+    next_ = there.take(np.searchsorted(there, at - span + 1), mode="clip")
+    return at[np.abs(next_ - at) < span]
+
+
+def near_starts(
+    lists: list[np.ndarray], order: list[int], span: int, docs: tuple[np.ndarray, np.ndarray] | None = None, rarest: np.ndarray | None = None
+) -> np.ndarray:
     """Starts of all runs of ``span`` positions that hold every word of a phrase, in any order
     and as often as the phrase has it.
 
     A run starts at most ``span - 1`` before the rarest word. ``docs``: first positions and
     lengths of the documents in order; runs are clipped to the document of the rarest word.
+    ``rarest``: the only positions of that word to look around (all by default).
     """
-    rarest = lists[order[0]]
-    for k in order[1:]:  # few of them have all the other words around
-        there = lists[k]
-        i = np.searchsorted(there, rarest - span + 1)
-        rarest = rarest[(i < len(there)) & (there[np.minimum(i, len(there) - 1)] < rarest + span)]
+    if rarest is None:
+        rarest = lists[order[0]]
     starts = rarest[:, None] - np.arange(span)[None, :]
     if docs is not None:
         first, length = docs
@@ -239,14 +245,26 @@ def search(index: DataFrame, wanted: list[tuple[list[str], list[str]]], slop: in
 
         plan = sent.value
         for rarest in lists.keys() & plan.keys():
+            close: dict[tuple[str, int], np.ndarray] = {}  # windows of an item mostly share their two rarest words
             for phrase, names, order in plan[rarest]:
                 if not all(t in lists for t in phrase):
                     continue
                 own = [lists[t] for t in phrase]
-                note(phrase_starts(own, order), len(phrase), names, spans, items)
                 if slop is not None:
-                    run = len(phrase) + slop
-                    note(near_starts(own, order, run, (starts, lengths)), run, names, near_spans, near_items)
+                    run, at = len(phrase) + slop, lists[rarest]
+                    if len(order) > 1:
+                        second = (phrase[order[1]], run)
+                        if second not in close:
+                            close[second] = around(at, own[order[1]], run)
+                        at = close[second]
+                    for k in order[2:]:
+                        if not len(at):
+                            break
+                        at = around(at, own[k], run)
+                    if not len(at):  # then there is no exact phrase either
+                        continue
+                    note(near_starts(own, order, run, (starts, lengths), at), run, names, near_spans, near_items)
+                note(phrase_starts(own, order), len(phrase), names, spans, items)
         found = {"spans": joined(spans), "items": named(items)}
         if slop is not None:
             found = {
