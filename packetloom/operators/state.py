@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from packetloom.functions.scalar import branch, floor_div
+from packetloom.operators.folds import KEY_NULLS, Fold, GroupedFold, KeyedFold, without_nulls
 from packetloom.operators.running import (
     NO_SEGMENT,
     SEGMENT_ROWS,
@@ -24,9 +25,6 @@ from packetloom.operators.running import (
 from packetloom.schema import EPOCH, ORDER, Operand, column_names, operand
 from packetloom.sources.shared import ensure_checkpoint_dir, remove_folder, shared_dir
 
-# fn(key, packets in order, state) -> (output rows, new state)
-Fold = Callable[[tuple, pd.DataFrame, tuple], tuple[pd.DataFrame, tuple]]
-
 FOLD_ROWS = 1 << 20
 
 
@@ -161,42 +159,54 @@ def stateful_fold(
     order: str = ORDER,
     rows: int = FOLD_ROWS,
     on_close: Callable[[tuple, tuple], pd.DataFrame] | None = None,
+    wave_rows: int = FOLD_ROWS,
 ) -> DataFrame:
     """Run any register function over the ordered packets of each epoch and key.
 
     ``fn`` may be called several times per group, with the state it returned last, so its
     outputs must not depend on where the calls part; what is said once per group belongs
     into ``on_close``, which gets the last state and replaces the outputs of ``fn``.
-    No call sees more than ``rows`` packets: a larger group is cut by its own packets in
-    order, and its pieces run one after the other with the state carried in a checkpointed
-    table. Pieces of the same rank run together for all groups. This costs a few actions
-    when such groups exist.
+    No call sees more than ``rows`` packets of a group: the calls for one follow each other
+    in its task. A ``GroupedFold`` is called for many groups at once. Groups beyond
+    ``wave_rows`` packets (and ``rows``) are too large for a task: such a group is cut by its
+    own packets in order, and its pieces run one after the other with the state carried in a
+    checkpointed table. Pieces of the same rank run together for all groups. This costs a few
+    actions when such groups exist; their number follows ``wave_rows``, not ``rows``.
     """
     spark = df.sparkSession
     group = [by, *column_names(keys)]
-    cut = split_hot(df, group, rows, order, "_segment")
+    wave_rows = max(rows, wave_rows)
+    cut = split_hot(df, group, wave_rows, order, "_segment")
     inputs = df.columns
 
+    def in_calls(key, packets, state):
+        """Outputs of the packets of a group in order, and its state after them."""
+        made = []
+        for at in range(0, len(packets), rows):
+            out, state = fn(key, packets.iloc[at : at + rows].reset_index(drop=True), state)
+            made.append(out)
+        return made[0] if len(made) == 1 else pd.concat(made, ignore_index=True), state
+
     def whole(key, packets):
-        out, state = fn(key, packets.sort_values(order, ignore_index=True), initial)
+        out, state = in_calls(key, packets.sort_values(order, ignore_index=True), initial)
         return out if on_close is None else on_close(key, state)
 
     # A stated number of partitions: by size alone they would be merged, but the
     # work here is Python per group.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordinary = (
-        cut.where(F.col("_segment") == NO_SEGMENT)
-        .select(*inputs)
-        .repartition(tasks, *group)
-        .groupBy(*group)
-        .applyInPandas(whole, out_schema)
-    )
+    ordinary = cut.where(F.col("_segment") == NO_SEGMENT).select(*inputs)
+    if isinstance(fn, GroupedFold):
+        keyed = KeyedFold(fn, on_close, group, df.schema, initial, rows)
+        placed = without_nulls(ordinary, group, order).repartition(tasks, KEY_NULLS, *group)
+        ordinary = placed.sortWithinPartitions(KEY_NULLS, *group, order).mapInPandas(keyed.over_sorted, out_schema)
+    else:
+        ordinary = ordinary.repartition(tasks, *group).groupBy(*group).applyInPandas(whole, out_schema)
 
     folder = shared_dir(spark, "fold")
     hot = cut.where(F.col("_segment") != NO_SEGMENT).select(*inputs)
     hot.write.parquet(f"{folder}/hot")
     hot = spark.read.schema(hot.schema).parquet(f"{folder}/hot")
-    waves = _write_waves(hot, group, order, rows, f"{folder}/waves")
+    waves = _write_waves(hot, group, order, wave_rows, f"{folder}/waves")
     if not waves:
         remove_folder(spark, folder)
         return ordinary
@@ -220,7 +230,7 @@ def stateful_fold(
             before = tuple(state.column(f.name)[0].as_py() for f in state_schema.fields)
         made, after = [], before
         if rows_now.num_rows:
-            out, after = fn(key, rows_now.to_pandas().sort_values(order, ignore_index=True), before)
+            out, after = in_calls(key, rows_now.to_pandas().sort_values(order, ignore_index=True), before)
             if on_close is None:
                 made.append(_padded(pa.Table.from_pandas(out, out_arrow, preserve_index=False), "out_", False, both_arrow))
         registers = dict(zip(state_arrow.names, [*key, *after]))

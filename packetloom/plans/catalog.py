@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from packetloom.functions import scalar
 from packetloom.functions.hashing import explode_cells
 from packetloom.operators import accuracy, aggregate, basic, distinct, epochs, joins, sketch, state
 from packetloom.operators.accuracy import AccuracySpec
+from packetloom.operators.folds import GroupedFold
 from packetloom.plans import captures, detections, oracles as sql, tuning
 from packetloom.plans.fixtures import DAY_SECONDS, flows_from_lineitem, packet_stream, packets_from_events
 from packetloom.schema import EPOCH, ORDER
@@ -551,6 +553,18 @@ def largest_and_total(key, packets, before):
     return out, (int(seen.iloc[-1]), int(out["total"].iloc[-1]))
 
 
+def largest_and_total_of_many(packets, first, before):
+    largest, total = before
+    counts = np.diff(np.append(first, len(packets)))
+    own, last = np.repeat(np.arange(len(first)), counts), first + counts - 1
+    sizes = packets["size"].astype("int64")
+    seen = np.maximum(sizes.groupby(own).cummax().to_numpy(), largest[own])
+    sums = sizes.groupby(own).cumsum().to_numpy() + total[own]
+    earlier = np.concatenate(([0], seen[:-1]))
+    earlier[first] = largest
+    return packets[["epoch", "pkt_no"]].assign(seen=earlier, total=sums), [seen[last], sums[last]]
+
+
 FOLD_OUT = T.StructType([T.StructField(n, T.LongType()) for n in ("epoch", "pkt_no", "seen", "total")])
 FOLD_STATE = T.StructType([T.StructField(n, T.LongType()) for n in ("largest", "total")])
 
@@ -561,7 +575,8 @@ FOLD_STATE = T.StructType([T.StructField(n, T.LongType()) for n in ("largest", "
 )
 def u5(p):
     narrow = p.select("epoch", "pkt_no", "dst_addr", "size")
-    return state.stateful_fold(narrow, ["dst_addr"], largest_and_total, (0, 0), FOLD_STATE, FOLD_OUT)
+    fold = GroupedFold(largest_and_total, largest_and_total_of_many)
+    return state.stateful_fold(narrow, ["dst_addr"], fold, (0, 0), FOLD_STATE, FOLD_OUT)
 
 
 OPEN_CELLS = sql.cells("packets", ["dst_addr"], 2, 32)

@@ -6,10 +6,12 @@ queries with registers keep state per epoch and key.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from packetloom.operators.basic import filter_cmp
+from packetloom.operators.folds import GroupedClose, GroupedFold
 from packetloom.plans import detections
 from packetloom.schema import CONSTANTS, EPOCH, ORDER
 from packetloom.streaming.state import stateful_fold_stream
@@ -31,7 +33,11 @@ FLOW_OUT = T.StructType(
 )
 
 
-def handshake_fold(key: tuple, packets: pd.DataFrame, before: tuple) -> tuple[pd.DataFrame, tuple]:
+def _sizes(packets: pd.DataFrame, first: np.ndarray) -> np.ndarray:
+    return np.diff(np.append(first, len(packets)))
+
+
+def _handshakes(key: tuple, packets: pd.DataFrame, before: tuple) -> tuple[pd.DataFrame, tuple]:
     """Half-open handshakes of a server after each of its packets."""
     nextseq, cnt = before
     syn_ack = packets["tcp_flags"] == _SYN_ACK
@@ -42,7 +48,25 @@ def handshake_fold(key: tuple, packets: pd.DataFrame, before: tuple) -> tuple[pd
     return out, (int(expected.iloc[-1]), int(counts.iloc[-1]))
 
 
-def flow_fold(key: tuple, packets: pd.DataFrame, before: tuple) -> tuple[pd.DataFrame, tuple]:
+def _handshakes_of_many(packets: pd.DataFrame, first: np.ndarray, before: list[np.ndarray]) -> tuple[pd.DataFrame, list[np.ndarray]]:
+    nextseq, cnt = before
+    sizes = _sizes(packets, first)
+    own, last = np.repeat(np.arange(len(first)), sizes), first + sizes - 1
+    flags, seq, ack = (packets[c].to_numpy("int64") for c in ("tcp_flags", "tcp_seq", "tcp_ack"))
+    syn_ack = flags == _SYN_ACK
+    latest = np.maximum.accumulate(np.where(syn_ack, np.arange(len(own)), -1))
+    expected = np.where(latest >= first[own], (seq[latest] + 1) % (1 << 32), nextseq[own])
+    step = np.where(expected != ack, syn_ack.astype("int64"), -1)
+    total = np.cumsum(step)
+    counts = total + (cnt - total[first] + step[first])[own]
+    out = packets[[EPOCH, ORDER, "nkey"]].assign(nextseq=expected, cnt=counts)
+    return out, [expected[last], counts[last]]
+
+
+handshake_fold = GroupedFold(_handshakes, _handshakes_of_many)
+
+
+def _largest_seq(key: tuple, packets: pd.DataFrame, before: tuple) -> tuple[pd.DataFrame, tuple]:
     """Packets of a flow that do not exceed its largest sequence number."""
     largest, late = before
     seq = packets["tcp_seq"]
@@ -50,10 +74,31 @@ def flow_fold(key: tuple, packets: pd.DataFrame, before: tuple) -> tuple[pd.Data
     return packets.iloc[:0], (int(max(largest, seq.max())), late + int((seq <= seen).sum()))
 
 
-def flow_count(key: tuple, registers: tuple) -> pd.DataFrame:
+def _largest_seq_of_many(packets: pd.DataFrame, first: np.ndarray, before: list[np.ndarray]) -> tuple[pd.DataFrame, list[np.ndarray]]:
+    largest, late = before
+    sizes = _sizes(packets, first)
+    own, last = np.repeat(np.arange(len(first)), sizes), first + sizes - 1
+    seq = packets["tcp_seq"].to_numpy("int64")
+    greatest = np.maximum(packets["tcp_seq"].astype("int64").groupby(own).cummax().to_numpy(), largest[own])
+    seen = np.concatenate(([0], greatest[:-1]))
+    seen[first] = largest
+    return packets.iloc[:0], [greatest[last], late + np.add.reduceat((seq <= seen).astype("int64"), first)]
+
+
+flow_fold = GroupedFold(_largest_seq, _largest_seq_of_many)
+
+
+def _late_packets(key: tuple, registers: tuple) -> pd.DataFrame:
     return pd.DataFrame([[*key, registers[1]]], columns=FLOW_OUT.names)
 
 
+def _late_packets_of_many(keys: list[np.ndarray], registers: list[np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(FLOW_OUT.names, [*keys, registers[1]], strict=True)))
+
+
+flow_count = GroupedClose(_late_packets, _late_packets_of_many)
+
+
 def windowed(detection, packets: DataFrame, n: int, interval: float, start_us: int, watermark: str) -> DataFrame:
     """A batch detection over windows, with epoch numbers in the result."""
     found = detection(with_window(packets, interval, watermark, start_us), n, by=WINDOW)
@@ -118,7 +163,13 @@ def alert_packets(
         at = n - seen - 1
         return rows.iloc[at : at + 1] if at >= 0 else rows.iloc[:0], (seen + len(rows),)
 
-    return stateful_fold_stream(numbered, keys, nth, (0,), ALERT_STATE, numbered.schema, interval, start_us)
+    def nth_of_many(rows: pd.DataFrame, first: np.ndarray, before: list[np.ndarray]) -> tuple[pd.DataFrame, list[np.ndarray]]:
+        seen, sizes = before[0], _sizes(rows, first)
+        at = n - seen - 1
+        return rows.iloc[(first + at)[(at >= 0) & (at < sizes)]], [seen + sizes]
+
+    fold = GroupedFold(nth, nth_of_many)
+    return stateful_fold_stream(numbered, keys, fold, (0,), ALERT_STATE, numbered.schema, interval, start_us)
 
 
 def tcp_nonmonotonic(
