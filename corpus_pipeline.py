@@ -36,7 +36,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words in a row, similarity 0.8) the document with the smallest id stays, once."""
+    """Of each group of near copies the document with the smallest id stays, once.
+
+    SimHash fingerprints in BK-trees, and bands beside them, propose near copies; the shingles
+    of five words in a row confirm them (similarity 0.8).
+    """
     found = common.stored(spark, jaccard.near_duplicates(spark, docs), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key1", "_key2")).alias("first")
     stay = found.groupBy("root").agg(first).select("first._key1", "first._key2")

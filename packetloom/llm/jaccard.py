@@ -1,8 +1,10 @@
 """Near-duplicates by exact Jaccard similarity of word shingles.
 
-Sets of shingles that are alike share a band of min-hashes: ``BANDS`` bands of ``ROWS``
-values each, so a pair of similarity 0.8 meets in none with a probability of 7e-6, a pair
-of more with less. Bands only propose: what they join is a group, and within a group pairs
+The sets' SimHash fingerprints are searched in BK-trees (``simhash.links``) for those within
+``RADIUS`` bits. Sets near the threshold differ in some 10 bits of 64, up to 20, where no tree
+leaves anything out, so bands of min-hashes propose beside the trees: ``BANDS`` bands of
+``ROWS`` values each, so a pair of similarity 0.8 meets in none with a probability of 7e-6, a
+pair of more with less. Both only propose: what they join is a group, and within a group pairs
 are confirmed on the shingles themselves, so no pair below the threshold is ever linked.
 Equal sets are collapsed before, in the map tasks first. A group beyond ``TILE_ROWS`` sets
 or ``TILE_SHINGLES`` shingles is dealt into tiles, and its sets are sent to each of them.
@@ -21,11 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.llm import simhash
 from packetloom.llm.common import row_key, slices, stored
 from packetloom.llm.simhash import SEED, components
 
 SHINGLE = 5
 THRESHOLD = 0.8
+RADIUS = 7
+"""Bits in which fingerprints differ that the trees propose: the most that they take."""
+
 BANDS, ROWS = 30, 5
 TILE_ROWS = 20_000
 TILE_SHINGLES = 1 << 22
@@ -65,20 +71,22 @@ def bands(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, _key1, _key2, node, n, bands`` for each row; ``node`` is 128 bits of the set, ``n`` its size."""
+    """``doc_id, _key1, _key2, node, n, bands, fp`` for each row; ``node`` is 128 bits of the set, ``n``
+    its size, ``fp`` its SimHash fingerprint as a signed number."""
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets = [shingles(t, shingle) for t in b.column("text").to_pylist()]
             nodes = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             columns = [pa.array(nodes, pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            columns.append(pa.array(np.array([simhash.of_hashes(s) for s in sets], np.uint64).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("_key1"), b.column("_key2"), *columns], names=["doc_id", "_key1", "_key2", "node", "n", "bands"]
+                [b.column("doc_id"), b.column("_key1"), b.column("_key2"), *columns], names=["doc_id", "_key1", "_key2", "node", "n", "bands", "fp"]
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *row_key(doc_id, text))
-    return narrow.mapInArrow(read, f"doc_id {kind}, _key1 long, _key2 int, node binary, n long, bands array<long>")
+    return narrow.mapInArrow(read, f"doc_id {kind}, _key1 long, _key2 int, node binary, n long, bands array<long>, fp long")
 
 
 def set_links(sets: list[np.ndarray], members: int, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
@@ -178,6 +186,19 @@ def links(spark: SparkSession, docs: DataFrame, members: DataFrame, shingle: int
     return placed.mapInArrow(work, "a binary, b binary").where("a != b").distinct()
 
 
+def tree_links(spark: SparkSession, values: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Spanning links ``a, b`` among ``values.v``: sets whose fingerprints ``fp`` BK-trees join.
+
+    One set stands for all of its fingerprint; the others are linked to it.
+    """
+    prints = stored(spark, values.groupBy("fp").agg(F.min("v").alias("v")), "fingerprints")
+    found = stored(spark, simhash.links(spark, prints.select("fp"), prints.count(), radius), "trees")
+    ends = [prints.select(F.col("fp").alias(end), F.col("v").alias(f"v_{end}")).hint("merge") for end in ("a", "b")]
+    across = found.join(ends[0], "a").join(ends[1], "b").select(F.col("v_a").alias("a"), F.col("v_b").alias("b"))
+    same = values.select("fp", F.col("v").alias("a")).join(prints.select("fp", F.col("v").alias("b")).hint("merge"), "fp").where("a != b")
+    return across.unionByName(same.select("a", "b"))
+
+
 def near_duplicates(
     spark: SparkSession,
     docs: DataFrame,
@@ -190,19 +211,20 @@ def near_duplicates(
     """One row per row of ``docs``: ``doc_id, _key1, _key2, root``.
 
     Rows whose sets of ``shingle`` words have a Jaccard similarity of at least ``threshold``
-    (0.8 or more, which the bands are made for) are linked; ``root`` names the component.
+    (0.8 or more, which trees and bands are made for) are linked; ``root`` names the component.
     Texts without words are copies of each other.
     """
     if not 0.8 <= threshold <= 1:
         raise ValueError("threshold must be between 0.8 and 1")
     prints = stored(spark, signatures(docs, shingle, doc_id, text), "signatures")
-    values = prints.groupBy("node").agg(F.min(F.struct("_key1", "_key2")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    values = prints.groupBy("node").agg(F.min(F.struct("_key1", "_key2")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
     values = stored(spark, values.withColumn("v", F.xxhash64("node")), "values")
 
     rows = values.select("v", F.explode("bands").alias("band"))
     ends = rows.groupBy("band").agg(F.min("v").alias("b"), F.max("v").alias("last")).where("b < last").select("band", "b")
     ends = stored(spark, ends, "bands")
-    near = components(spark, rows.join(ends, "band").where("v != b").select(F.col("v").alias("a"), "b"))
+    banded = rows.join(ends, "band").where("v != b").select(F.col("v").alias("a"), "b")
+    near = components(spark, tree_links(spark, values).unionByName(banded))
     groups = near.select(F.col("node").alias("v"), F.col("root").alias("grp")).unionByName(near.select(F.col("root").alias("v"), F.col("root").alias("grp")).distinct())
     found = stored(spark, values.select("v", "node", "at", "n").join(groups, "v"), "groups")
     trees = F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")

@@ -58,7 +58,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     ends = [*gaps.tolist(), len(body)]
     k = min(shingle, len(words))
     h = xxhash.xxh64_intdigest
-    values = np.array([h(body[a:b], SEED) for a, b in zip(starts, ends[k - 1 :], strict=False)], np.uint64)
+    return of_hashes(np.array([h(body[a:b], SEED) for a, b in zip(starts, ends[k - 1 :], strict=False)], np.uint64))
+
+
+def of_hashes(values: np.ndarray) -> int:
+    """The bits that are set in over half of the values; 0 for none."""
     bits = np.zeros(64, np.int64)
     for i in range(0, len(values), AT_ONCE):
         part = values[i : i + AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8)
