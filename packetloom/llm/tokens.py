@@ -56,14 +56,23 @@ def boundaries(tokenizer, text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.append(starts[at], len(text)), np.append(at, len(e))
 
 
-def report(tokenizer, text: str, start: int, last: bool, overlap: int) -> dict:
-    """What splicing needs of a chunk: its boundaries near either end, with the tokens before them."""
-    pos, n = boundaries(tokenizer, text)
+def report(tokenizer, text: str, start: int, last: bool, overlap: int, counter: Counter | None = None) -> dict:
+    """What splicing needs of a chunk: its boundaries near either end, with the tokens before them.
+
+    With a ``counter``, where spaces begin pieces near both ends that have neighbours, those
+    are the boundaries, and the parts between them are counted as in ordinary texts. Other
+    chunks are encoded whole.
+    """
     end = start + len(text)
-    pos = pos + start
-    # A chunk's own start is no boundary that it found, except at the start of the text.
-    head = (pos > start) & (pos <= start + overlap) & (pos < end)
-    tail = (pos > start) & (pos >= end - overlap) & (pos <= end - margin(tokenizer))
+    edge = margin(tokenizer)
+    for find in ([counter.boundaries] if counter else []) + [lambda text: boundaries(tokenizer, text)]:
+        pos, n = find(text)
+        pos = pos + start
+        # A chunk's own start is no boundary that it found, except at the start of the text.
+        head = (pos > start) & (pos <= start + overlap) & (pos < end)
+        tail = (pos > start) & (pos >= end - overlap) & (pos <= end - edge)
+        if (start == 0 or head.any()) and (last or tail.any()):
+            break
     return {
         "start": start,
         "last": last,
@@ -117,8 +126,22 @@ class Counter:
                 out[-1] += " " + p
         return out
 
+    def boundaries(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the parts of a text and the tokens before each, with the end of the text last."""
+        own = self.parts(text)
+        self.learn([own])
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        tokens = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
+        return np.concatenate(([0], np.cumsum(sizes))), np.concatenate(([0], np.cumsum(tokens)))
+
     def __call__(self, texts: list[str]) -> list[int]:
         cut = [self.parts(t) if t else [] for t in texts]
+        self.learn(cut)
+        get = self.known.__getitem__
+        return [sum(map(get, own)) for own in cut]
+
+    def learn(self, cut: list[list[str]]) -> None:
+        """Encode the parts that are not known yet."""
         new = set().union(*cut) - self.known.keys() if cut else set()
         if len(self.known) + len(new) > CACHE:
             self.known = {}
@@ -127,8 +150,6 @@ class Counter:
         for i in range(0, len(todo), 4096):
             part = todo[i : i + 4096]
             self.known.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        get = self.known.__getitem__
-        return [sum(map(get, own)) for own in cut]
 
 
 def _tokenizer(path: str | None):
@@ -158,9 +179,10 @@ def count_huge(spark: SparkSession, huge: DataFrame, path: str | None, chunk: in
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
+        counter = Counter(tokenizer)
         for batch in slices(batches):
             rows = [
-                {"_row": row} | report(tokenizer, text, start, last, overlap)
+                {"_row": row} | report(tokenizer, text, start, last, overlap, counter)
                 for row, start, last, text in zip(*(batch.column(c).to_pylist() for c in ("_row", "start", "last", "text")), strict=True)
             ]
             yield pa.RecordBatch.from_pylist(rows, kinds)
