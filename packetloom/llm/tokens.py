@@ -10,6 +10,7 @@ none, the text is taken again with longer chunks and wider overlaps.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,7 +25,16 @@ CHUNK = 1 << 15
 
 OVERLAP = 256
 CACHE = 400_000
-"""Pieces whose number of tokens a Python worker remembers."""
+"""Parts and pieces whose number of tokens a Python worker remembers."""
+
+REMEMBERED = 64
+"""Characters of the longest of them."""
+
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯΆΈ-ΊΌΎ-ΡΣ-ϵЀ-ҁҊ-ԧא-תء-غف-يぁ-ゖァ-ヺ一-龥가-힣"
+MARKS = "!-/:-@\\[-`{-~¡-©«¬®-±´¶-¸»¿×÷‐-‧"
+SPACES = r" \t-\r\xa0\u3000"
+PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[{MARKS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+"""The rule of byte-level vocabularies, for characters whose kind is beyond doubt."""
 
 
 def load(path: str):
@@ -103,16 +113,42 @@ def cut(text: str, chunk: int, overlap: int) -> list[tuple[int, str]]:
     return [(at, text[at : at + chunk]) for at in range(0, max(1, len(text) - overlap), step)]
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 class Counter:
-    """Tokens of ordinary texts: every different part is encoded once.
+    """Tokens of ordinary texts: every different piece is encoded once.
 
-    A space before a character that is neither space nor end always begins a piece, so a
-    text may be cut there.
+    Texts of common characters are cut by the byte-level rule itself, and the library's
+    merges are asked for pieces not seen before. Of other texts, and for vocabularies of
+    another rule, parts go through the whole library: a space before a character that is
+    neither space nor end always begins a piece, so a text may be cut there.
     """
 
     def __init__(self, tokenizer):
+        from tokenizers import models, pre_tokenizers
+
         self.tokenizer = tokenizer
-        self.known: dict[str, int] = {}
+        rule, self.model = tokenizer.pre_tokenizer, tokenizer.model
+        self.usual = isinstance(rule, pre_tokenizers.ByteLevel) and rule.use_regex and not rule.add_prefix_space
+        self.usual = self.usual and tokenizer.normalizer is None and isinstance(self.model, models.BPE)
+        added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
+        self.merged, self.known = Known(self.merge), Known(self.count)
+
+    def pieces(self, text: str) -> list[str] | None:
+        """Pieces of a text; None where the rule here is not sure to be the vocabulary's."""
+        if not self.usual or self.added.search(text):
+            return None
+        own = PIECE.findall(text)
+        return own if sum(map(len, own)) == len(text) else None
 
     def parts(self, text: str) -> list[str]:
         own = text.split(" ")
@@ -126,30 +162,48 @@ class Counter:
                 out[-1] += " " + p
         return out
 
-    def boundaries(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the parts of a text and the tokens before each, with the end of the text last."""
+    def cut(self, text: str) -> tuple[list[str], Iterator[int]]:
+        """Pieces or parts of a text, and the tokens of each."""
+        own = self.pieces(text)
+        if own is not None:
+            return own, map(self.merged.__getitem__, own)
         own = self.parts(text)
-        self.learn([own])
+        return own, map(self.known.__getitem__, own)
+
+    def boundaries(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the pieces or parts of a text and the tokens before each, with the end of the text last."""
+        own, counts = self.cut(text)
         sizes = np.fromiter(map(len, own), np.int64, len(own))
-        tokens = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
+        tokens = np.fromiter(counts, np.int64, len(own))
         return np.concatenate(([0], np.cumsum(sizes))), np.concatenate(([0], np.cumsum(tokens)))
 
     def __call__(self, texts: list[str]) -> list[int]:
-        cut = [self.parts(t) if t else [] for t in texts]
-        self.learn(cut)
-        get = self.known.__getitem__
-        return [sum(map(get, own)) for own in cut]
-
-    def learn(self, cut: list[list[str]]) -> None:
-        """Encode the parts that are not known yet."""
-        new = set().union(*cut) - self.known.keys() if cut else set()
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = set().union(*cut)
-        todo = sorted(new)
-        for i in range(0, len(todo), 4096):
-            part = todo[i : i + 4096]
-            self.known.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        return [sum(self.cut(t)[1]) for t in texts]
+
+    def count(self, part: str) -> int:
+        own = self.pieces(part)
+        if own is not None:
+            return sum(map(self.merged.__getitem__, own))
+        return len(self.tokenizer.encode_batch_fast([part], add_special_tokens=False)[0])
+
+    def merge(self, piece: str) -> int:
+        return len(self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_LETTERS)))
+
+
+class Known(dict):
+    """Tokens of short strings, counted when first asked for; forgotten when there are too many."""
+
+    def __init__(self, count):
+        super().__init__()
+        self.count = count
+
+    def __missing__(self, part: str) -> int:
+        n = self.count(part)
+        if len(part) <= REMEMBERED:
+            if len(self) >= CACHE:
+                self.clear()
+            self[part] = n
+        return n
 
 
 def _tokenizer(path: str | None):
