@@ -4,9 +4,10 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import pytest
 
-from packetloom.llm import passages
+from packetloom.llm import passages, queries
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -88,3 +89,24 @@ def test_whole_lines_miss_what_passages_tell(spark):
 def test_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert passages.repeated_passages(spark, none).collect() == []
+
+
+def test_the_query_tells_what_whole_lines_miss(spark, tmp_path):
+    """Three holders of a passage of 60 words, inside a line, across lines and doubled, of which the query on lines tells none."""
+    words = [f"p{i}" for i in range(60)]
+    texts = [f"Before: {' '.join(words)}, after", "\n".join([" ".join(words[:25]).upper(), " ".join(words[25:])]), f"a {' '.join(words)}\nb {' '.join(words)} c"]
+    texts += [f"{' '.join(words[:49])} other", " ".join(f"q{i}" for i in range(90)), None, ""]
+    table = [*enumerate(texts), (4, texts[4])]
+    spark.createDataFrame(table, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = queries.QUERIES["op2_substring_dedup"](spark, str(tmp_path)).where("repeats_passage")
+    found = queries.QUERIES["repeated_passages"](spark, str(tmp_path))
+    assert lines.count() == 0
+    got = sorted(tuple(r) for r in found.collect())
+    ends = [re.search("p0.*p59", t, re.S | re.I).span() for t in texts[:2]] + [m.span() for m in re.finditer("p0 .*p59", texts[2])]
+    spans = [":".join(map(str, e)) for e in ends]
+    told = [(0, 62, 60, 60, True, spans[0]), (1, 60, 60, 60, True, spans[1]), (2, 123, 120, 60, True, ",".join(spans[2:]))]
+    assert got == [*told, (3, 50, 0, 0, False, ""), (4, 90, 0, 0, False, ""), (4, 90, 0, 0, False, ""), (5, 0, 0, 0, False, ""), (6, 0, 0, 0, False, "")]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(con.execute(queries.ORACLES["repeated_passages"]).fetchall()) == got
+    assert found.columns == [c[0] for c in con.description]
